@@ -57,24 +57,29 @@ def hash_key(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 2)
 
 
-def bucket_bits(rows: int, partitions: int, rows_per_bucket: int = 50_000) -> int:
-    """How many leading key bits split ``rows`` into ranges of about ``rows_per_bucket``."""
-    return max(rows // rows_per_bucket, partitions, 1).bit_length()
+def range_bits(count: Column | int, rows: int, partitions: int, most: int = 50_000) -> Column:
+    """How many leading key bits split a group of ``count`` of all ``rows`` into ranges of a task's share.
+
+    A range gets about the rows of one partition, ``most`` at the outside, and a small group stays whole:
+    all groups together have no more ranges than twice the partitions, rows / ``most`` and the groups.
+    """
+    share = float(max(1, min(most, rows // max(1, partitions))))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.lit(count) / F.lit(share)) if isinstance(count, int) else F.log2(count / F.lit(share)))).cast("int")
 
 
-def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], sums: dict[str, str], bits: int) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], sums: dict[str, str], bits: Column) -> DataFrame:
     """Exclusive running sums in key order within each group, without gathering a group in one task.
 
-    ``key`` comes from :func:`hash_key`, so its leading ``bits`` cut every group, hot ones too, into
-    ranges of equal expected size. Totals per (group, range) give each range its offset; the running
+    ``key`` comes from :func:`hash_key`, so its leading ``bits`` (one number for a group) cut a hot group
+    into ranges of equal expected size. Totals per (group, range) give each range its offset; the running
     sum proper is a window inside a range. ``sums`` maps new column to summed column. Rows that tie in
     key and ``ties`` are interchangeable.
     """
-    ranged = df.withColumn("_range", F.shiftrightunsigned(F.col(key), 62 - bits))
+    ranged = df.withColumn("_range", F.call_function("shiftrightunsigned", F.col(key), F.lit(62) - F.coalesce(bits, F.lit(0))))
     by = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
     offsets = stored(totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_total_{n}").over(by), F.lit(0)).alias(f"_offset_{n}") for n in sums]), "offsets")
-    on = (F.col("_range") == F.col("_r"))
+    on = F.col("_range") == F.col("_r")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     inside = W.partitionBy(*group, "_range").orderBy(key, *ties).rowsBetween(W.unboundedPreceding, -1)

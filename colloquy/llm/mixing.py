@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, bucket_bits, hash_key, partitions, prefix_sums, stored, word_count
+from .common import WORD, range_bits, hash_key, partitions, prefix_sums, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -30,7 +30,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     """
     order = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sources.select("source", "source_size", weigh.alias("w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
+    ranked = sources.select("source", "source_size", "rows", weigh.alias("w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
     fill = W.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.encode("source", "UTF-8"))
     every = W.partitionBy(F.lit(0))
     levels = ranked.select(
@@ -42,21 +42,21 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     # the first source that the level does not fill sets the level of all after it
     first = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(every)
     level = F.coalesce(first.getField("level"), F.lit(float("inf")))
-    return levels.select("source", "source_size", F.least(F.col("cap"), level * F.col("w")).alias("target"))
+    return levels.select("source", "source_size", "rows", F.least(F.col("cap"), level * F.col("w")).alias("target"))
 
 
 def _planned(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """Adds source_size, target, epochs (whole passes) and part (words of one more pass) to each sized row."""
     spark = sized.sparkSession
-    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs).withColumnRenamed("source", "_source"), "targets")
-    bits = bucket_bits(sized.count(), partitions(spark))
+    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, max_epochs).withColumnRenamed("source", "_source"), "targets")
+    sized = sized.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    bits = range_bits(F.col("rows"), sized.count(), partitions(spark))
     placed = prefix_sums(sized, ["source"], "key", ["doc_id", "size"], {"before": "size"}, bits)
     budget = F.floor(F.col("target") + F.lit(1e-6))
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - F.col("epochs") * F.col("source_size")
     return (
-        placed.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        .withColumn("epochs", whole)
+        placed.withColumn("epochs", whole)
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
     )
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, hash_key, partitions, prefix_sums, stored
+from .common import range_bits, hash_key, partitions, prefix_sums, stored
 
 TREE = (2, 4, 5)
 SHARDS = 40
@@ -70,6 +70,7 @@ def shard_by_key(docs: DataFrame, n_shards: int = SHARDS, tree: tuple[int, int,
     rows = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     rows = _descend(_descend(rows, "doc_id", n_shards, "shard", tree), "doc_id", n_shards + 1, "grown_shard", tree)
     rows = stored(rows.withColumn("key", hash_key(8, F.col("doc_id"))).withColumn("one", F.lit(1)), "shards")
-    bits = bucket_bits(max(1, rows.count() // n_shards), max(1, partitions(spark) // n_shards))
+    n = rows.count()
+    bits = range_bits(max(1, n // n_shards), n, partitions(spark))
     out = prefix_sums(rows, ["shard"], "key", ["doc_id", "text_crc32", "size"], {"slot": "one"}, bits)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
