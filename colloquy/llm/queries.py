@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pages, pii, quality, sharding
+from . import mixing, packing, pages, pii, quality, sharding, substrings
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op8_sharding, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op6_repeated_passages, op8_sharding, op10_packing)}
+#: Windows of 20 words, each word covered by one that starts earlier elsewhere.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d WHERE len(w) >= 20),
+x AS (SELECT doc_id, i, list_aggregate(w[i:i + 19], 'string_agg', ' ') AS s FROM g),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM x),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i FROM r WHERE n > 1), range(0, 20) t(k)),
+k AS (SELECT d.doc_id, u.p, u.t FROM d, (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) u
+      WHERE u.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = u.doc_id AND c.p = u.p)),
+j AS (SELECT doc_id, count(*) AS kept, string_agg(t, ' ' ORDER BY p) AS s FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_repeated_passages": OP6_SQL}
