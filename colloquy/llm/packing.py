@@ -13,7 +13,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -24,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, hash_key, partitions, prefix_sums, stored
+from .common import range_bits, hash_key, partitions, prefix_sums, stored
 
 SIZE, END_ID = 1024, 2
 #: Words of which a worker remembers the ids; when they are as many, it starts anew.
-MEMO = 500_000
+MEMO = 1_000_000
 
 #: Plans of up to so many steps (40 bytes each) are broadcast.
 BROADCAST_STEPS = 200_000
@@ -38,42 +40,67 @@ BROADCAST_STEPS = 200_000
 _PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+(?:[ \n][!-~¡-¬®-ɏ]+)*")
 
 
+_PART = re.compile(r"[ \n][^ \n]+")
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, from the tokenizer, each distinct word encoded once.
 
-    The tokenizer cuts text before every single blank or line end that follows a non-blank, so a plain
-    text's ids are those of its parts. Other texts are encoded whole.
+    The tokenizer starts a new token at every single blank or line end that follows a non-blank, so a
+    plain text's ids are those of its parts. Parts not seen before are encoded joined, and their ids are
+    told apart by the bytes that each id stands for. Other texts are encoded whole.
     """
 
     def __init__(self, definition: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.memo, self.most = Tokenizer.from_str(definition), {}, memo
-        special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        read = json.loads(definition)
+        special = [t["content"] for t in read.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        # a sign of the vocabulary stands for a byte
+        self.bytes = np.zeros(max(read["model"]["vocab"].values()) + 1, dtype=np.int64)
+        for sign, i in read["model"]["vocab"].items():
+            self.bytes[i] = len(sign)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes new parts in one call; each comes back as its own ids."""
-        if len(self.memo) + len(parts) > self.most:
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        raw, a = ids.tobytes(), 0
+        for part, b in zip(parts, (4 * ends).tolist()):
+            self.memo[part] = raw[a:b]
+            a = b
+
+    def plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and not (self.special and self.special.search(text))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what is new to all of them is learnt at once."""
+        split = [_parts(t) if self.plain(t) else None for t in texts]
+        new = set().union(*[p for p in split if p]).difference(self.memo)
+        if len(self.memo) + len(new) > self.most:
             self.memo.clear()
-        for part, got in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            self.memo[part] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or self.special and self.special.search(text):
-            return self.whole(text) if text else b""
-        head, *rest = text.replace("\n", " \n").split(" ")
-        parts = [head, *[p if p[0] == "\n" else " " + p for p in rest]]
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            old = {p: memo[p] for p in parts if p in memo}
-            self.learn([p for p in dict.fromkeys(parts) if p not in old])
-            return b"".join([old[p] if p in old else memo[p] for p in parts])
+            new = set().union(*[p for p in split if p])
+        if new:
+            self.learn(list(new))
+        find = self.memo.__getitem__
+        # the line end put before a text's first word is one id
+        return [b"".join(map(find, p))[4:] if p else self.whole(t) if t else b"" for p, t in zip(split, texts)]
+
+
+def _parts(text: str) -> list[str]:
+    """Words, each with the blank or line end before it; the first gets a line end."""
+    return _PART.findall("\n" + text)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(definition: str) -> Encoder:
+    """A worker's encoder; what it has learnt serves all tasks of the worker."""
+    return Encoder(definition)
 
 
 def definition(path: str) -> str:
@@ -82,21 +109,35 @@ def definition(path: str) -> str:
         return f.read()
 
 
+def _portions(ids: pd.Series, texts: pd.Series, chars: int = 500_000) -> Iterator[tuple[list, list[str]]]:
+    """Rows in portions of about so many characters."""
+    some: tuple[list, list[str]] = ([], [])
+    held = 0
+    for i, t in zip(ids, texts):
+        some[0].append(i)
+        some[1].append(t or "")
+        held += len(some[1][-1])
+        if held >= chars:
+            yield some
+            some, held = ([], []), 0
+    yield some
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(definition(tokenizer))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(shared.value)
+        encode = encoder(shared.value)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = (encode(text) if text else b"") + end
-                n = len(ids) // 4
-                at = 0 if n <= size else n % size or size
-                bounds = [0, *range(at, n, size), n] if at else [0, n]
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            for docs_at_once in _portions(batch["doc_id"], batch["text"]):
+                for doc, ids in zip(docs_at_once[0], encode(docs_at_once[1])):
+                    ids += end
+                    n = len(ids) // 4
+                    bounds = [0, n] if n <= size else [0, *range(n % size or size, n, size), n]
+                    rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype, "piece": "int32"})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -157,7 +198,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
 
 def placed(spark: SparkSession, cut: DataFrame, steps: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """Joins each piece, by its length and its rank within the length, to the step that holds the rank."""
-    bits = bucket_bits(sum(s[2] for s in steps), partitions(spark))
+    counts = defaultdict(int)
+    for length, _, n, _, _ in steps:
+        counts[length] += n
+    n = sum(counts.values())
+    known = F.create_map(*[F.lit(v) for item in counts.items() for v in item]) if counts else F.create_map().cast("map<int,int>")
+    bits = range_bits(F.element_at(known, F.col("length").cast("int")), n, partitions(spark))
     ranked = prefix_sums(cut, ["length"], "key", ["doc_id", "piece", "ids_crc32", "start"], {"rank": "one"}, bits)
     # at most a few steps per pair of lengths, whatever the corpus
     table = stored(spark.createDataFrame(pd.DataFrame(steps, columns=["_length", "_rank", "_n", "_bin", "offset"]) if steps else [], "_length long, _rank long, _n long, _bin long, offset long"), "plan")
