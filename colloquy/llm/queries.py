@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pages, pii, quality, sharding, substrings
+from . import mixing, neardup, packing, pages, pii, quality, sharding, substrings
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op6_repeated_passages, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op5_near_duplicates, op6_repeated_passages, op8_sharding, op10_packing)}
 #: Windows of 20 words, each word covered by one that starts earlier elsewhere.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -58,4 +62,20 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT
 FROM d LEFT JOIN j USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_repeated_passages": OP6_SQL}
+#: All pairs that share a shingle, then reachability.
+OP5_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, hash(list_aggregate(w[i:i + 4], 'string_agg', ' ')) AS h FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r(doc_id, o) AS (SELECT x, y FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.o),
+m AS (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.o, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(m.o, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op6_repeated_passages": OP6_SQL}
