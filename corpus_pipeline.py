@@ -1,29 +1,49 @@
-"""From raw documents to packed training sequences: rules, near-dedup, personal data, mixture, packing."""
+"""From raw documents to packed training sequences.
+
+The stages, in order: quality rules drop rejected documents, near-dedup keeps one of each group, personal
+data is masked, sources are mixed to their target weights, and the mixed documents are packed. Each takes
+and returns the columns of documents, but the last, which returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import packing, quality
+from colloquy.llm import mixing, neardup, packing, pii, quality
+from colloquy.llm.common import stored
 from colloquy.llm.queries import tokenizer_path
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
-def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", _quality), ("packing", _packing)]
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("source mix", source_mix), ("packing", sequence_packing)]
 
-#: Label models, tokenizers and hash orders have no SQL form; tests hold the stages against brute force.
+#: The label model, the tagger, hash orders and the tokenizer have no SQL form; tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents, each stored in the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
