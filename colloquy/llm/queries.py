@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, pages, pii, quality, sharding, substrings
+from . import mixing, neardup, nearest, packing, pages, pii, quality, sharding, substrings, wordpieces
 from .common import table
 
 
@@ -39,15 +39,23 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op5_near_duplicates, op6_repeated_passages, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op5_near_duplicates, op6_repeated_passages, op7_token_counts, op8_sharding, op9_nearest, op10_packing)}
 #: Windows of 20 words, each word covered by one that starts earlier elsewhere.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
