@@ -1,6 +1,6 @@
 """Fixtures over the given tables and the registered queries."""
 
-from . import analytics
+from . import analytics, transcripts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "transcripts"]
