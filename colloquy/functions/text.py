@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode blanks that count as white space here; they become plain blanks first.
@@ -38,11 +38,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(both, F.lit(0)).cast("double"))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Shared elements over those of the smaller set."""
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0)).cast("double"), F.lit(0.0))
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
     """1 less the edits over the greater length; two empty texts are alike."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -53,13 +48,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def span_score(a: Column, b: Column) -> Column:
-    """Likeness of two normal texts in [0, 1]: five measures, weighted; an empty side gives 0."""
-    ta, tb, ga, gb = F.array_distinct(tokens(a)), F.array_distinct(tokens(b)), char_ngrams(a), char_ngrams(b)
-    dice = F.coalesce(2.0 * F.size(F.array_intersect(ta, tb)) / F.nullif(F.size(ta) + F.size(tb), F.lit(0)), F.lit(0.0))
-    in_order = edit_ratio(F.array_join(F.array_sort(tokens(a)), " "), F.array_join(F.array_sort(tokens(b)), " "))
-    score = 0.30 * dice + 0.25 * in_order + 0.20 * containment(ga, gb) + 0.15 * edit_ratio(a, b) + 0.10 * jaccard(ga, gb)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(score)
+def with_span_score(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the likeness of two columns of normal texts in [0, 1]: five measures, weighted; an empty side gives 0.
+
+    Tokens and n-grams are columns of their own on the way, so that each is computed once.
+    """
+    steps = df.withColumns({"_ta": tokens(F.col(a)), "_tb": tokens(F.col(b)), "_ga": char_ngrams(F.col(a)), "_gb": char_ngrams(F.col(b))})
+    steps = steps.withColumns({"_da": F.array_distinct("_ta"), "_db": F.array_distinct("_tb"), "_sa": F.array_join(F.array_sort("_ta"), " "), "_sb": F.array_join(F.array_sort("_tb"), " ")})
+    steps = steps.withColumns({"_both": F.size(F.array_intersect("_ga", "_gb")), "_all": F.size(F.array_union("_ga", "_gb")), "_words": F.size(F.array_intersect("_da", "_db"))})
+    dice = F.coalesce(2.0 * F.col("_words") / F.nullif(F.size("_da") + F.size("_db"), F.lit(0)), F.lit(0.0))
+    inside = F.coalesce(F.col("_both") / F.nullif(F.least(F.size("_ga"), F.size("_gb")), F.lit(0)).cast("double"), F.lit(0.0))
+    shared = F.coalesce(F.col("_both") / F.nullif(F.col("_all"), F.lit(0)).cast("double"), F.lit(1.0))
+    score = 0.30 * dice + 0.25 * edit_ratio(F.col("_sa"), F.col("_sb")) + 0.20 * inside + 0.15 * edit_ratio(F.col(a), F.col(b)) + 0.10 * shared
+    out = steps.withColumn(name, F.when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(score))
+    return out.drop("_ta", "_tb", "_ga", "_gb", "_da", "_db", "_sa", "_sb", "_both", "_all", "_words")
 
 
 def regex_escape(text: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import round_half_up
-from ..functions.text import normal, span_score, tokens
+from ..functions.text import normal, tokens, with_span_score
+from ..sources.shared import fresh_path
 
 #: Thresholds for our own score, set on fixtures: an anchor, and a match at all.
 ANCHOR, MATCH, SURE = 0.75, 0.40, 0.95
@@ -54,7 +55,8 @@ def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFra
     text = hints.select("conversation_id", "segment_index", normal(F.col("text")).alias("wanted"))
     j = candidates.join(text, ["conversation_id", "segment_index"]).join(said, "conversation_id").filter(F.col("start") + F.col("size") <= F.size("said"))
     span = normal(F.array_join(F.slice("said", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), " "))
-    return j.select("conversation_id", "segment_index", "n", "start", "size", round_half_up(span_score(F.col("wanted"), span), 6).alias("score"))
+    j = with_span_score(j.select("conversation_id", "segment_index", "n", "start", "size", "wanted", span.alias("span")), "wanted", "span", "score")
+    return j.select("conversation_id", "segment_index", "n", "start", "size", round_half_up(F.col("score"), 6).alias("score"))
 
 
 def best_match(spans: DataFrame, least: float = MATCH) -> DataFrame:
@@ -188,7 +190,10 @@ def aligned_transcripts(hints: DataFrame, words: DataFrame) -> DataFrame:
     still unmatched lies between its neighbours' words in proportion to its own.
     """
     good = valid_words(words)
-    spans = scored(span_candidates(hints, words), hints, words)
+    # anchors and matches both choose among the scored spans, which are stored once
+    path = fresh_path(hints.sparkSession, "spans")
+    scored(span_candidates(hints, words), hints, words).write.parquet(path)
+    spans = hints.sparkSession.read.parquet(path)
     anchors = anchor_selection(spans).withColumn("rank", F.lit(0))
     best = best_match(spans).select("conversation_id", "segment_index", "start", "size", "score").withColumn("rank", F.lit(1))
     one = anchors.unionByName(best).groupBy("conversation_id", "segment_index").agg(F.min_by(F.struct("start", "size", "score"), "rank").alias("m"))

@@ -356,7 +356,7 @@ _SCORE = lambda: f"""CASE WHEN a = '' OR b = '' THEN 0 ELSE 0.30::DOUBLE * (2.0:
 def span_score(spark, sf):
     from ..functions.numbers import round_half_up
 
-    return _pairs(spark, sf).select("conversation_id", "segment_index", round_half_up(tx.span_score(F.col("a"), F.col("b")), 6).alias("score"))
+    return tx.with_span_score(_pairs(spark, sf), "a", "b", "score").select("conversation_id", "segment_index", round_half_up(F.col("score"), 6).alias("score"))
 
 
 @query("regex_escape", with_views("segment", rf"SELECT {_SEG}, regexp_replace(text, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') AS text FROM segment"))
