@@ -141,7 +141,10 @@ class Index:
         q = np.concatenate([sample[at], np.zeros((len(at), 1))], axis=1).astype(np.float32)
         to = _distances(q, self.centroids)
         need = np.full(best.shape, np.inf)
-        rows, lists = self.homes(sample)
+        # in portions, as in tasks: a search holds its beams in memory
+        found = [self.homes(sample[lo : lo + 1024]) for lo in range(0, len(sample), 1024)]
+        rows = np.concatenate([r + 1024 * k for k, (r, _) in enumerate(found)])
+        lists = np.concatenate([f[1] for f in found])
         by_row = np.split(lists, np.searchsorted(rows, np.arange(1, len(sample))))
         for i in range(len(at)):
             for j, b in enumerate(best[i]):
@@ -161,8 +164,8 @@ def _spread(shared, query: bool):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 rows, lists = (index.asked if query else index.homes)(_rows(part.column("v")))
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("vec_id").take(at), part.column("v").take(at)], names=["list", "id", "v"])
