@@ -1,20 +1,21 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A document's set is its distinct runs of five lower-cased words. Its sketch is the k (256) least hashes
-of the set, which is the whole set where it has no more.
+A document's set is its distinct runs of five lower-cased words. Its sketch is the k least hashes of the
+set, which is the whole set where it has no more: 48 to find who may be alike, and 4096, for those who
+may, to tell whether they are.
 
 1. Documents of the same words become one class, known by its smallest id; only classes go on.
-2. Inverted lists of the first 64 retained values give how many classes retain each value. Two sets of
-   Jaccard similarity 0.85 retain at least ``_shared`` of 64 values in common (five standard deviations
-   below the mean), so in the order rarest first they share one of the first 64 - shared + 1. A class
+2. Inverted lists of the retained values give how many classes retain each value. Two sets of Jaccard
+   similarity 0.85 retain at least ``_shared`` of 48 values in common (five standard deviations below
+   the mean), so in the order rarest first they share one of the first 48 - shared + 1. A class
    whose values are mostly its own can have no partner and ends here; the others stand in the lists of
    those first values alone, and lists of the same classes are one.
-3. A long list is cut into blocks, and each pair of blocks is a task's small matrix product. The
+3. Those who stand in lists are read again for the larger sketch. A long list is cut into blocks, and each pair of blocks is a task's small matrix product. The
    union-sketch estimate (exact where both sketches are whole sets) drops pairs more than four standard
    deviations below the threshold. Of pairs that are sure to be linked a block gives a spanning forest;
    of those in doubt, all between different trees. So a group of copies gives about as many rows as it
    has members.
-4. Pairs of larger sets are confirmed on the full sets, and links are merged to components by rounds of
+4. Pairs with a larger set than the sketch are confirmed on the full sets, and links are merged to components by rounds of
    neighbour-minimum and pointer jumping over stored tables.
 
 Nulls and empty texts have an empty set and no links. Null ids count as one id after all others; rows
@@ -37,7 +38,7 @@ from .common import partitions, stored
 from .shingles import Words, portions
 
 SHINGLE, PERCENT = 5, 85
-SKETCH, LISTED, BLOCK = 256, 64, 1024
+SKETCH, LISTED, BLOCK = 4096, 48, 1024
 #: Standard deviations of the estimate that a pair may lie below (or must lie above) the threshold.
 SIGMAS = 4
 _LAST = (1 << 63) - 1
@@ -67,15 +68,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batch, "text"):
             w, sets = _sets(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(w.whole(0).view(np.int64)), pa.array(w.whole(1).view(np.int64)), pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "a", "b", "low", "sketch"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(w.whole(0).view(np.int64)), pa.array(w.whole(1).view(np.int64)), pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "a", "b", "low"],
             )
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in portions(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in _sets(part.column("text"))[1]], pa.binary())], names=["_id", "set"])
+def _full(most: int | None):
+    """(_id, n_shingles, sketch) with at most so many of the least hashes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text"):
+                sets = _sets(part.column("text"))[1]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:most].tobytes() for s in sets], pa.binary())], names=["_id", "n_shingles", "sketch"])
+
+    return read
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -219,9 +226,10 @@ def merged(links: DataFrame) -> DataFrame:
 
 def _lists(reps: DataFrame) -> DataFrame:
     """(list, doc_id, members) of classes that may have a partner; lists of two or more, each set of members once."""
-    rows = reps.select("doc_id", "n_shingles", F.explode("low").alias("value"))
+    rows = reps.select("doc_id", F.explode("low").alias("value"))
     common = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    held = rows.join(common, "value").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    held = rows.join(common, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    held = held.join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
     # of the first places, those of values that no other class retains come first and need no list
     need = F.element_at(F.array(*[F.lit(_shared(k)) for k in range(1, 1024)]), F.least("n", F.lit(1023)).cast("int"))
     size = F.least("n", F.lit(LISTED))
@@ -242,22 +250,23 @@ def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = lists.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")).select("list", "doc_id", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     rows = rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    used = lists.select(F.col("doc_id").alias("_id")).distinct()
-    sketched = reps.join(used, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_id"), "n_shingles", "sketch")
+    kind = "_id long, n_shingles long, sketch binary"
+    used = stored(lists.select(F.col("doc_id").alias("_u")).distinct(), "used")
+    sketched = stored(docs.join(used, F.col("doc_id") == F.col("_u"), "left_semi").mapInArrow(_full(SKETCH), kind), "sketched")
     rows = rows.join(sketched, F.col("doc_id") == F.col("_id")).select("list", "i", "j", "own", "doc_id", "n_shingles", "sketch")
     found = rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "x long, y long, sure boolean")
     found = stored(found.groupBy("x", "y").agg(F.max("sure").alias("sure")), "pairs")
     doubt = found.filter("not sure")
     wanted = stored(doubt.select(F.col("x").alias("_w")).union(doubt.select("y")).distinct(), "wanted")
-    sets = stored(docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(_full, "_id long, set binary").dropDuplicates(["_id"]), "sets")
-    pairs = doubt.join(sets, F.col("x") == F.col("_id")).select("x", "y", F.col("set").alias("set_x")).join(sets, F.col("y") == F.col("_id")).select("x", "y", "set_x", F.col("set").alias("set_y"))
+    sets = stored(docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(_full(None), kind).dropDuplicates(["_id"]), "sets")
+    pairs = doubt.join(sets, F.col("x") == F.col("_id")).select("x", "y", F.col("sketch").alias("set_x")).join(sets, F.col("y") == F.col("_id")).select("x", "y", "set_x", F.col("sketch").alias("set_y"))
     return stored(found.filter("sure").select("x", "y").union(pairs.mapInArrow(_confirmed, "x long, y long")), "links")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>, sketch binary"), "sketches")
+    sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>"), "sketches")
     groups = sketches.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = stored(sketches.select("doc_id", "a", "b", "n_shingles").join(groups, ["a", "b", "n_shingles"]).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
     found = merged(links(docs, sketches, copies))
