@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_bits, hash_key, partitions, prefix_sums, stored
+from .common import range_bits, hash_key, partitions, prefix_sums, stored, text_batches
 
 SIZE, END_ID = 1024, 2
 #: Words of which a worker remembers the ids; when they are as many, it starts anew.
-MEMO = 1_000_000
+MEMO = 250_000
 
 #: Plans of up to so many steps (40 bytes each) are broadcast.
 BROADCAST_STEPS = 200_000
@@ -125,6 +125,7 @@ def _portions(ids: pd.Series, texts: pd.Series, chars: int = 500_000) -> Iterato
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(definition(tokenizer))
     end = np.array([end_id], dtype="<u4").tobytes()
 

@@ -30,9 +30,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=8)
+#: Powers of so many places are kept for later; a longer text has its own made.
+KEPT = 1 << 20
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
+    return _made(base, n) if n > KEPT else _known(base, n)
+
+
+@functools.lru_cache(maxsize=8)
+def _known(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _made(base, n)
+
+
+def _made(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.full(n, base, dtype=np.uint64)
     back = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
     ones[:1] = back[:1] = 1
@@ -97,7 +109,7 @@ class Words:
         return ok
 
 
-def portions(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> list[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, text: str, most: int = 400_000) -> list[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text; a longer text stands alone."""
     sizes = np.array([0 if v is None else v for v in pc.binary_length(batch.column(text)).to_pylist()], dtype=np.int64)
     part = np.cumsum(sizes) // most
