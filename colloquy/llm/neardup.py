@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, stored, text_batches
 from .shingles import Words, portions
 
 SHINGLE, PERCENT = 5, 85
@@ -265,6 +265,7 @@ def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>"), "sketches")
     groups = sketches.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")

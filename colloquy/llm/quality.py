@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stored
+from .common import WORD, stored, text_batches
 
 _WORD = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -150,6 +150,7 @@ def base_failed() -> Column:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and p_good of every document."""
+    text_batches(docs.sparkSession)
     found = stored(docs.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "quality")
     model = label_model(found)
     out = found.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(F.col("pattern"), *model))
@@ -158,6 +159,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Features are computed twice rather than shuffled."""
+    text_batches(docs.sparkSession)
     model = label_model(docs.select(features("text").alias("f")).select("f.pattern"))
     judged = docs.select(F.struct(*docs.columns).alias("_row"), features("text").alias("f")).select("_row", "f.*")
     good = judged.filter(~base_failed() & (posterior(F.col("pattern"), *model) >= 0.5))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, stored
+from .common import partitions, stored, text_batches
 from .shingles import Words, mixed, portions
 
 WINDOW, ANCHOR = 20, 8
@@ -200,6 +200,7 @@ def sketch_bits(total_bytes: int) -> int:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = stored(docs.mapInArrow(_prints, "doc_id long, n_words long, a long, b long, bytes long"), "prints")
