@@ -6,7 +6,7 @@ may, to tell whether they are.
 
 1. Documents of the same words become one class, known by its smallest id; only classes go on.
 2. Inverted lists of the retained values give how many classes retain each value. Two sets of Jaccard
-   similarity 0.85 retain at least ``_shared`` of 48 values in common (five standard deviations below
+   similarity 0.85 (``percent``; the pipeline links from 0.80) retain at least ``_shared`` of 48 values in common (five standard deviations below
    the mean), so in the order rarest first they share one of the first 48 - shared + 1. A class
    whose values are mostly its own can have no partner and ends here; the others stand in the lists of
    those first values alone, and lists of the same classes are one.
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, text_batches
 from .shingles import Words, portions
 
+#: The least Jaccard similarity of a link, in percent, unless the caller names another.
 SHINGLE, PERCENT = 5, 85
 SKETCH, LISTED, BLOCK = 4096, 48, 1024
 #: Standard deviations of the estimate that a pair may lie below (or must lie above) the threshold.
@@ -44,12 +45,12 @@ SIGMAS = 4
 _LAST = (1 << 63) - 1
 
 
-def _shared(n: int) -> int:
+def _shared(n: int, percent: int = PERCENT) -> int:
     """Values among the first LISTED of a set of n that any linked set retains among its own first."""
-    if n * 100 <= PERCENT * LISTED:  # then the partner's sketch is its whole set
-        return -(-PERCENT * n // 100)
+    if n * 100 <= percent * LISTED:  # then the partner's sketch is its whole set
+        return -(-percent * n // 100)
     k = min(n, LISTED)
-    p = PERCENT / 100
+    p = percent / 100
     return max(1, math.floor(k * p - 5 * math.sqrt(k * p * (1 - p) * (1 - min(1.0, k / n) / 2))))
 
 
@@ -118,7 +119,7 @@ def _trees(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int, bool]]:
+def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int, bool]]:
     """(x, y, sure): sure links as a forest, and pairs in doubt between its trees.
 
     ``side`` tells which of the two blocks of the pair a member stands in; 2 if it is one block.
@@ -133,10 +134,10 @@ def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.
     union = np.where(lesser, own[:, None] + within.T, within + own[None, :]) - shared
     estimate = shared / np.maximum(union, 1)
     both = whole[:, None] & whole[None, :]
-    t = PERCENT / 100
+    t = percent / 100
     slack = SIGMAS * np.sqrt(t * (1 - t) / np.maximum(union, 1))
-    exact = both & (100 * shared >= PERCENT * union) & (union > 0)
-    likely = ~both & (estimate >= t - slack) & (100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :]))
+    exact = both & (100 * shared >= percent * union) & (union > 0)
+    likely = ~both & (estimate >= t - slack) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
     other = (side[:, None] != side[None, :]) | (side[:, None] == 2)
     exact, likely = exact & other, likely & other
     sure = exact | likely & (estimate >= np.minimum(1, t + slack))
@@ -159,51 +160,57 @@ def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.
     return [(min(a, b), max(a, b), s) for a, b, s in out if a != b]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(percent: int):
     """Reads rows sorted by (list, i, j) and compares the members of each such pair of blocks."""
 
-    def compared(rows: list[pa.RecordBatch]) -> list[tuple[int, int, bool]]:
-        t = pa.Table.from_batches(rows)
-        ids = t.column("doc_id").to_numpy()
-        _, first = np.unique(ids, return_index=True)
-        if len(first) < 2:
-            return []
-        t = t.take(first)
-        i, j, own = (t.column(c).to_numpy() for c in ("i", "j", "own"))
-        return block_pairs(t.column("doc_id").to_numpy(), np.where(i == j, 2, own == i), t.column("n_shingles").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()])
-
-    def batch(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["x", "y", "sure"])
-
-    held: list[pa.RecordBatch] = []
-    key, out = None, []
-    for b in batches:
-        k = np.stack([b.column(c).to_numpy() for c in ("list", "i", "j")])
-        cuts = [0, *(np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi == lo:
-                continue
-            if (now := tuple(k[:, lo])) != key and held:
-                out += compared(held)
-                held = []
-            key = now
-            held.append(b.slice(lo, hi - lo))
-        if len(out) > 50_000:
-            yield batch(sorted(set(out)))
-            out = []
-    if held:
-        out += compared(held)
-    yield batch(sorted(set(out)))
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for s, t in zip(b.column("set_x").to_pylist(), b.column("set_y").to_pylist()):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(rows: list[pa.RecordBatch]) -> list[tuple[int, int, bool]]:
+            t = pa.Table.from_batches(rows)
+            ids = t.column("doc_id").to_numpy()
+            _, first = np.unique(ids, return_index=True)
+            if len(first) < 2:
+                return []
+            t = t.take(first)
+            i, j, own = (t.column(c).to_numpy() for c in ("i", "j", "own"))
+            return block_pairs(t.column("doc_id").to_numpy(), np.where(i == j, 2, own == i), t.column("n_shingles").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()], percent)
+
+        def batch(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["x", "y", "sure"])
+
+        held: list[pa.RecordBatch] = []
+        key, out = None, []
+        for b in batches:
+            k = np.stack([b.column(c).to_numpy() for c in ("list", "i", "j")])
+            cuts = [0, *(np.flatnonzero((np.diff(k) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if (now := tuple(k[:, lo])) != key and held:
+                    out += compared(held)
+                    held = []
+                key = now
+                held.append(b.slice(lo, hi - lo))
+            if len(out) > 50_000:
+                yield batch(sorted(set(out)))
+                out = []
+        if held:
+            out += compared(held)
+        yield batch(sorted(set(out)))
+
+    return read
+
+
+def _confirmed(percent: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for s, t in zip(b.column("set_x").to_pylist(), b.column("set_y").to_pylist()):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return read
 
 
 def merged(links: DataFrame) -> DataFrame:
@@ -224,14 +231,14 @@ def merged(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, percent: int) -> DataFrame:
     """(list, doc_id, members) of classes that may have a partner; lists of two or more, each set of members once."""
     rows = reps.select("doc_id", F.explode("low").alias("value"))
     common = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     held = rows.join(common, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     held = held.join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
     # of the first places, those of values that no other class retains come first and need no list
-    need = F.element_at(F.array(*[F.lit(_shared(k)) for k in range(1, 1024)]), F.least("n", F.lit(1023)).cast("int"))
+    need = F.element_at(F.array(*[F.lit(_shared(k, percent)) for k in range(1, 1024)]), F.least("n", F.lit(1023)).cast("int"))
     size = F.least("n", F.lit(LISTED))
     room = (size - need + 1) - (size - F.size("v"))
     listed = held.withColumn("room", room.cast("int")).filter("room > 0").select("doc_id", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("e")).select("doc_id", F.col("e.value").alias("list"))
@@ -241,12 +248,12 @@ def _lists(reps: DataFrame) -> DataFrame:
     return listed.join(once, "list")
 
 
-def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (x, y) that join the linked classes."""
     n = partitions(docs.sparkSession)
     later = copies.select(F.col("doc_id").alias("_id")).distinct()
     reps = sketches.filter("n_shingles > 0").join(later, F.col("doc_id") == F.col("_id"), "left_anti")
-    lists = stored(_lists(reps), "lists")
+    lists = stored(_lists(reps, percent), "lists")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = lists.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")).select("list", "doc_id", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     rows = rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
@@ -254,32 +261,32 @@ def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame) -> DataFrame:
     used = stored(lists.select(F.col("doc_id").alias("_u")).distinct(), "used")
     sketched = stored(docs.join(used, F.col("doc_id") == F.col("_u"), "left_semi").mapInArrow(_full(SKETCH), kind), "sketched")
     rows = rows.join(sketched, F.col("doc_id") == F.col("_id")).select("list", "i", "j", "own", "doc_id", "n_shingles", "sketch")
-    found = rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "x long, y long, sure boolean")
+    found = rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks(percent), "x long, y long, sure boolean")
     found = stored(found.groupBy("x", "y").agg(F.max("sure").alias("sure")), "pairs")
     doubt = found.filter("not sure")
     wanted = stored(doubt.select(F.col("x").alias("_w")).union(doubt.select("y")).distinct(), "wanted")
     sets = stored(docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(_full(None), kind).dropDuplicates(["_id"]), "sets")
     pairs = doubt.join(sets, F.col("x") == F.col("_id")).select("x", "y", F.col("sketch").alias("set_x")).join(sets, F.col("y") == F.col("_id")).select("x", "y", "set_x", F.col("sketch").alias("set_y"))
-    return stored(found.filter("sure").select("x", "y").union(pairs.mapInArrow(_confirmed, "x long, y long")), "links")
+    return stored(found.filter("sure").select("x", "y").union(pairs.mapInArrow(_confirmed(percent), "x long, y long")), "links")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>"), "sketches")
     groups = sketches.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = stored(sketches.select("doc_id", "a", "b", "n_shingles").join(groups, ["a", "b", "n_shingles"]).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    found = merged(links(docs, sketches, copies))
+    found = merged(links(docs, sketches, copies, percent))
     known = sketches.select("doc_id", "n_shingles").join(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("first").alias("first")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class"))
     out = known.join(found, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     ids = {c: F.when(F.col(c) != _LAST, F.col(c)) for c in ("doc_id", "component_id")}
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumns(ids)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents less all but one of each group; of rows that share an id, one stays."""
-    found = stored(components(docs).select("doc_id", "kept"), "components")
+    found = stored(components(docs, percent).select("doc_id", "kept"), "components")
     gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     many = stored(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_many")), "many")
     left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

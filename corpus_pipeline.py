@@ -14,12 +14,16 @@ from colloquy.llm.common import stored
 from colloquy.llm.queries import tokenizer_path
 
 
+#: Near copies from this Jaccard similarity on, in percent, are one group; op5's 85 binds that query alone.
+NEAR = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

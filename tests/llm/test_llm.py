@@ -178,6 +178,24 @@ def test_near_duplicates(spark, texts):
     assert neardup.components(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_pipeline_links_near_copies_from_080(spark):
+    """Pairs of one Jaccard similarity each from 0.70 to 0.90, against brute force at 80 percent."""
+    import corpus_pipeline as cp
+
+    pairs, want, between = [], set(), 0
+    for k, changed in enumerate(range(4, 14)):
+        a = [f"p{k}w{i}" for i in range(300)]
+        b = [f"new{k}x{i}" if i % 20 == 10 and i // 20 < changed else w for i, w in enumerate(a)]
+        x, y = ({tuple(w[i : i + 5]) for i in range(296)} for w in (a, b))
+        pairs += [" ".join(a), " ".join(b)]
+        linked = 100 * len(x & y) >= 80 * len(x | y)
+        between += linked and 100 * len(x & y) < 85 * len(x | y)
+        want |= {2 * k} if linked else {2 * k, 2 * k + 1}
+    assert between and len(want) > len(pairs) // 2
+    got = dict(cp.STAGES)["near duplicates"](spark, docs(spark, pairs), "")
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_repeated_passages(spark, texts):
     seen, want = {}, []
     for t in texts:
