@@ -35,6 +35,32 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """(_row, _key) of every row, and the least key of a row without a doc_id (None: all rows have one).
+
+    The key is the doc_id; rows without one get keys of their own after all ids, the last longs there are.
+    Those rows alone are stored, so that their keys stay the same however often the table is read.
+    """
+    row, known = F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long")
+    none = docs.filter(known.isNull())
+    if none.isEmpty():
+        return docs.select(row, known.alias("_key")), None
+    rows = stored(none.select(row, F.monotonically_increasing_id().alias("_id")), "without-id")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = stored(rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", before.alias("_before"), "n"), "without-id-parts")
+    first = (1 << 63) - 1 - parts.agg(F.sum("n")).first()[0]
+    if (docs.agg(F.max(known)).first()[0] or 0) >= first:
+        raise ValueError("doc_id leaves no room above it for the rows without one")
+    late = rows.join(parts, part == F.col("_part")).select("_row", (F.lit(first) + F.col("_before") + place).alias("_key"))
+    return docs.filter(known.isNotNull()).select(row, known.alias("_key")).unionByName(late), first
+
+
+def unkeyed(key: str, first: int | None) -> Column:
+    """The doc_id that a key of :func:`keyed` stands for."""
+    return F.col(key) if first is None else F.when(F.col(key) < first, F.col(key))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that no later result reads."""
     for t in tables:

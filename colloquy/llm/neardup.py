@@ -18,8 +18,8 @@ may, to tell whether they are.
 4. Pairs with a larger set than the sketch are confirmed on the full sets, and links are merged to components by rounds of
    neighbour-minimum and pointer jumping over stored tables.
 
-Nulls and empty texts have an empty set and no links. Null ids count as one id after all others; rows
-that share an id are one document. Ties: a component is known by its smallest id. Empty table: no rows.
+Nulls and empty texts have an empty set and no links. Each row without an id is a document of its
+own after all others; rows that share an id are one document. Ties: a component is known by its smallest id. Empty table: no rows.
 Texts of any length are read whole. Other columns are ignored by :func:`components` and carried along by
 :func:`keep_one`.
 """
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_batches
+from .common import keyed, partitions, stored, text_batches, unkeyed
 from .shingles import Words, portions
 
 #: The least Jaccard similarity of a link, in percent, unless the caller names another.
@@ -42,7 +42,6 @@ SHINGLE, PERCENT = 5, 85
 SKETCH, LISTED, BLOCK = 4096, 48, 1024
 #: Standard deviations of the estimate that a pair may lie below (or must lie above) the threshold.
 SIGMAS = 4
-_LAST = (1 << 63) - 1
 
 
 def _shared(n: int, percent: int = PERCENT) -> int:
@@ -270,27 +269,36 @@ def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame, percent: int)
     return stored(found.filter("sure").select("x", "y").union(pairs.mapInArrow(_confirmed(percent), "x long, y long")), "links")
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; no id is null."""
     text_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>"), "sketches")
     groups = sketches.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = stored(sketches.select("doc_id", "a", "b", "n_shingles").join(groups, ["a", "b", "n_shingles"]).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
     found = merged(links(docs, sketches, copies, percent))
     known = sketches.select("doc_id", "n_shingles").join(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("first").alias("first")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class"))
-    out = known.join(found, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("component_id"))
-    ids = {c: F.when(F.col(c) != _LAST, F.col(c)) for c in ("doc_id", "component_id")}
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumns(ids)
+    return known.join(found, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("component_id"))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_key").alias("doc_id"), F.coalesce("_row.text", F.lit("")).alias("text"))
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    rows, first = keyed(docs.select("doc_id", "text"))
+    out = _classes(_texts(rows), percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: unkeyed(c, first) for c in ("doc_id", "component_id")})
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents less all but one of each group; of rows that share an id, one stays."""
-    found = stored(components(docs, percent).select("doc_id", "kept"), "components")
-    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rows, _ = keyed(docs)
+    found = stored(_classes(_texts(rows), percent), "components")
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     many = stored(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_many")), "many")
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    if many.isEmpty():
-        return left
-    same = left["doc_id"].cast("long").eqNullSafe(F.col("_many"))
-    return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
+    left = rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    if not many.isEmpty():
+        same = F.col("_key") == F.col("_many")
+        left = left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates(["_key"]))
+    return left.select(*[F.col("_row").getField(n).alias(n) for n in docs.columns])

@@ -16,8 +16,8 @@ also start earlier: in a document of smaller id, or earlier in the same one.
 The sketch is the only thing broadcast; it has two rows of 2^16 to 2^28 bits, by the size of the corpus,
 so 64 MB at most. Beyond that more windows reach the exact pass; the result stays the same.
 
-Nulls: a null text has no words; null ids count as one id after all others. Rows that share an id are one
-document given several times: what is covered in one is covered in all at that place. An empty table
+Nulls: a null text has no words; each row without an id is a document of its own after all others. Rows
+that share an id are one document given several times: what is covered in one is covered in all at that place. An empty table
 gives no rows. Texts of any length are read whole. Other columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, stored, text_batches
+from .common import keyed, partitions, stored, text_batches, unkeyed
 from .shingles import Words, mixed, portions
 
 WINDOW, ANCHOR = 20, 8
@@ -41,7 +41,6 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Cells of a row for each expected anchor, and bytes of text for each anchor (7 words).
 SPARE, BYTES = 4, 40
 STRETCH_BITS = 14
-_LAST = (1 << 63) - 1
 _SLICE = 1 << 22
 
 
@@ -202,7 +201,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, first_without = keyed(docs.select("doc_id", "text"))
+    docs = rows.select(F.col("_key").alias("doc_id"), F.coalesce("_row.text", F.lit("")).alias("text"))
     prints = stored(docs.mapInArrow(_prints, "doc_id long, n_words long, a long, b long, bytes long"), "prints")
     total = prints.agg(F.sum("bytes")).first()[0] or 0
     groups = prints.filter(F.col("n_words") >= WINDOW).groupBy("a", "b", "n_words").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
@@ -213,11 +213,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bits = sketch_bits(total)
     parts = first.mapInArrow(_sketch(bits), "row int, stretch int, ones binary, many binary")
     merged = parts.repartition(partitions(spark), "row", "stretch").mapInArrow(_merged, "row int, stretch int, bits binary")
-    rows = [bytearray(1 << bits - 3) for _ in range(ROWS)]
+    table = [bytearray(1 << bits - 3) for _ in range(ROWS)]
     size = 1 << STRETCH_BITS - 3
     for r in merged.toLocalIterator():
-        rows[r["row"]][r["stretch"] * size : (r["stretch"] + 1) * size] = r["bits"]
-    shared = spark.sparkContext.broadcast([bytes(r) for r in rows])
+        table[r["row"]][r["stretch"] * size : (r["stretch"] + 1) * size] = r["bits"]
+    shared = spark.sparkContext.broadcast([bytes(r) for r in table])
 
     windows = first.mapInArrow(_candidates(shared, bits), "settled boolean, a long, b long, doc_id long, pos int, n int")
     rank = F.rank().over(W.partitionBy("a", "b", "settled").orderBy("doc_id", "pos"))
@@ -227,4 +227,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     out = first.join(runs, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "at", "n").mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     out = out.unionByName(gone)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    return out.withColumn("doc_id", unkeyed("doc_id", first_without))

@@ -212,6 +212,21 @@ def test_repeated_passages(spark, texts):
     assert substrings.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    """Different texts without id beside a copy without id: none is lost, and none is judged by another's text."""
+    text = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(4)]
+    twice = " ".join([text[3]] * 2)
+    rows = [(5, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, twice), (None, text[2]), (None, None), (None, "")]
+    d = docs(spark, [t for _, t in rows]).withColumn("doc_id", F.expr("element_at(array(5, null, null, null, null, null, null, null), cast(doc_id + 1 as int))").cast("long"))
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in neardup.components(d).collect())
+    assert got == sorted([(5, 56, 5, True), (-1, 56, 5, False), (-1, 56, -1, True), (-1, 56, -1, True), (-1, 60, -1, True), (-1, 56, -1, False), (-1, 0, -1, True), (-1, 0, -1, True)])
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(d).collect()]
+    assert sorted(kept, key=str) == sorted([(5, text[0]), (None, text[1]), (None, text[2]), (None, twice), (None, None), (None, "")], key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(d).collect())
+    assert got == sorted([(5, 60, 0, sha(text[0])), (-1, 60, 60, sha("")), (-1, 60, 0, sha(text[1])), (-1, 60, 0, sha(text[2])), (-1, 120, 60, sha(text[3])), (-1, 60, 60, sha("")), (-1, 0, 0, sha("")), (-1, 0, 0, sha(""))])
+
+
 def test_word_pieces_are_greedy(spark, texts):
     import json
 
