@@ -115,7 +115,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("user_id < 20")
+    e = table(spark, sf_dir, "events")
     names = F.array(*[F.lit(s) for s in ("pending", "uploading", "transcribing", "analyzing", "aligning", "finalizing", "complete", "failed")])
     rank = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return e.select(F.col("user_id").alias("conversation_id"), F.element_at(names, (rank % 8 + 1).cast("int")).alias("step"), F.col("ts").alias("started_at"), rank.alias("position"))
@@ -162,6 +162,8 @@ SQL: dict[str, str] = {
     "snapshot_b": "SELECT conversation_id, user_id, title, CASE WHEN conversation_id % 10 = 2 THEN 'changed' ELSE status END AS status FROM conversation WHERE conversation_id % 10 <> 1",
     "progress_event": """SELECT user_id AS conversation_id, ['pending', 'uploading', 'transcribing', 'analyzing', 'aligning', 'finalizing', 'complete', 'failed'][p % 8 + 1] AS step, ts AS started_at, p AS position
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events WHERE user_id < 20)""",
+    "progress_event_all": """SELECT user_id AS conversation_id, ['pending', 'uploading', 'transcribing', 'analyzing', 'aligning', 'finalizing', 'complete', 'failed'][p % 8 + 1] AS step, ts AS started_at, p AS position
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events)""",
 }
 _NEEDS = {"segment": ["segment0"], "word": ["segment0", "segment"], "correction": ["segment0", "segment"], "snapshot_a": ["conversation"], "snapshot_b": ["conversation"]}
 

@@ -220,6 +220,13 @@ def drift_correction(spark, sf):
 @query("step_timeline", with_views("progress_event", """SELECT conversation_id, position, step, lead(started_at) OVER w AS completed_at, (epoch_us(lead(started_at) OVER w) - epoch_us(started_at)) // 1000 AS duration_ms,
 CASE step WHEN 'uploading' THEN 15 WHEN 'transcribing' THEN 40 WHEN 'analyzing' THEN 60 WHEN 'aligning' THEN 85 WHEN 'finalizing' THEN 95 WHEN 'complete' THEN 100 ELSE 0 END AS percent FROM progress_event WINDOW w AS (PARTITION BY conversation_id ORDER BY position)"""))
 def step_timeline(spark, sf):
+    """The users that its SQL twin names; :func:`step_timeline_all` has every user."""
+    return se.step_timeline(fx.steps(spark, sf).filter("conversation_id < 20"))
+
+
+@query("step_timeline_all", with_views("progress_event_all", """SELECT conversation_id, position, step, lead(started_at) OVER w AS completed_at, (epoch_us(lead(started_at) OVER w) - epoch_us(started_at)) // 1000 AS duration_ms,
+CASE step WHEN 'uploading' THEN 15 WHEN 'transcribing' THEN 40 WHEN 'analyzing' THEN 60 WHEN 'aligning' THEN 85 WHEN 'finalizing' THEN 95 WHEN 'complete' THEN 100 ELSE 0 END AS percent FROM progress_event_all WINDOW w AS (PARTITION BY conversation_id ORDER BY position)"""))
+def step_timeline_all(spark, sf):
     return se.step_timeline(fx.steps(spark, sf))
 
 

@@ -62,6 +62,17 @@ def test_monotonic_repair_is_the_loop(spark):
             end = b
 
 
+def test_progress_covers_every_user(spark):
+    from colloquy.plans import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert events.filter("user_id >= 20").count() > 0
+    assert QUERIES["step_timeline_all"](spark, sf).count() == events.count()
+    got = QUERIES["progress_stream_all"](spark, sf).agg(F.sum(F.col("position") + 1)).first()[0]
+    assert got == events.count()
+
+
 def test_empty_segments(spark):
     none = spark.createDataFrame([], "conversation_id long, segment_index long, speaker_id string, start_ms long, end_ms long, text string")
     assert segments.boundary_repair(none).count() == 0
