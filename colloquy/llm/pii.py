@@ -8,8 +8,10 @@ spans from all windows of a text are reconciled together: the set of disjoint sp
 total score wins, none of which may touch a span of the patterns, fail its kind's own test (address form,
 digits, Luhn) or lie at a window's edge that another window sees past.
 
-Every kind needs a digit or an @ in its span, so windows are laid over the whole text but one without
-either is not scored: nothing could come of it.
+Every kind needs a digit or a sign for "at" (@, (at) or [at]) in its span, so windows are laid over the
+whole text but one without any is not scored: nothing could come of it. A span that reaches a window's
+edge, beyond which there is text, is decided in a window laid around it; one that no window holds is
+followed to both its ends and pieced together.
 
 Nulls: a null text is empty; an empty text has no spans. Repeated rows give equal results. Spans that tie
 in score: the earlier, then the kind named first. Empty table: no rows, and the tagger is trained on the
@@ -48,6 +50,8 @@ _PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _TRIGGER = re.compile(r"[0-9@]")
+#: What some span of every kind holds; the alternatives are those of the address form in _plausible.
+_HELD = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _RUN = re.compile(r"[0-9](?:[0-9\x20().+-]*[0-9])?")
 #: Used where a corpus gives no samples.
 _FALLBACK = ("write to jo.doe7@mail.example.org today", "call +1 (202) 555-0148 or", "host 10.20.30.40 is", "card 4111111111111111 ends", "in 1987 about 3.5 of 120, 44", "id 20240131 v1.2.3")
@@ -85,7 +89,7 @@ def _plausible(kind: str, s: str) -> bool:
     if s != s.strip() or "\n" in s:
         return False
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|\(at\)|\[at\]) ?[^\s@]+", s)) and bool(re.search(r"[A-Za-z0-9]\.[A-Za-z]{2,}$", s)) and bool(_TRIGGER.search(s))
+        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|\(at\)|\[at\]) ?[^\s@]+", s)) and bool(re.search(r"[A-Za-z0-9]\.[A-Za-z]{2,}$", s))
     if kind == "ip":
         parts = re.split(r" ?\. ?|\[\.\]", s)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
@@ -159,11 +163,10 @@ def train(texts: list[str], seed: int = 11) -> tagger.Tagger:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
+    """Starts of the windows that hold a digit or a sign for "at", at least in part."""
     wanted, last = [], -1
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        for w in (k - 1, k):
+    for m in _HELD.finditer(text):
+        for w in range(m.start() // STRIDE - 1, (m.end() - 1) // STRIDE + 1):
             if w >= 0 and w > last:
                 wanted.append(w * STRIDE)
                 last = w
@@ -192,10 +195,8 @@ def reconciled(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: tagger.Tagger) -> list[list[tuple[str, int, int]]]:
-    """What the tagger adds to each text."""
-    todo = [(i, at) for i, t in enumerate(texts) for at in windows(t)]
-    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+def _decoded(texts: list[str], todo: list[tuple[int, int]], model: tagger.Tagger) -> Iterator[tuple[int, str, int, int, np.ndarray, bool]]:
+    """(text, kind, start, end, margins, cut) of what the tagger finds in windows; cut: it reaches an edge that is not the text's."""
     for k in range(0, len(todo), 1024):
         part = todo[k : k + 1024]
         x = np.zeros((len(part), WINDOW), np.int16)
@@ -214,12 +215,53 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
                 kind, b = (y[a] - 1) // 2, a + 1
                 while b < WINDOW and y[b] == 2 + 2 * kind:
                     b += 1
-                edge = (a == 0 and at > 0) or (b == WINDOW and at + b < n)
-                score = float(margin[row, a:b].mean())
-                s = texts[i][at + a : at + b]
-                if not edge and score >= MARGIN and _plausible(KINDS[kind], s):
-                    found[i].append((KINDS[kind], at + a, at + b, score))
+                yield i, KINDS[kind], at + a, min(at + b, n), margin[row, a:b], bool((a == 0 and at > 0) or (b == WINDOW and at + b < n))
                 a = b
+
+
+def _pieced(cut: list[tuple[int, str, int, int, np.ndarray]]) -> Iterator[tuple[int, str, int, int, np.ndarray]]:
+    """Parts of one text and kind that overlap or meet, as one span each."""
+    i = None
+    for j, kind, a, b, m in sorted(cut, key=lambda s: s[:4]):
+        if i is not None and (j, kind) == (i, k) and a <= end:
+            if b > end:
+                marks.append(m[end - a : b - a])
+                end = b
+            continue
+        if i is not None:
+            yield i, k, start, end, np.concatenate(marks)
+        i, k, start, end, marks = j, kind, a, b, [m[: b - a]]
+    if i is not None:
+        yield i, k, start, end, np.concatenate(marks)
+
+
+def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: tagger.Tagger) -> list[list[tuple[str, int, int]]]:
+    """What the tagger adds to each text."""
+    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+
+    def keep(i: int, kind: str, a: int, b: int, margins: np.ndarray) -> None:
+        score = float(margins.mean())
+        if score >= MARGIN and _plausible(kind, texts[i][a:b]):
+            found[i].append((kind, a, b, score))
+
+    cut: list[tuple[int, str, int, int, np.ndarray]] = []
+    whole: set[tuple[int, str, int, int]] = set()
+    todo = [(i, at) for i, t in enumerate(texts) for at in windows(t)]
+    read = set(todo)
+    while todo:
+        for i, kind, a, b, margins, edge in _decoded(texts, todo, model):
+            if edge:
+                cut.append((i, kind, a, b, margins))
+            else:
+                whole.add((i, kind, a, b))
+                keep(i, kind, a, b, margins)
+        # what an edge cut is decided in a window around it; where none holds it, it is followed to both ends
+        wanted = {(i, max(0, min(at, len(texts[i]) - WINDOW))) for i, _, a, b, _ in _pieced(cut) for at in (((a + b - WINDOW) // 2,) if b - a < WINDOW - 1 else (a - STRIDE, b - STRIDE))}
+        todo = sorted(wanted - read)
+        read |= wanted
+    for i, kind, a, b, margins in _pieced(cut):
+        if b - a >= WINDOW - 1 and not any((j, k) == (i, kind) and c < b and a < d for j, k, c, d in whole):
+            keep(i, kind, a, b, margins)
     out = []
     for spans, base in zip(found, bases):
         free = [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)]

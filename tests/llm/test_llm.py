@@ -64,6 +64,40 @@ def test_tagger_learns_held_out_windows():
     assert (model.decode(x)[0] == y).mean() > 0.9
 
 
+def test_tagger_finds_addresses_without_sign_or_digit():
+    """Rewritten addresses without a digit or an @, short and too long for two windows to hold whole."""
+
+    class Reader:  # tags the address wherever it shows in a window, as a sure tagger would
+        def __init__(self, text, a, b):
+            self.want = (pii.tagger.codes(text), a, b)
+
+        def decode(self, x):
+            codes, a, b = self.want
+            tags = np.zeros(x.shape, np.int64)
+            for row, w in enumerate(x):
+                n = int((w != 0).sum())
+                at = next(k for k in range(len(codes)) if (codes[k : k + n] == w[:n]).all())
+                lo, hi = max(a - at, 0), min(b - at, pii.WINDOW)
+                if hi > lo:
+                    tags[row, lo:hi] = 2
+                    if a >= at:
+                        tags[row, lo] = 1
+            return tags, np.full(x.shape, 9.0)
+
+    rng = random.Random(1)
+    for form in ("jane.doe(at)mail.example.org", "jane.doe[at]mail.example.org", "j" + "ane.d" * 9 + "(at)mail.example.org", "jane.doe(at)" + "mail." * 22 + "org"):
+        for lead in (0, 25, 33, 67, 75, 79):
+            text = "".join(rng.choice("abcdefghij klmnop") for _ in range(lead)).strip() + " " + form + " " + "".join(rng.choice("qrstuv wxyz") for _ in range(200))
+            a = text.index(form)
+            assert pii.added_spans([text], [[]], Reader(text, a, a + len(form))) == [[("email", a, a + len(form))]], (form, lead)
+
+
+def test_trained_tagger_finds_addresses_with_at_in_brackets():
+    lines = [f"word {i} write to n{i}.x@mail{i % 7}.example.com now and call +1 ({200 + i}) 555-01{i % 90 + 10} or see 10.{i}.3.{i % 200} there" for i in range(90)]
+    texts = ["please write to jane.doe(at)mail.example.org about it", "word write to jane.doe[at]mail.example.org now and call him"]
+    assert pii.added_spans(texts, [[], []], pii.train(lines)) == [[("email", 16, 44)], [("email", 14, 42)]]
+
+
 def test_gradient_of_tagger():
     from colloquy.llm.tagger import Tagger
 
