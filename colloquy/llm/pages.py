@@ -2,11 +2,13 @@
 
 Each page scores its containers: a block's text, less its links, counts for the container above it, and
 for those further up by one over the distance. The page votes for the generalised tag-class path (numbers
-become #) with the highest score. Spark counts the votes by host; the second pass takes, on every page,
-the elements at its host's winning path, or at the page's own best path where the page has none there.
+become #) with the highest score, widened to the article around it and to what surrounds it with text of
+its own. Spark counts the votes by host; the second pass takes, on every page, the elements at its host's
+winning path, or at the page's own best path where the winner has less than a quarter of that one's text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
-out by element, role, class or id, wherever they stand. White space is that of HTML (blank, tab, line
+out by element, role, class or id, wherever they stand; a class or id that only says what an element has or
+lacks (with-sidebar) does not count, nor does a name, reader comments aside, on most of a page's text. White space is that of HTML (blank, tab, line
 and page ends) and runs of it become one blank, as do block ends.
 
 Nulls: a null html is empty, and a page without text gives "" and 0; a null url is a host of its own.
@@ -38,6 +40,11 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 LEFT_OUT = frozenset("head title script style noscript template nav header footer aside form menu dialog button select option textarea iframe svg canvas object audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar form search".split())
+#: Names that count however much of the page they hold, and first words of a class that speaks of something else.
+ALWAYS = frozenset("comment comments disqus".split())
+APART = frozenset("with without has have no not is".split())
+#: Of its own best path's text a page must have this share at the host's path.
+SHARE = 0.25
 #: An element that starts closes an open one of these kinds.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: They keep an open paragraph or item outside from being closed from within.
@@ -51,19 +58,25 @@ def _name(tag: str, attributes: dict[str, str]) -> str:
 
 
 def _left_out(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in LEFT_OUT or attributes.get("role", "").lower() in ROLES:
-        return True
+    """By element, role or the name of reader comments."""
+    return tag in LEFT_OUT or attributes.get("role", "").lower() in ROLES or not ALWAYS.isdisjoint(_words(tag, attributes))
+
+
+def _words(tag: str, attributes: dict[str, str]) -> list[str]:
+    """The words of class and id, but of those that tell of another element."""
     if tag in ("html", "body") or not attributes:
-        return False
-    words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not NAMES.isdisjoint(words)
+        return []
+    names = [re.split(r"[_-]+", n) for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+    return [w for name in names if len(name) == 1 or name[0] not in APART for w in name]
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "link", "up")
+    __slots__ = ("tag", "path", "out", "link", "up", "named")
 
-    def __init__(self, tag: str, path: str, out: bool, link: bool, up: Node | None):
+    def __init__(self, tag: str, path: str, out: bool, link: bool, up: Node | None, named: bool = False):
         self.tag, self.path, self.out, self.link, self.up = tag, path, out, link, up
+        #: The nearest element, this one or around it, that is left out by its name.
+        self.named: Node | None = self if named else up.named if up else None
 
 
 def read(html: str) -> list[tuple[Node, str]]:
@@ -105,8 +118,32 @@ def read(html: str) -> list[tuple[Node, str]]:
             continue
         if not m[3].rstrip().endswith("/") or tag not in ("path", "circle", "rect"):
             path = f"{at.path}>{_name(tag, attributes)}" if tag in CONTAINERS else at.path
-            at = Node(tag, path, at.out or _left_out(tag, attributes), at.link or tag == "a", at)
-    return runs
+            at = Node(tag, path, at.out or _left_out(tag, attributes), at.link or tag == "a", at, not NAMES.isdisjoint(_words(tag, attributes)))
+    return _unnamed(runs)
+
+
+def _unnamed(runs: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """The runs less those under an element that its name leaves out and that has no more than half of the text."""
+    if not any(at.named for at, _ in runs):
+        return runs
+    held: dict[Node, int] = defaultdict(int)
+    total = 0
+    for at, text in runs:
+        n = 0 if at.link else len(text.strip())
+        total += n
+        x = at.named
+        while x:
+            held[x] += n
+            x = x.up.named
+
+    def stays(x: Node | None) -> bool:
+        while x:
+            if 2 * held[x] <= total:
+                return False
+            x = x.up.named
+        return True
+
+    return [(at, text) for at, text in runs if not text or stays(at.named)]
 
 
 def scores(runs: list[tuple[Node, str]]) -> dict[str, float]:
@@ -136,6 +173,30 @@ def best_path(total: dict[str, float]) -> tuple[str, float]:
     return path, score
 
 
+def widened(runs: list[tuple[Node, str]], path: str) -> str:
+    """The path of the article around it, or of the highest container but the body around it with text of its own."""
+    parts = path.split(">")
+    above = [">".join(parts[:k]) for k in range(2, len(parts))]
+    tags = [p.split(".")[0] for p in parts[1:-1]]
+    own = set()
+    for at, text in runs:
+        if text.strip() and not at.link:
+            own.add(at.path)
+    wide = [p for p, tag in zip(above, tags) if tag == "article" or tag != "body" and p in own]
+    return wide[0] if wide else path
+
+
+def own_path(runs: list[tuple[Node, str]]) -> tuple[str, float]:
+    """The page's own best path, widened, and the score it had."""
+    path, score = best_path(scores(runs))
+    return widened(runs, path), score
+
+
+def weight_at(runs: list[tuple[Node, str]], path: str) -> int:
+    """Characters at the path outside links."""
+    return sum(len(t.strip()) for at, t in runs if not at.link and under(at.path, path))
+
+
 def under(path: str, prefix: str) -> bool:
     return path == prefix or path.startswith(prefix + ">")
 
@@ -148,15 +209,15 @@ def text_at(runs: list[tuple[Node, str]], path: str) -> str:
 def extract(html: str | None, winner: str | None) -> str:
     runs = read(html or "")
     text = text_at(runs, winner) if winner else ""
-    if not text:
-        path = best_path(scores(runs))[0]
+    path = own_path(runs)[0]
+    if not text or path and path != winner and weight_at(runs, winner) < SHARE * weight_at(runs, path):
         text = text_at(runs, path) if path else _SPACE.sub(" ", "".join(t or " " for _, t in runs)).strip(" ")
     return text
 
 
 @F.pandas_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())]))
 def vote(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_path(scores(read(h or ""))) for h in html], columns=["path", "score"])
+    return pd.DataFrame([own_path(read(h or "")) for h in html], columns=["path", "score"])
 
 
 @F.pandas_udf(T.StringType())

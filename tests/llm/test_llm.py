@@ -124,6 +124,23 @@ def test_pages(spark):
     assert pages.main_texts(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_pages_keep_the_whole_article(spark):
+    """Titles, uneven sections, a second layout on the host, and containers whose class holds a word in passing."""
+    s = lambda n, w: " ".join([w] * n)
+    cases = [
+        ("a.org", f"<body><nav>menu</nav><article><h1>Title</h1><p>Intro</p><section>{s(50, 'body')}</section></article><p>stray</p></body>", f"Title Intro {s(50, 'body')}"),
+        ("b.org", f'<body><article><section class="a">{s(60, "one")}</section><section class="b">{s(40, "two")}</section></article></body>', f"{s(60, 'one')} {s(40, 'two')}"),
+        *[("c.org", f'<body><div class="text">{s(30, "text")}</div></body>', s(30, "text"))] * 3,
+        ("c.org", f'<body><div class="text">Box</div><main class="story">{s(90, "story")}</main></body>', s(90, "story")),
+        ("d.org", f'<body><div class="page with-sidebar"><p>{s(50, "main")}</p></div><div class="left-sidebar">{s(5, "side")}</div></body>', s(50, "main")),
+        ("e.org", f'<body><div class="header-image-layout"><p>{s(50, "main")}</p></div><div class="site-footer">{s(5, "foot")}</div></body>', s(50, "main")),
+        ("f.org", f'<body><div class="text">{s(9, "short")}</div><div class="comments">{s(50, "reader")}</div></body>', s(9, "short")),
+    ]
+    rows = [(i, f"http://{h}/{i}", html) for i, (h, html, _) in enumerate(cases)]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
 def test_quality(spark, texts):
     clean = ["The cat of the house sat on the mat and it was warm. " * 1 + " ".join(f"word{i}" for i in range(60)) + " and the end of it."] * 1
     many = [*texts, *clean, "a b c a b c a b c " * 30, None]
