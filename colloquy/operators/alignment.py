@@ -1,7 +1,7 @@
 """Aligning transcript segments to word timings.
 
-Candidate spans come from an equi-join on conversation and token within a band of positions; they are
-scored natively, the best are chosen, and what lies between is interpolated and repaired.
+Candidate spans are all those of a band of positions around a segment's expected place; those that may be
+its best are scored natively, the best are chosen, and what lies between is interpolated and repaired.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import round_half_up
-from ..functions.text import normal, tokens, with_span_score
+from ..functions.text import char_ngrams, normal, tokens, with_span_score
 from ..sources.shared import fresh_path
 
 #: Thresholds for our own score, set on fixtures: an anchor, and a match at all.
@@ -37,7 +37,7 @@ def word_duration_stats(words: DataFrame) -> DataFrame:
 
 
 def span_candidates(hints: DataFrame, words: DataFrame, most: int = 20) -> DataFrame:
-    """(conversation, segment, start word, size) of spans that may be a segment's.
+    """(conversation, segment, start word, size) of spans of short segments that begin as they do.
 
     A span starts where one of the segment's first three tokens is said, less the token's place, inside
     the band of 5 words before and 3n + 50 after the segment's expected first word.
@@ -49,13 +49,69 @@ def span_candidates(hints: DataFrame, words: DataFrame, most: int = 20) -> DataF
     return j.select("conversation_id", "segment_index", "n", "start", F.explode(sizes).alias("size")).filter("size > 0").distinct()
 
 
-def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds the score of each span; the words of a conversation travel once, as one array."""
+def _banded(hints: DataFrame, words: DataFrame) -> DataFrame:
+    """Every span in the band of 5 words before and 3n + 50 after the expected first word, of each size, with its normal words."""
+    spark = hints.sparkSession
+    said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: normal(x["word"])).alias("said"))
+    n, first = F.col("n"), F.greatest(F.col("expected") - 5, F.lit(0))
+    h = hints.filter("n_words > 0").select("conversation_id", "segment_index", "expected", F.col("n_words").cast("long").alias("n"), normal(F.col("text")).alias("wanted")).join(said, "conversation_id")
+    h = h.withColumn("first", first).withColumn("last", F.least(F.col("expected") + 3 * n + 50, F.size("said") - 1).cast("long")).filter("first <= last")
+    h = h.withColumns({"total": F.size("said"), "band": F.slice("said", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + n + 3).cast("int")), "of_wanted": F.array_distinct(tokens(F.col("wanted")))}).drop("said", "wanted")
+    # a segment has many spans: they are made where there is room for them
+    h = h.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conversation_id", "segment_index")
+    sizes = F.array_distinct(F.array(n, n - 1, n + 1, n - 2, n + 2, F.floor(n * 0.7).cast("long")))
+    rows = h.withColumn("start", F.explode(F.sequence("first", "last"))).withColumn("size", F.explode(sizes)).filter("size > 0 AND start + size <= total")
+    return rows.withColumn("span", F.slice("band", (F.col("start") - F.col("first") + 1).cast("int"), F.col("size").cast("int"))).drop("band")
+
+
+def every_span(hints: DataFrame, words: DataFrame) -> DataFrame:
+    """(conversation, segment, n, start word, size) of every span that may be a segment's, whatever its length."""
+    return _banded(hints, words).select("conversation_id", "segment_index", "n", "start", "size")
+
+
+def likely_spans(hints: DataFrame, words: DataFrame, short: int = 20) -> DataFrame:
+    """:func:`every_span` less those of segments of over ``short`` words that cannot be their best.
+
+    The span that shares most words with a segment gives the score that its best has at least. Others stay
+    unless the most that their score can be, from shared words, n-grams and lengths, is less (or under SURE,
+    where that is less); so :func:`best_match` chooses as among all.
+    """
+    spark = hints.sparkSession
+    key = ["conversation_id", "segment_index"]
+    b = F.array_distinct(F.flatten(F.transform("span", lambda w: tokens(w))))
+    rows = _banded(hints, words).withColumn("_b", b)
+    dice = F.coalesce(2.0 * F.size(F.array_intersect("of_wanted", "_b")) / F.nullif(F.size("of_wanted") + F.size("_b"), F.lit(0)), F.lit(0.0))
+    path = fresh_path(spark, "bands")
+    rows.select(*key, "n", "start", "size", dice.alias("dice")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    first = rows.filter(F.col("n") > short).groupBy(*key, "n").agg(F.max_by(F.struct("start", "size"), "dice").alias("s")).select(*key, "n", "s.start", "s.size")
+    path = fresh_path(spark, "floors")
+    scored(first, hints, words).select(*key, F.least("score", F.lit(SURE)).alias("floor")).write.parquet(path)
+    rows = rows.join(spark.read.parquet(path), key, "left")
+    slack = 1e-5  # scores are rounded to six places
+    rows = rows.filter(F.col("floor").isNull() | (0.3 * F.col("dice") + 0.7 + slack >= F.col("floor")))
+    kept = _spanned(rows.filter("floor IS NOT NULL").select(*key, "n", "start", "size", "dice", "floor"), hints, words, "dice", "floor")
+    kept = kept.withColumns({"_ga": char_ngrams(F.col("wanted")), "_gb": char_ngrams(F.col("span"))})
+    path = fresh_path(spark, "grams")  # stored, so that a filter on them does not make them anew
+    kept.select(*key, "n", "start", "size", "dice", "floor", F.size("_ga").alias("x"), F.size("_gb").alias("y"), F.size(F.array_intersect("_ga", "_gb")).alias("both"), F.length("wanted").alias("p"), F.length("span").alias("q")).write.parquet(path)
+    x, y, both, p, q = (F.col(c) for c in ("x", "y", "both", "p", "q"))
+    most = 0.3 * F.col("dice") + 0.2 * both / F.greatest(F.least(x, y), F.lit(1)) + 0.1 * both / F.greatest(x + y - both, F.lit(1)) + 0.4 * (1 - F.abs(p - q) / F.greatest(p, q, F.lit(1)))
+    kept = spark.read.parquet(path).filter(most + slack >= F.col("floor")).select(*key, "n", "start", "size")
+    return rows.filter("floor IS NULL").select(*key, "n", "start", "size").unionByName(kept)
+
+
+def _spanned(candidates: DataFrame, hints: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+    """Adds the normal texts of each span and of its segment; the words of a conversation travel once, as one array."""
     said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"]).alias("said"))
     text = hints.select("conversation_id", "segment_index", normal(F.col("text")).alias("wanted"))
     j = candidates.join(text, ["conversation_id", "segment_index"]).join(said, "conversation_id").filter(F.col("start") + F.col("size") <= F.size("said"))
     span = normal(F.array_join(F.slice("said", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), " "))
-    j = with_span_score(j.select("conversation_id", "segment_index", "n", "start", "size", "wanted", span.alias("span")), "wanted", "span", "score")
+    return j.select("conversation_id", "segment_index", "n", "start", "size", *more, "wanted", span.alias("span"))
+
+
+def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds the score of each span."""
+    j = with_span_score(_spanned(candidates, hints, words), "wanted", "span", "score")
     return j.select("conversation_id", "segment_index", "n", "start", "size", round_half_up(F.col("score"), 6).alias("score"))
 
 
@@ -192,7 +248,9 @@ def aligned_transcripts(hints: DataFrame, words: DataFrame) -> DataFrame:
     good = valid_words(words)
     # anchors and matches both choose among the scored spans, which are stored once
     path = fresh_path(hints.sparkSession, "spans")
-    scored(span_candidates(hints, words), hints, words).write.parquet(path)
+    candidates = fresh_path(hints.sparkSession, "likely")
+    likely_spans(hints, words).write.parquet(candidates)
+    scored(hints.sparkSession.read.parquet(candidates), hints, words).write.parquet(path)
     spans = hints.sparkSession.read.parquet(path)
     anchors = anchor_selection(spans).withColumn("rank", F.lit(0))
     best = best_match(spans).select("conversation_id", "segment_index", "start", "size", "score").withColumn("rank", F.lit(1))

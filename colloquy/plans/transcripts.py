@@ -507,9 +507,26 @@ def best_match(spark, sf):
     return al.best_match(_scored(spark, sf))
 
 
+_EVERY = f""", {_HINT}, cand AS (SELECT * FROM (SELECT *, unnest(list_distinct([n, n - 1, n + 1, n - 2, n + 2, floor(n * 0.7::DOUBLE)::BIGINT])) AS size FROM (SELECT conversation_id, segment_index, n, unnest(range(greatest(expected - 5, 0), expected + 3 * n + 51)) AS start FROM hn WHERE n > 0))
+JOIN (SELECT conversation_id, count(*) AS total FROM word GROUP BY 1) USING (conversation_id) WHERE size > 0 AND start + size <= total)"""
+
+
+@query("span_candidates_all", with_views("segment word", _EVERY + f" SELECT {_SEG}, n, start, size FROM cand"))
+def span_candidates_all(spark, sf):
+    """The spans of segments of any length; :func:`span_candidates` has those that its SQL twin names."""
+    return al.every_span(hints(spark, sf), fx.words(spark, sf))
+
+
+@query("best_match_all")
+def best_match_all(spark, sf):
+    h, w = hints(spark, sf), fx.words(spark, sf)
+    return al.best_match(al.scored(al.likely_spans(h, w), h, w))
+
+
 @query("anchor_selection")
 def anchor_selection(spark, sf):
-    return al.anchor_selection(_scored(spark, sf))
+    h, w = hints(spark, sf), fx.words(spark, sf)
+    return al.anchor_selection(al.scored(al.every_span(h.filter("n_words BETWEEN 2 AND 20"), w), h, w))
 
 
 @query("align_transcripts")
