@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none (tests)."""
+    """The folder that driver and executors share. A local session that names none gets one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -35,32 +39,61 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, int | None]:
-    """(_row, _key) of every row, and the least key of a row without a doc_id (None: all rows have one).
+def keyed(docs: DataFrame, apart: bool = False) -> tuple[DataFrame, int | None]:
+    """(_row, _key) of every row, and the least key that is not a doc_id (None: all are).
 
     The key is the doc_id; rows without one get keys of their own after all ids, the last longs there are.
+    With ``apart`` so do all but one of the rows that share an id, so that each row is told from every other.
     Those rows alone are stored, so that their keys stay the same however often the table is read.
     """
     row, known = F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long")
-    none = docs.filter(known.isNull())
-    if none.isEmpty():
+    odd, plain = docs.filter(known.isNull()), docs.filter(known.isNotNull())
+    if apart:
+        ids = docs.select(known.alias("_shared")).filter("_shared IS NOT NULL").groupBy("_shared").count().filter("count > 1").select("_shared")
+        ids = stored(ids, "shared-ids")
+        if not ids.isEmpty():
+            odd = odd.unionByName(plain.join(ids, known == F.col("_shared"), "left_semi"))
+            plain = plain.join(ids, known == F.col("_shared"), "left_anti")
+    if odd.isEmpty():
         return docs.select(row, known.alias("_key")), None
-    rows = stored(none.select(row, F.monotonically_increasing_id().alias("_id")), "without-id")
+    rows = stored(odd.select(row, F.monotonically_increasing_id().alias("_id")), "without-id")
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each task that wrote some of them
     parts = stored(rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", before.alias("_before"), "n"), "without-id-parts")
     first = (1 << 63) - 1 - parts.agg(F.sum("n")).first()[0]
     if (docs.agg(F.max(known)).first()[0] or 0) >= first:
         raise ValueError("doc_id leaves no room above it for the rows without one")
     late = rows.join(parts, part == F.col("_part")).select("_row", (F.lit(first) + F.col("_before") + place).alias("_key"))
-    return docs.filter(known.isNotNull()).select(row, known.alias("_key")).unionByName(late), first
+    if apart:
+        own = late.withColumn("_own", F.col("_row.doc_id").cast("long"))
+        chiefs = stored(own.filter("_own IS NOT NULL").groupBy("_own").agg(F.min("_key").alias("_chief"), F.count("*").alias("_n")), "chiefs")
+        led = with_group(own.filter("_own IS NOT NULL"), chiefs, ["_own"], "_n", chiefs.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        late = led.select("_row", F.when(F.col("_key") == F.col("_chief"), F.col("_own")).otherwise(F.col("_key")).alias("_key")).unionByName(own.filter("_own IS NULL").select("_row", "_key"))
+    return plain.select(row, known.alias("_key")).unionByName(late), first
 
 
 def unkeyed(key: str, first: int | None) -> Column:
-    """The doc_id that a key of :func:`keyed` stands for."""
+    """The doc_id that a key of :func:`keyed`, called without ``apart``, stands for."""
     return F.col(key) if first is None else F.when(F.col(key) < first, F.col(key))
 
 
+#: A group with more than so large a part of all rows is hot; there are no more than so many such groups.
+HOT = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups`` (a row for each value of ``on``, with its ``size``), no group in one task.
+
+    Of ``total`` rows no more than HOT groups can each hold more than total / HOT, so those few go out as a
+    broadcast; in the shuffle that joins the rest no value has more rows than that.
+    """
+    most = max(1, total // HOT)
+    hot = stored(groups.filter(F.col(size) > most), "hot")
+    cold = groups.filter(F.col(size) <= most)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that no later result reads."""
     for t in tables:

@@ -4,24 +4,29 @@ A document's set is its distinct runs of five lower-cased words. Its sketch is t
 set, which is the whole set where it has no more: 48 to find who may be alike, and 4096, for those who
 may, to tell whether they are.
 
-1. Documents of the same words become one class, known by its smallest id; only classes go on.
+1. Documents of the same words (128 bits of a cryptographic digest) become one class, known by its smallest
+   id; only classes go on.
 2. Inverted lists of the retained values give how many classes retain each value. Two sets of Jaccard
-   similarity 0.85 (``percent``; the pipeline links from 0.80) retain at least ``_shared`` of 48 values in common (five standard deviations below
+   similarity 0.85 (``percent``; the pipeline links from 0.80) retain at least ``_shared`` of 48 values in common (six standard deviations below
    the mean), so in the order rarest first they share one of the first 48 - shared + 1. A class
    whose values are mostly its own can have no partner and ends here; the others stand in the lists of
    those first values alone, and lists of the same classes are one.
-3. Those who stand in lists are read again for the larger sketch. A long list is cut into blocks, and each pair of blocks is a task's small matrix product. The
-   union-sketch estimate (exact where both sketches are whole sets) drops pairs more than four standard
-   deviations below the threshold. Of pairs that are sure to be linked a block gives a spanning forest;
-   of those in doubt, all between different trees. So a group of copies gives about as many rows as it
-   has members.
-4. Pairs with a larger set than the sketch are confirmed on the full sets, and links are merged to components by rounds of
-   neighbour-minimum and pointer jumping over stored tables.
-
-Nulls and empty texts have an empty set and no links. Each row without an id is a document of its
-own after all others; rows that share an id are one document. Ties: a component is known by its smallest id. Empty table: no rows.
-Texts of any length are read whole. Other columns are ignored by :func:`components` and carried along by
-:func:`keep_one`.
+3. Those who stand in lists are read again for the larger sketch. A list of up to a block's size is a task's
+   small matrix product. A longer one is cut into blocks, each of which takes in the list's pivots, a few
+   members drawn by hash; what the pivots join needs no further look. Only members outside the list's largest
+   component so far then meet all its blocks. The union-sketch estimate (exact where both sketches are whole
+   sets) drops pairs more than six standard deviations below the threshold: one linked pair in a thousand
+   million. Of pairs that are sure to be linked a block gives a spanning forest; of those in doubt, all between
+   different trees. So a group of copies gives about as many rows as it has members.
+4. Pairs with a larger set than the sketch are confirmed on the full sets. Where a forest's estimated edge
+   fails that, the pairs of its block are taken anew without estimates, all confirmed. Links are merged to
+   components by rounds of neighbour-minimum and pointer jumping over stored tables.
+
+Nulls and empty texts have an empty set and no links. Each row without an id is a document of its own after
+all others. Rows that share an id are compared as texts of their own, and all answer to the one id: the
+smallest id of a component is taken over the rows' ids. Ties: a component is known by its smallest id (null,
+where none of its rows has one). Empty table: no rows. Texts of any length are read whole. Other columns,
+whatever their names, are ignored by :func:`components` and carried along by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -34,14 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, partitions, stored, text_batches, unkeyed
-from .shingles import Words, portions
+from .common import dropped, keyed, partitions, stored, text_batches, with_group
+from .shingles import Words, digests, portions
 
 #: The least Jaccard similarity of a link, in percent, unless the caller names another.
 SHINGLE, PERCENT = 5, 85
-SKETCH, LISTED, BLOCK = 4096, 48, 1024
-#: Standard deviations of the estimate that a pair may lie below (or must lie above) the threshold.
-SIGMAS = 4
+SKETCH, LISTED, BLOCK = 4096, 48, 512
+#: Members of a long list that all its blocks take in, about.
+PIVOTS = 16
+#: Standard deviations of an estimate that a pair may lie below (or must lie above) the threshold.
+SIGMAS = 6
+EXACT, SURE, DOUBT = 0, 1, 2
 
 
 def _shared(n: int, percent: int = PERCENT) -> int:
@@ -50,25 +58,28 @@ def _shared(n: int, percent: int = PERCENT) -> int:
         return -(-percent * n // 100)
     k = min(n, LISTED)
     p = percent / 100
-    return max(1, math.floor(k * p - 5 * math.sqrt(k * p * (1 - p) * (1 - min(1.0, k / n) / 2))))
+    return max(1, math.floor(k * p - SIGMAS * math.sqrt(k * p * (1 - p) * (1 - min(1.0, k / n) / 2))))
 
 
-def _sets(column: pa.Array) -> tuple[Words, list[np.ndarray]]:
-    """Sorted distinct shingle hashes of each text; of fewer words, the hash of all."""
-    w = Words(column, 2, fold=True)
-    grams, whole = w.runs(SHINGLE), w.whole()
+def _sets(column: pa.Array, low: np.ndarray | None = None) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; of fewer words, the digest of all (or of ``low``, if it is known)."""
+    w = Words(column, 1, fold=True)
+    grams = w.runs(SHINGLE)
+    if low is None and (np.diff(w.bounds) < SHINGLE).any():
+        low = digests(column, fold=True)[1]
     out = []
     for i, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
-        out.append(np.unique(grams[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[i : i + 1][: b - a])
-    return w, out
+        out.append(np.unique(grams[a : b - SHINGLE + 1]) if b - a >= SHINGLE else low[i : i + 1][: b - a].view(np.uint64))
+    return out
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in portions(batch, "text"):
-            w, sets = _sets(part.column("text"))
+            _, a, b = digests(part.column("text"), fold=True)
+            sets = _sets(part.column("text"), a)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(w.whole(0).view(np.int64)), pa.array(w.whole(1).view(np.int64)), pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "a", "b", "low"],
             )
 
@@ -79,7 +90,7 @@ def _full(most: int | None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
-                sets = _sets(part.column("text"))[1]
+                sets = _sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:most].tobytes() for s in sets], pa.binary())], names=["_id", "n_shingles", "sketch"])
 
     return read
@@ -118,10 +129,11 @@ def _trees(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int, bool]]:
-    """(x, y, sure): sure links as a forest, and pairs in doubt between its trees.
+def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, trust: bool = True) -> list[tuple[int, int, int]]:
+    """(x, y, kind): sure links as a forest, EXACT or SURE (by estimate), and pairs in DOUBT between its trees.
 
-    ``side`` tells which of the two blocks of the pair a member stands in; 2 if it is one block.
+    ``side`` tells which of the two blocks of the pair a member stands in; 2 if it is one block. Without
+    ``trust`` no estimate is sure, so all pairs that may be linked are in doubt.
     """
     shared = _overlaps(sets)
     whole = n <= SKETCH
@@ -139,7 +151,7 @@ def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.
     likely = ~both & (estimate >= t - slack) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
     other = (side[:, None] != side[None, :]) | (side[:, None] == 2)
     exact, likely = exact & other, likely & other
-    sure = exact | likely & (estimate >= np.minimum(1, t + slack))
+    sure = exact | likely & (estimate >= np.minimum(1, t + slack)) if trust else exact
     root = _trees(sure)
     out = []
     seen = np.zeros(len(ids), dtype=bool)
@@ -151,30 +163,31 @@ def block_pairs(ids: np.ndarray, side: np.ndarray, n: np.ndarray, sets: list[np.
             new = np.flatnonzero(reach.any(axis=0) & ~seen)
             for v in new.tolist():
                 u = front[int(reach[:, v].argmax())]
-                out.append((int(ids[u]), int(ids[v]), bool(exact[u, v])))
+                out.append((int(ids[u]), int(ids[v]), EXACT if exact[u, v] else SURE))
             seen[new] = True
             front = new
     x, y = np.nonzero(np.triu(likely & ~sure & (root[:, None] != root[None, :]), 1))
-    out += [(int(ids[i]), int(ids[j]), False) for i, j in zip(x, y)]
+    out += [(int(ids[i]), int(ids[j]), DOUBT) for i, j in zip(x, y)]
     return [(min(a, b), max(a, b), s) for a, b, s in out if a != b]
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, trust: bool):
     """Reads rows sorted by (list, i, j) and compares the members of each such pair of blocks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rows: list[pa.RecordBatch]) -> list[tuple[int, int, bool]]:
+        def compared(rows: list[pa.RecordBatch]) -> list[tuple[int, ...]]:
             t = pa.Table.from_batches(rows)
-            ids = t.column("doc_id").to_numpy()
-            _, first = np.unique(ids, return_index=True)
+            _, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)
             if len(first) < 2:
                 return []
             t = t.take(first)
             i, j, own = (t.column(c).to_numpy() for c in ("i", "j", "own"))
-            return block_pairs(t.column("doc_id").to_numpy(), np.where(i == j, 2, own == i), t.column("n_shingles").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()], percent)
+            found = block_pairs(t.column("doc_id").to_numpy(), np.where(i == j, 2, own == i), t.column("n_shingles").to_numpy(), [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()], percent, trust)
+            return [(*f, *key) for f in found]
 
-        def batch(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["x", "y", "sure"])
+        def batch(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["x", "y", "kind", "list", "i", "j"])
 
         held: list[pa.RecordBatch] = []
         key, out = None, []
@@ -184,17 +197,17 @@ def _blocks(percent: int):
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi == lo:
                     continue
-                if (now := tuple(k[:, lo])) != key and held:
+                if (now := tuple(k[:, lo].tolist())) != key and held:
                     out += compared(held)
                     held = []
                 key = now
                 held.append(b.slice(lo, hi - lo))
             if len(out) > 50_000:
-                yield batch(sorted(set(out)))
+                yield batch(out)
                 out = []
         if held:
             out += compared(held)
-        yield batch(sorted(set(out)))
+        yield batch(out)
 
     return read
 
@@ -207,7 +220,7 @@ def _confirmed(percent: int):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(ok, pa.bool_())], names=["x", "y", "linked"])
 
     return read
 
@@ -218,16 +231,18 @@ def merged(links: DataFrame) -> DataFrame:
     label = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "labels")
     while True:
         # the least root among a node's neighbours, then the root of that root
-        near = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("root").alias("near"))
-        lower = label.join(near, label["node"] == near["x"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        roots = label.select("node", "root")
+        near = edges.join(roots, edges["y"] == roots["node"]).groupBy("x").agg(F.min("root").alias("near"))
+        lower = roots.join(near, roots["node"] == near["x"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         # hooking: what a node learns, its old root learns too
         hooks = lower.groupBy(F.col("old").alias("_old")).agg(F.min("root").alias("_hook"))
         lower = lower.join(hooks, lower["root"] == hooks["_old"], "left").select("node", F.least("root", F.coalesce("_hook", "root")).alias("root"), "old")
         up = lower.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         new = stored(lower.join(up, lower["root"] == up["_n"], "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"), "old"), "labels")
+        dropped(label)
         if new.filter("root <> old").isEmpty():
             return new.select("node", "root")
-        label = new.select("node", "root")
+        label = new
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:
@@ -244,40 +259,86 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     listed = stored(listed, "listed")
     sizes = listed.groupBy("list").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("print")).filter("members > 1")
     once = sizes.groupBy("members", "print").agg(F.min("list").alias("list")).select("list", "members")
-    return listed.join(once, "list")
+    return with_group(listed, once, ["list"], "members", listed.count())
+
+
+def _pairs_of(docs: DataFrame, sketched: DataFrame, rows: DataFrame, percent: int, trust: bool = True) -> DataFrame:
+    """Confirmed links (x, y) among the members of each (list, i, j) of ``rows``."""
+    n = partitions(docs.sparkSession)
+    full = rows.join(sketched, F.col("doc_id") == F.col("_id")).select("list", "i", "j", "own", "doc_id", "n_shingles", "sketch")
+    found = full.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks(percent, trust), "x long, y long, kind int, list long, i int, j int")
+    found = stored(found, "pairs")
+    doubt = found.filter(F.col("kind") > EXACT).select("x", "y").distinct()
+    exact = found.filter(F.col("kind") == EXACT).select("x", "y").distinct()
+    if doubt.isEmpty():
+        return stored(exact, "links")
+    wanted = stored(doubt.select(F.col("x").alias("_w")).union(doubt.select("y")).distinct(), "wanted")
+    sets = docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(_full(None), "_id long, n_shingles long, sketch binary")
+    sets = stored(sets, "sets")
+    pairs = doubt.join(sets, F.col("x") == F.col("_id")).select("x", "y", F.col("sketch").alias("set_x")).join(sets, F.col("y") == F.col("_id")).select("x", "y", "set_x", F.col("sketch").alias("set_y"))
+    judged = stored(pairs.mapInArrow(_confirmed(percent), "x long, y long, linked boolean"), "judged")
+    links = exact.union(judged.filter("linked").select("x", "y"))
+    # an estimated edge that fails may have stood for others of its block
+    failed = judged.filter("not linked").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    again = stored(found.filter(F.col("kind") == SURE).join(failed, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(F.col("list").alias("_l"), F.col("i").alias("_a"), F.col("j").alias("_b")).distinct(), "again")
+    if trust and not again.isEmpty():
+        anew = rows.join(again, (F.col("list") == F.col("_l")) & (F.col("i") == F.col("_a")) & (F.col("j") == F.col("_b")), "left_semi")
+        links = links.union(_pairs_of(docs, sketched, anew, percent, trust=False))
+    return stored(links, "links")
 
 
 def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (x, y) that join the linked classes."""
-    n = partitions(docs.sparkSession)
-    later = copies.select(F.col("doc_id").alias("_id")).distinct()
+    later = copies.select(F.col("doc_id").alias("_id"))
     reps = sketches.filter("n_shingles > 0").join(later, F.col("doc_id") == F.col("_id"), "left_anti")
     lists = stored(_lists(reps, percent), "lists")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = lists.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")).select("list", "doc_id", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    rows = rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    kind = "_id long, n_shingles long, sketch binary"
     used = stored(lists.select(F.col("doc_id").alias("_u")).distinct(), "used")
-    sketched = stored(docs.join(used, F.col("doc_id") == F.col("_u"), "left_semi").mapInArrow(_full(SKETCH), kind), "sketched")
-    rows = rows.join(sketched, F.col("doc_id") == F.col("_id")).select("list", "i", "j", "own", "doc_id", "n_shingles", "sketch")
-    found = rows.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks(percent), "x long, y long, sure boolean")
-    found = stored(found.groupBy("x", "y").agg(F.max("sure").alias("sure")), "pairs")
-    doubt = found.filter("not sure")
-    wanted = stored(doubt.select(F.col("x").alias("_w")).union(doubt.select("y")).distinct(), "wanted")
-    sets = stored(docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(_full(None), kind).dropDuplicates(["_id"]), "sets")
-    pairs = doubt.join(sets, F.col("x") == F.col("_id")).select("x", "y", F.col("sketch").alias("set_x")).join(sets, F.col("y") == F.col("_id")).select("x", "y", "set_x", F.col("sketch").alias("set_y"))
-    return stored(found.filter("sure").select("x", "y").union(pairs.mapInArrow(_confirmed(percent), "x long, y long")), "links")
+    sketched = docs.join(used, F.col("doc_id") == F.col("_u"), "left_semi").mapInArrow(_full(SKETCH), "_id long, n_shingles long, sketch binary")
+    sketched = stored(sketched, "sketched")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    drawn = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+    block = blocks(F.col("members"))
+    rows = lists.select("list", "doc_id", drawn(5, block).alias("own"))
+    long = lists.filter(F.col("members") > BLOCK)
+    pivots = long.filter(drawn(6, F.ceil(F.col("members") / F.lit(PIVOTS))) == 0).select("list", "doc_id", F.explode(F.sequence(F.lit(0), block - 1)).alias("own"))
+    rows = rows.unionByName(pivots).select("list", "doc_id", "own", F.col("own").alias("i"), F.col("own").alias("j"))
+    first = _pairs_of(docs, sketched, rows, percent)
+    if long.isEmpty():
+        return first
+    joined = merged(first)
+    known = stored(long.join(joined, F.col("doc_id") == F.col("node"), "left").select("list", "doc_id", "members", F.coalesce("root", "doc_id").alias("root")), "known")
+    parts = known.groupBy("list", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("_l", F.col("m.root").alias("_main"), F.col("m.n").alias("_n"), (F.col("all") - F.col("m.n")).alias("_rest")).filter("_rest > 0")
+    main = stored(main, "main")
+    if main.isEmpty():
+        return first
+    n_long = known.count()
+    found = with_group(known.drop("members"), main.select(F.col("_l").alias("list"), "_main", "_n", "_rest"), ["list"], "_n", n_long)
+    outside = F.col("root") != F.col("_main")
+    of_rest, of_main = blocks(F.col("_rest")), blocks(F.col("_n"))
+    own = F.when(outside, drawn(8, of_rest)).otherwise(of_rest + drawn(9, of_main))
+    others = F.when(outside, F.sequence(F.lit(0), of_rest + of_main - 1)).otherwise(F.sequence(F.lit(0), of_rest - 1))
+    rows = found.select("list", "doc_id", own.alias("own"), F.explode(others).alias("o"))
+    rows = rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    return stored(first.union(_pairs_of(docs, sketched, rows, percent)), "links")
 
 
 def _classes(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; no id is null."""
+    """doc_id, n_shingles, component_id of every row; no id is null or shared."""
     text_batches(docs.sparkSession)
     sketches = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, a long, b long, low array<long>"), "sketches")
-    groups = sketches.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    copies = stored(sketches.select("doc_id", "a", "b", "n_shingles").join(groups, ["a", "b", "n_shingles"]).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    groups = sketches.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = with_group(sketches.select("doc_id", "a", "b", "n_shingles"), groups, ["a", "b"], "copies", sketches.count())
+    copies = stored(copies.filter("doc_id > first AND n_shingles > 0").select("doc_id", "first"), "copies")
     found = merged(links(docs, sketches, copies, percent))
-    known = sketches.select("doc_id", "n_shingles").join(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("first").alias("first")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class"))
-    return known.join(found, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("component_id"))
+    first = copies.select(F.col("doc_id").alias("_id"), "first")
+    known = sketches.select("doc_id", "n_shingles").join(first, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class"))
+    known = stored(known, "classes")
+    sizes = known.groupBy("class").agg(F.count("*").alias("n"))
+    roots = found.join(sizes, F.col("node") == F.col("class")).select("class", "root", "n")
+    linked = with_group(known, stored(roots, "roots"), ["class"], "n", sketches.count()).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    alone = known.join(found, F.col("class") == F.col("node"), "left_anti").select("doc_id", "n_shingles", F.col("class").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -286,19 +347,22 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    rows, first = keyed(docs.select("doc_id", "text"))
-    out = _classes(_texts(rows), percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out.withColumns({c: unkeyed(c, first) for c in ("doc_id", "component_id")})
+    rows, first = keyed(docs.select("doc_id", "text"), apart=True)
+    out = _classes(_texts(rows), percent)
+    if first is not None:
+        # some keys are not ids: a component goes by the least id of its rows
+        ids = rows.select(F.col("_key"), F.col("_row.doc_id").cast("long").alias("_own"))
+        out = stored(out.join(ids, F.col("doc_id") == F.col("_key")).drop("_key"), "by-key")
+        named = stored(out.groupBy("component_id").agg(F.min("_own").alias("_least"), F.count("*").alias("_n")), "named")
+        out = with_group(out, named, ["component_id"], "_n", out.count()).select(F.col("_own").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("_one"))
+        return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("_one")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents less all but one of each group; of rows that share an id, one stays."""
-    rows, _ = keyed(docs)
-    found = stored(_classes(_texts(rows), percent), "components")
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    many = stored(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_many")), "many")
+    """The documents less all but one of each group: a row goes only because its text is near another's."""
+    rows, _ = keyed(docs, apart=True)
+    found = _classes(_texts(rows), percent)
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
     left = rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    if not many.isEmpty():
-        same = F.col("_key") == F.col("_many")
-        left = left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates(["_key"]))
     return left.select(*[F.col("_row").getField(n).alias(n) for n in docs.columns])

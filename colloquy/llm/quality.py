@@ -1,20 +1,27 @@
 """Quality rules under weak supervision.
 
-Eight rules vote on each document. Seven look for a defect and vote bad or abstain; the share of function
-words votes good, bad or abstains. Expectation-maximisation over the votes of all documents estimates
-each rule's accuracy and the share of good documents, with no labels; a document is kept if its
-posterior probability of being good is at least one half, and if it passes the two base limits. What reaches the driver is the histogram of vote patterns, at most 3^8 rows for any corpus.
-
-Nulls: a null text has no words. Empty and short texts fail the base limit of 50 words. An empty table
-gives no rows. Ties and repeated rows: a verdict depends on the text alone. Other columns are ignored
-by :func:`score` and carried along by :func:`keep_good`.
+Eight rules vote on each document: good, bad, or they abstain. Expectation-maximisation over the votes of
+all documents estimates, with no labels, the share of good documents, that of each kind of defect, and how
+often each rule's votes are bad in each of these classes. A document is kept if its posterior probability of being good is at least
+one half. The two base limits of :func:`score` (50 words, half of them repeated) stand beside that verdict
+in its ``kept``; :func:`keep_good` filters by the posterior alone, so that it keeps short clean documents.
+What reaches the driver is the histogram of vote patterns, at most 3^8 rows for any corpus.
+
+An abstention counts for neither class. Nothing in the rules asks for one language: function words are
+those of any of the listed languages, and where none fits, the share of a text's own most frequent words
+stands in for them; signs that end a sentence are those of several scripts.
+
+Nulls: a null text has no words. A text without words is voted bad by all rules; other short texts are
+judged by the rules that can speak. An empty table gives no rows. Ties (a posterior of one half is kept) and
+repeated rows: a verdict depends on the text and the corpus's votes alone. Texts of any length are read
+whole. Other columns, whatever their names, are ignored by :func:`score` and carried along by :func:`keep_good`.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,12 +33,30 @@ from .common import WORD, stored, text_batches
 
 _WORD = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
+_SYMBOL = frozenset(SYMBOLS)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Frequent function words of English, French, German and Spanish.
-STOPWORDS = frozenset("the of and to in is that it for on with as be this by are from la le les de des et un une que qui en el los las y por para con no der die das und ist den mit von zu für auf".split())
-
-RULES = ("word_length", "symbols", "duplicate_lines", "repeats", "stopwords", "capitals", "bars", "endings")
+#: Frequent function words by language.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that it for on with as be this by are from was not or",
+    "fr": "la le les de des et un une que qui en du dans est pour pas sur par avec au",
+    "de": "der die das und ist den mit von zu auf ein eine nicht im für dem des sich es als",
+    "es": "el los las de la que y en un una por para con se del no al su lo es",
+    "it": "il di che e la un una per non con del della le si da in sono ma come anche",
+    "pt": "o de que e do da em um para com uma os no se na por mais as dos como",
+    "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als bij",
+    "pl": "i w na z do nie że się to jest o jak po co za od tak ale przez dla",
+}
+_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+_LANGUAGES = [frozenset(words.split()) for words in FUNCTION_WORDS.values()]
+#: Signs that end a sentence in Latin, Greek, Arabic, Indic, Chinese and Japanese script.
+ENDS = ".!?…;؟۔।。！？"
+#: What a rule's votes are bad at first: in the good class, in the class of its own defect, in others' classes.
+BAD_AT_FIRST = (0.01, 0.9, 0.1)
+#: Share of good documents at first; the shares' and each rate's prior weigh so much of the corpus.
+GOOD_AT_FIRST, SHARE_PRIOR, RATE_PRIOR = 0.8, 0.02, 0.005
+
+RULES = ("word_length", "symbols", "duplicate_lines", "repeats", "stopwords", "capitals", "marks", "endings")
 FEATURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "pattern")])
 
 
@@ -65,24 +90,43 @@ def duplicate_lines(text: str) -> tuple[int, int]:
     return dup, n
 
 
+def _side(good: bool, bad: bool) -> int:
+    return -1 if bad else 1 if good else 0
+
+
+def function_share(words: list[str]) -> tuple[float, float, float]:
+    """Shares of the words: function words of the best language, the five most frequent words of letters, the most frequent one."""
+    counts = Counter(w.strip(".,:!?()\"'").lower() for w in words)
+    for w in [w for w in counts if not w.isalpha()]:
+        del counts[w]
+    if not counts:
+        return 0.0, 0.0, 0.0
+    known = [(w, n) for w, n in counts.items() if w in _FUNCTION]
+    best = max(sum(n for w, n in known if w in language) for language in _LANGUAGES)
+    top = [n for _, n in counts.most_common(5)]
+    return best / len(words), sum(top) / len(words), top[0] / len(words)
+
+
 def votes(text: str, words: list[str], chars: int, symbols: int, dup: int, lines: int, repeat: int) -> tuple[int, ...]:
     """One vote for each of RULES: 1 good, -1 bad, 0 abstains."""
     n = len(words)
     if n == 0:
         return (-1,) * len(RULES)
-    bad = lambda defect: -1 if defect else 0
     mean = chars / n
-    stop = sum(w in STOPWORDS for w in words) / n
-    ends = sum(w[-1] in ".!?" for w in words) / n
+    function, common, top = function_share(words)
+    marked = sum(not _SYMBOL.isdisjoint(w) for w in words)
+    ends = sum(w[-1] in ENDS for w in words) / n
+    upper = sum(map(str.isupper, words)) / n
+    long = n >= 30
     return (
-        bad(mean < 2 or mean > 12),
-        bad(symbols > 0.1 * n),
-        bad(dup > 0.3 * lines),
-        bad(repeat > 0.3 * n),
-        1 if stop >= 0.15 else bad(stop < 0.02),
-        bad(sum(map(str.isupper, words)) > 0.4 * n),
-        bad(text.count("|") > 0.1 * n),
-        bad(ends == 0 and n > 30),
+        _side(3 <= mean <= 9, mean < 2 or mean > 14),
+        _side(symbols <= 0.02 * n, symbols > 0.1 * n),
+        _side(lines >= 3 and not dup, dup >= 3 and dup > 0.3 * lines),
+        _side(long and repeat <= 0.1 * n, repeat > 0.3 * n),
+        _side(function >= 0.12 or (long and common >= 0.1), (long and top > 0.3) or (long and function < 0.02 and common < 0.05)),
+        _side(upper <= 0.15 and text != text.upper(), upper > 0.4),
+        _side(marked <= 0.05 * n, marked > 0.2 * n),
+        _side(1 / 60 <= ends <= 1 / 3, long and ends == 0),
     )
 
 
@@ -109,39 +153,68 @@ def unpack(patterns: np.ndarray) -> np.ndarray:
     return np.stack([patterns // 3 ** (len(RULES) - 1 - j) % 3 - 1 for j in range(len(RULES))], axis=1)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM for the share of good documents and each rule's accuracy: how often it is right when it votes.
+class Model(NamedTuple):
+    """Log shares of the classes (good first, then one for each rule's defect), and by class and rule the log rates of bad and good votes."""
 
-    A rule starts at 0.8 with one pseudo-vote of that weight, and stays between 0.7 (better than chance)
-    and 0.98 (a finite weight); the share stays between 0.5 and 0.9, so that
-    a document on which all rules abstain is kept in any corpus.
-    """
-    v = unpack(patterns)
-    prior, accuracy = 0.5, np.full(len(RULES), 0.8)
-    for _ in range(rounds):
-        good = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + v @ np.log(accuracy / (1 - accuracy)))))
-        prior = float(np.clip(good @ counts / counts.sum(), 0.5, 0.9))
-        right = np.where(v > 0, good[:, None], np.where(v < 0, 1 - good[:, None], 0))
-        accuracy = np.clip((counts @ right + 0.8) / (counts @ (v != 0) + 1), 0.7, 0.98)
-    return prior, accuracy
+    shares: np.ndarray
+    bad: np.ndarray
+    good: np.ndarray
 
+    def scores(self, v: np.ndarray) -> np.ndarray:
+        """Log-likelihood of votes, a row for each pattern and a column for each class."""
+        return self.shares + (v < 0) @ self.bad.T + (v > 0) @ self.good.T
 
-def posterior(pattern: Column, prior: float, accuracy: np.ndarray) -> Column:
+
+def _first() -> tuple[np.ndarray, np.ndarray]:
+    n = len(RULES)
+    of_good, of_own, of_other = BAD_AT_FIRST
+    rates = np.full((n + 1, n), of_other)
+    rates[0] = of_good
+    rates[np.arange(1, n + 1), np.arange(n)] = of_own
+    return np.array([GOOD_AT_FIRST, *[(1 - GOOD_AT_FIRST) / n] * n]), rates
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
+    """EM over one class of good documents and one for each rule's defect, since a poor document need not have all defects.
+
+    In each class a rule that votes votes bad at a rate of its own. The first values serve as priors worth a
+    fixed share of the corpus, so that they act alike at every size and keep all rates inside (0, 1).
+    """
+    v, total = unpack(patterns), counts.sum()
+    shares0, rates0 = _first()
+    model = Model(np.log(shares0), np.log(rates0), np.log(1 - rates0))
+    last = None
+    for _ in range(rounds):
+        s = model.scores(v)
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        mass = p * counts[:, None]
+        shares = (mass.sum(axis=0) + SHARE_PRIOR * total * shares0) / (total * (1 + SHARE_PRIOR))
+        rates = (mass.T @ (v < 0) + RATE_PRIOR * total * rates0) / (mass.T @ (v != 0) + RATE_PRIOR * total)
+        rates[0] = rates.min(axis=0)  # a bad vote never speaks for a document, not even where most are poor
+        model = Model(np.log(shares), np.log(rates), np.log(1 - rates))
+        if last is not None and np.abs(p - last).max() < 1e-9:
+            break
+        last = p
+    return model
+
+
+def posterior(pattern: Column, model: Model) -> Column:
     """P(good | votes), as an expression over the pattern column."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for j, weight in enumerate(np.log(accuracy / (1 - accuracy)).tolist()):
-        vote = F.floor(pattern / F.lit(3 ** (len(RULES) - 1 - j))) % 3 - 1
-        odds = odds + vote * F.lit(weight)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    votes = [F.floor(pattern / F.lit(3 ** (len(RULES) - 1 - j))) % 3 - 1 for j in range(len(RULES))]
+    odds = F.lit(1.0)
+    for c in range(1, len(model.shares)):
+        score = F.lit(float(model.shares[c] - model.shares[0]))
+        for j, vote in enumerate(votes):
+            score = score + F.when(vote < 0, F.lit(float(model.bad[c, j] - model.bad[0, j]))).when(vote > 0, F.lit(float(model.good[c, j] - model.good[0, j]))).otherwise(F.lit(0.0))
+        odds = odds + F.exp(score)
+    return F.lit(1.0) / odds
 
 
-def label_model(patterns: DataFrame) -> tuple[float, np.ndarray]:
+def label_model(patterns: DataFrame) -> Model:
     """Fits over a frame with a ``pattern`` column, through its histogram (at most 3^8 rows)."""
-    rows = patterns.groupBy("pattern").count().collect()
-    rows.sort(key=lambda r: r["pattern"])
-    if not rows:
-        return 0.5, np.full(len(RULES), 0.8)
-    return fit(np.array([r["pattern"] for r in rows]), np.array([r["count"] for r in rows], dtype=float))
+    rows = sorted(patterns.groupBy("pattern").count().collect(), key=lambda r: r["pattern"])
+    return fit(np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["count"] for r in rows], dtype=float)) if rows else fit(np.zeros(1, np.int64), np.ones(1))
 
 
 def base_failed() -> Column:
@@ -153,14 +226,14 @@ def score(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     found = stored(docs.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "quality")
     model = label_model(found)
-    out = found.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(F.col("pattern"), *model))
+    out = found.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(F.col("pattern"), model))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("p_good") >= 0.5)).alias("kept"), "p_good", "pattern")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns. Features are computed twice rather than shuffled."""
+    """The documents that are probably good, with their columns. Features are computed twice rather than shuffled."""
     text_batches(docs.sparkSession)
     model = label_model(docs.select(features("text").alias("f")).select("f.pattern"))
-    judged = docs.select(F.struct(*docs.columns).alias("_row"), features("text").alias("f")).select("_row", "f.*")
-    good = judged.filter(~base_failed() & (posterior(F.col("pattern"), *model) >= 0.5))
+    judged = docs.select(F.struct(*docs.columns).alias("_row"), features("text").alias("f"))
+    good = judged.filter(posterior(F.col("f.pattern"), model) >= 0.5)
     return good.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

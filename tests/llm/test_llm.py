@@ -278,6 +278,115 @@ def test_rows_without_id_are_documents_of_their_own(spark):
     assert got == sorted([(5, 60, 0, sha(text[0])), (-1, 60, 60, sha("")), (-1, 60, 0, sha(text[1])), (-1, 60, 0, sha(text[2])), (-1, 120, 60, sha(text[3])), (-1, 60, 60, sha("")), (-1, 0, 0, sha("")), (-1, 0, 0, sha(""))])
 
 
+def wordy(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def passages(rows):
+    """(n_words, n_removed) of each (id, text) by the rule itself; equal (id, place) have no earlier one."""
+    windows = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 19):
+            windows.setdefault(tuple(w[i : i + 20]), []).append((d, i))
+    first = {k: min(v) for k, v in windows.items()}
+    out = []
+    for d, t in rows:
+        w = t.split()
+        gone = {i + k for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (d, i) for k in range(20)}
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most_bits", [28, 0])
+def test_repeated_passages_of_rows_that_share_an_id(spark, most_bits):
+    """The same row many times loses nothing to itself; other texts of an id keep what is theirs. With the sketch broadcast and dealt."""
+    a, b, c = wordy("a", 60), wordy("b", 45), wordy("c", 30)
+    rows = [*[(5, a)] * 4, (5, b), (7, f"{b} {c}"), (3, c), *[(9, a)] * 3, (9, f"{wordy('d', 10)} {a}"), (11, f"{a} {a}"), (12, "short"), (13, "")]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, _gone string, anchors string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(d, most_bits).collect())
+    assert got == passages(rows)
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_sequences_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse sequences of words and of letters, against brute force."""
+    p, q = thue_morse(1024, "x", "y"), thue_morse(1024, "y", "x")
+    letters = ["".join(thue_morse(4096, *ab)) for ab in ("ab", "ba")]
+    tail = wordy("t", 3).split()
+    texts = [" ".join(p), " ".join(q), " ".join([letters[0], *tail]), " ".join([letters[1], *tail]), f"{letters[0]} {wordy('u', 25)}", f"{letters[1]} {wordy('u', 25)}"]
+    n, root = components(texts)
+    got = {r["doc_id"]: r for r in neardup.components(docs(spark, texts)).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(n, root))
+    rows = list(enumerate(texts))
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs(spark, texts)).collect())
+    assert got == passages(rows)
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Different texts of one id and without any id all stay; only what is near another's text goes; clashing columns."""
+    a, b, c = wordy("a", 60), wordy("b", 60), wordy("c", 60)
+    near = a.replace("a59", "z")
+    rows = [(1, a), (1, b), (None, c), (None, b), (2, near), (3, c), (3, c), (4, wordy("d", 9))]
+    d = spark.createDataFrame([(i, t, "g", "k", 1, "m") for i, t in rows], "doc_id long, text string, _gone string, _key string, count int, _many string")
+    kept = neardup.keep_one(d)
+    assert kept.columns == d.columns
+    got = sorted(r["text"] for r in kept.collect())
+    assert got == sorted([a, b, c, wordy("d", 9)])
+    found = sorted(((r["doc_id"] or 99, r["component_id"] or 99, r["kept"]) for r in neardup.components(d).collect()))
+    assert found == sorted([(1, 1, True), (1, 1, True), (99, 3, False), (99, 1, False), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True)])
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """Clusters of many blocks with members that only a few others link, against brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PIVOTS", 3)
+    rng = random.Random(4)
+    texts = []
+    for k in range(2):
+        base = [f"k{k}w{i}" for i in range(120)]
+        drift = list(base)
+        for i in range(70):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(20, 120)] = f"n{k}x{i}"
+            texts.append(" ".join(w))
+            if i % 3 == 0:
+                drift[rng.randrange(20, 120)] = f"d{k}x{i}"
+                texts.append(" ".join(drift))
+    rng.shuffle(texts)
+    n, root = components(texts)
+    got = {r["doc_id"]: r for r in neardup.components(docs(spark, texts)).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(n, root))
+
+
+def test_estimated_links_that_fail_are_taken_anew(spark, monkeypatch):
+    """Sketches of eight values and estimates trusted too early: exact confirmation finds the same components."""
+    monkeypatch.setattr(neardup, "SKETCH", 16)
+    monkeypatch.setattr(neardup, "SIGMAS", 3)
+    rng = random.Random(6)
+    texts = []
+    for k in range(6):
+        base = [f"k{k}w{i}" for i in range(150)]
+        for i in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(150)] = f"n{k}x{i}"
+            texts.append(" ".join(w))
+    n, root = components(texts)
+    pairs = neardup.block_pairs
+
+    def eager(ids, side, n, sets, percent, trust=True):
+        return [(x, y, neardup.SURE if trust and k == neardup.DOUBT else k) for x, y, k in pairs(ids, side, n, sets, percent, trust)]
+
+    monkeypatch.setattr(neardup, "block_pairs", eager)
+    got = {r["doc_id"]: r for r in neardup.components(docs(spark, texts)).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(n, root))
+
+
 def test_word_pieces_are_greedy(spark, texts):
     import json
 
