@@ -123,7 +123,7 @@ def votes(text: str, words: list[str], chars: int, symbols: int, dup: int, lines
         _side(symbols <= 0.02 * n, symbols > 0.1 * n),
         _side(lines >= 3 and not dup, dup >= 3 and dup > 0.3 * lines),
         _side(long and repeat <= 0.1 * n, repeat > 0.3 * n),
-        _side(function >= 0.12 or (long and common >= 0.1), (long and top > 0.3) or (long and function < 0.02 and common < 0.05)),
+        _side(function >= 0.12 or (long and common >= 0.1), (long and top > 0.4) or (long and function < 0.02 and common < 0.05)),
         _side(upper <= 0.15 and text != text.upper(), upper > 0.4),
         _side(marked <= 0.05 * n, marked > 0.2 * n),
         _side(1 / 60 <= ends <= 1 / 3, long and ends == 0),
