@@ -12,11 +12,13 @@ lists: a query's answer cannot hold another, so a vector repeated without bound
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without id; rows that share an id are one vector. Fewer than k candidates: all of them.
+Products beyond the range of doubles are infinite, or not a number and then the farthest.
 Ties go to the smaller id. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ K, EVERY = 20, 20
 SAMPLE, LIST, MOST_LISTS = 20_000, 512, 2048
 #: A vector stands in up to COPIES lists within NEAR times its least distance.
 COPIES, NEAR = 3, 1.05
-#: Recall on the sample that sets the ratio of a query's lists; lists a query reads at most.
+#: Recall on the sample that sets the ratio of a query's lists; lists that the graph search keeps in sight.
 RECALL, BEAM = 0.97, 512
 BLOCK, QUERIES = 4096, 1024
 
@@ -68,9 +70,11 @@ def balanced(x: np.ndarray, leaves: int, rng: np.random.Generator, ways: int = 8
 class Index:
     """Centroids, their neighbour graph, and the ratio that selects a query's lists."""
 
-    def __init__(self, sample: np.ndarray, total: int, norm2: float, k: int = K, seed: int = 9):
+    def __init__(self, sample: np.ndarray, total: int, norm2: float, k: int = K, seed: int = 9, scale: float = 1.0):
+        """``norm2`` is the greatest squared norm of the vectors times ``scale``, which brings them into the range of float32."""
         rng = np.random.default_rng(seed)
-        self.norm2 = norm2
+        self.norm2, self.scale = norm2, scale
+        sample = sample * scale
         x = self.raised(sample)
         self.centroids = balanced(x, int(np.clip(-(-total // LIST), 1, min(MOST_LISTS, len(x)))), rng)
         d = _distances(self.centroids, self.centroids)
@@ -126,9 +130,19 @@ class Index:
 
     def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every list a query reads."""
-        ids, dist = self.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), BEAM)
-        rows, cols = np.nonzero((dist <= self.ratio * dist[:, :1]) & np.isfinite(dist))
-        return rows, ids[rows, cols]
+        q = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        ids, dist = self.search(q, BEAM)
+        ok = (dist <= self.ratio * dist[:, :1]) & np.isfinite(dist)
+        rows, cols = np.nonzero(ok)
+        lists = ids[rows, cols]
+        # a beam that the ratio fills may have left lists out: those queries look at every centroid
+        full = np.flatnonzero(ok.all(axis=1)) if ok.shape[1] < len(self.centroids) else np.zeros(0, np.int64)
+        if len(full):
+            d = _distances(q[full], self.centroids)
+            more, every = np.nonzero(d <= self.ratio * np.minimum(dist[full, :1], d.min(axis=1, keepdims=True)))
+            rest = ~np.isin(rows, full)
+            rows, lists = np.concatenate([rows[rest], full[more]]), np.concatenate([lists[rest], every])
+        return rows, lists
 
     def _ratio(self, sample: np.ndarray, x: np.ndarray, k: int, rng: np.random.Generator) -> float:
         """The least ratio by which sampled queries find their exact neighbours in the sample."""
@@ -166,7 +180,7 @@ def _spread(shared, query: bool):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                rows, lists = (index.asked if query else index.homes)(_rows(part.column("v")))
+                rows, lists = (index.asked if query else index.homes)(_rows(part.column("v")) * index.scale)
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("vec_id").take(at), part.column("v").take(at)], names=["list", "id", "v"])
 
@@ -177,14 +191,16 @@ def best_of(ids: np.ndarray, v: np.ndarray, asked: np.ndarray, q: np.ndarray, k:
     """For each query the k nearest of one block, with scores that do not depend on the block."""
     ids, first = np.unique(ids, return_index=True)
     v = v[first]
-    rough = q @ v.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = np.nan_to_num(q @ v.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
     rough[asked[:, None] == ids[None, :]] = -np.inf
     out = []
     for i, query in enumerate(asked.tolist()):
         m = min(k, len(ids))
         bar = np.partition(rough[i], len(ids) - m)[len(ids) - m]
-        at = np.flatnonzero((rough[i] >= bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else rough[i] > -np.inf) & (rough[i] > -np.inf))
-        score = (v[at] * q[i]).sum(axis=1)
+        at = np.flatnonzero((rough[i] >= bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else np.full(len(ids), True)) & (ids != query))
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (v[at] * q[i]).sum(axis=1)
         order = np.lexsort((ids[at], -score))[:k]
         if len(order):
             out.append((query, ids[at][order].tolist(), score[order].tolist()))
@@ -240,11 +256,11 @@ def _merged(k: int):
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, n2) of the vectors that take part."""
+    """(vec_id, v) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(ok)
-    rows = rows.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).filter("n2 > 0")
+    rows = rows.filter(F.exists("v", lambda x: x != 0))
     most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("v") == F.lit(most["n"] if most else 0))
 
@@ -254,12 +270,15 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     spark = vectors.sparkSession
     n = partitions(spark)
     rows = stored(valid(vectors), "vectors")
-    total, norm2 = rows.agg(F.count("*"), F.max("n2")).first()
+    total, top = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], empty)
+    # a power of two, so that no digit is lost; the greatest component comes to lie between a half and one
+    scale = 2.0 ** min(1000, -math.frexp(top)[1])
+    norm2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * F.lit(scale)) * (x * F.lit(scale))))).first()[0]
     sample = rows.orderBy(hash_key(9, F.col("vec_id")), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
-    index = Index(_rows(sample), total, norm2, k)
+    index = Index(_rows(sample), total, norm2, k, scale=scale)
     shared = spark.sparkContext.broadcast(index)
     # of equal vectors, the k + 1 smallest ids; each task drops the others before the shuffle
     few = rows.withColumn("_n", F.row_number().over(W.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)

@@ -57,6 +57,28 @@ def test_pii_base_and_spans(spark):
     assert pii.find(spark.createDataFrame([], EMPTY), model).count() == 0
 
 
+def test_base_spans_equal_the_plain_patterns():
+    plain = {
+        "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+        "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    }
+    rng = random.Random(1)
+    for n in range(20000):
+        t = "".join(rng.choice("aZ01.@-+_% ()9" if n % 2 else "12.@a.@-5") for _ in range(rng.randint(0, 60)))
+        want = [(k, *m.span()) for k, p in plain.items() for m in p.finditer(t) if pii._passes(k, m[0])]
+        assert pii.base_spans(t) == sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0]))), t
+
+
+def test_base_spans_of_long_runs():
+    long = 1_000_000
+    for t in ("7" * long, "a" * long, "1 " * long, "a." * long + "@", "+1" + "(" * long):
+        assert pii.base_spans(t) == []
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert len(pii.base_spans("1.2.3.4 " * 1000)) == 1000
+
+
 def test_tagger_learns_held_out_windows():
     lines = [f"word {i} write to n{i}.x@mail{i % 7}.example.com now and call +1 ({200 + i}) 555-01{i % 90 + 10} or see 10.{i}.3.{i % 200} there" for i in range(90)]
     model = pii.train(lines[:60])
@@ -441,6 +463,30 @@ def test_nearest(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 1.0]), (21, [0.5, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.search(few).collect()) == [(0, 1, 20), (0, 2, 21), (20, 1, 21), (20, 2, 0)]
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    for size in (1e39, 1e300, 1e-200):
+        big = spark.createDataFrame([(i, [size * (i + 1), size * (i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+        found = nearest.search(big).collect()
+        assert len(found) == 60 and all(r["score"] >= 0 and r["vec_id"] != r["query_id"] for r in found)
+        if size == 1e39:
+            assert [r["vec_id"] for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))][:3] == [59, 58, 57]
+
+
+def test_queries_of_a_full_beam_see_every_centroid(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 8))
+    norm2 = float((x * x).sum(axis=1).max())
+    monkeypatch.setattr(nearest, "LIST", 30)
+    monkeypatch.setattr(nearest, "BEAM", 8)
+    index = nearest.Index(x, len(x), norm2)
+    assert len(index.centroids) > 50
+    index.ratio = 1.5
+    rows, lists = index.asked(x[:40])
+    q = np.concatenate([x[:40], np.zeros((40, 1))], axis=1).astype(np.float32)
+    d = nearest._distances(q, index.centroids)
+    want = d <= 1.5 * d.min(axis=1, keepdims=True)
+    for i in range(40):
+        if want[i].sum() > 8:
+            assert set(lists[rows == i].tolist()) == set(np.flatnonzero(want[i]).tolist())
 
 
 def test_packing(spark, texts):
