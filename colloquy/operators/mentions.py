@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import matches, whole_word
 
 
-def term_occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every whole-word match of a term or alias in every segment, numbered through each conversation.
+#: Letters outside ASCII that case-insensitive matching takes for ASCII ones.
+_ODD = "[\u0130\u0131\u017f\u212a]"
+
+
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _text_keys(text: Column) -> Column:
+    """What a phrase found in the text may go by: each token, each other character, and two keys for odd letters."""
+    found = F.array_distinct(F.regexp_extract_all(_ascii_lower(text), F.lit(r"(?s)\w+|\W"), F.lit(0)))
+    return F.concat(found, F.array(F.lit("any text")), F.when(text.rlike(_ODD), F.array(F.lit("any phrase"))).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def _phrase_keys(phrase: Column) -> Column:
+    """The phrase's first token, which stands as a token wherever the phrase is found; without one its first character, if that has no case."""
+    token, first = F.regexp_extract(_ascii_lower(phrase), r"\w+", 0), F.left(phrase, F.lit(1))
+    caseless = (F.lower(first) == first) & (F.upper(first) == first)
+    key = F.when(phrase.rlike(_ODD), "any text").when(token != "", token).when(caseless, first).otherwise(F.lit("any text"))
+    return F.array(key, F.lit("any phrase"))
 
-    Every segment meets every term: the dictionary is the broadcast side below Spark's size threshold.
+
+def _candidates(segments: DataFrame, phrases: DataFrame, phrase: str, ident: str) -> DataFrame:
+    """Segments beside each entry of which a phrase may stand in them, met by equal keys.
+
+    Only ids and tokens are exploded; the pairs then meet the texts once.
     """
-    t = terms.select("ordinal", "term_id", whole_word(F.concat(F.array("display"), "aliases")).alias("_pattern"))
-    found = segments.select("conversation_id", "segment_index", "text").join(t, F.lit(True)).select("conversation_id", "segment_index", "ordinal", "term_id", F.inline(matches(F.col("text"), F.col("_pattern"))))
+    keys = phrases.select(ident, F.explode(_phrase_keys(F.col(phrase))).alias("_key")).distinct()
+    said = segments.select(F.col("conversation_id").alias("_c"), F.col("segment_index").alias("_i"), F.explode(_text_keys(F.col("text"))).alias("_key"))
+    pairs = said.join(keys, "_key").select("_c", "_i", ident).distinct()
+    s = segments.select("conversation_id", "segment_index", "text")
+    return s.join(pairs, s["conversation_id"].eqNullSafe(pairs["_c"]) & s["segment_index"].eqNullSafe(pairs["_i"])).drop("_c", "_i")
+
+
+def term_occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every whole-word match of a term or alias in every segment, numbered through each conversation."""
+    names = F.concat(F.array("display"), "aliases")
+    t = terms.select("ordinal", "term_id", whole_word(names).alias("_pattern"), names.alias("_names"))
+    phrases = t.select("ordinal", F.explode("_names").alias("_phrase")).filter("_phrase <> ''")
+    near = _candidates(segments, phrases, "_phrase", "ordinal").join(t.drop("_names"), "ordinal")
+    found = near.select("conversation_id", "segment_index", "ordinal", "term_id", F.inline(matches(F.col("text"), F.col("_pattern"))))
     n = F.row_number().over(W.partitionBy("conversation_id").orderBy("segment_index", "ordinal", "start")) - 1
     return found.select("conversation_id", F.concat(F.lit("occ_"), n.cast("string")).alias("occurrence_id"), "segment_index", "term_id", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"))
 
@@ -24,10 +58,17 @@ def person_mentions(segments: DataFrame, people: DataFrame) -> DataFrame:
     """Full-name matches; where a segment has none, those of a first name of more than two letters."""
     first = F.split("name", " ")[0]
     two = F.col("name").contains(" ") & (F.length(first) > 2)
-    p = people.select("ordinal", "person_id", whole_word(F.array("name")).alias("_full"), F.when(two, whole_word(F.array(first))).alias("_first"))
-    s = segments.select("conversation_id", "segment_index", "text").join(p, F.lit(True)).withColumn("_m", matches(F.col("text"), F.col("_full")))
+    p = people.select("ordinal", "person_id", "name", whole_word(F.array("name")).alias("_full"), F.when(two, whole_word(F.array(first))).alias("_first"), F.when(two, first).alias("_given"))
+    phrases = p.select("ordinal", F.explode(F.array("name", "_given")).alias("_phrase")).filter("_phrase <> ''")
+    near = _candidates(segments, phrases, "_phrase", "ordinal").join(p.drop("name", "_given"), "ordinal").withColumn("_m", matches(F.col("text"), F.col("_full")))
     spans = F.when((F.size("_m") == 0) & F.col("_first").isNotNull(), matches(F.col("text"), F.col("_first"))).otherwise(F.col("_m"))
-    return s.select("conversation_id", "segment_index", "person_id", F.inline(spans)).select("conversation_id", "segment_index", "person_id", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"))
+    return near.select("conversation_id", "segment_index", "person_id", F.inline(spans)).select("conversation_id", "segment_index", "person_id", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"))
+
+
+def person_segments(mentions: DataFrame) -> DataFrame:
+    """The segments that mention each person, in order, each once, and the number of mentions."""
+    grouped = mentions.groupBy("conversation_id", "person_id").agg(F.array_sort(F.collect_set("segment_index")).alias("segments"), F.count("*").alias("mentions"))
+    return grouped.select("conversation_id", "person_id", "segments", "mentions")
 
 
 def segment_occurrences(segments: DataFrame, occurrences: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -22,14 +22,18 @@ def price_asof(probes: DataFrame, prices: DataFrame, model: str, prefix: str) ->
     """Adds the price of ``model`` valid at each probe's timestamp.
 
     The latest price that began by then counts; if it has expired the price is null, without going back
-    to older ones. Price lists are small: the side is broadcast below Spark's size threshold, and a list
-    beyond it is range-joined by month in the same way.
+    to older ones. Probes meet the prices of their month: a price stands once for each month of the probes
+    that it reaches into, so the join has an equal key, and the range alone is tested within it.
     """
     p = price_spans(prices.filter(F.col("model") == model))
     cols = ["pricing_id", "input_price", "output_price", "second_price"]
     gone = F.col("effective_until") <= F.col("timestamp")
     p = p.select(*[F.col(c).alias(f"_{c}") for c in cols], "effective_from", "effective_until", "next_from")
-    on = (F.col("timestamp") >= F.col("effective_from")) & (F.col("next_from").isNull() | (F.col("timestamp") < F.col("next_from")))
+    month = F.date_trunc("month", "timestamp")
+    # a row for each month of the calendar that has probes: months times prices stays small
+    months = probes.select(month.alias("_month")).distinct()
+    p = months.join(p, (F.add_months("_month", 1) > F.col("effective_from")) & (F.col("next_from").isNull() | (F.col("_month") < F.col("next_from"))))
+    on = (month == F.col("_month")) & (F.col("timestamp") >= F.col("effective_from")) & (F.col("next_from").isNull() | (F.col("timestamp") < F.col("next_from")))
     out = probes.join(p, on, "left")
     return out.select(*probes.columns, *[F.when(gone.isNull() | ~gone, F.col(f"_{c}")).alias(f"{prefix}_{c}") for c in cols])
 

@@ -114,12 +114,16 @@ def speaker_distribution(segments: DataFrame) -> DataFrame:
     return n.withColumn("percent", round_half_up(100.0 * F.col("segments") / F.sum("segments").over(W.partitionBy("conversation_id"))))
 
 
-def conversation_summary(segments: DataFrame, topics: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Counts by conversation; its length is the end of the last segment in order."""
+def conversation_summary(segments: DataFrame, topics: DataFrame, corrected: DataFrame, occurrences: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Counts by conversation, terms and people as they are found in it; its length is the end of the last segment in order."""
     s = segments.groupBy("conversation_id").agg(F.count("*").alias("segments"), F.countDistinct("speaker_id").alias("speakers"), F.max_by("end_ms", "segment_index").alias("duration_ms"))
     t = topics.groupBy("conversation_id").agg(F.count("*").alias("topics"))
     c = corrected.groupBy("conversation_id").agg(F.count_if("corrected").alias("corrections"))
-    return s.join(t, "conversation_id", "left").join(c, "conversation_id", "left").na.fill(0)
+    o = occurrences.groupBy("conversation_id").agg(F.countDistinct("term_id").alias("terms"), F.count("*").alias("occurrences"))
+    m = mentions.groupBy("conversation_id").agg(F.countDistinct("person_id").alias("people"))
+    for part in (t, c, o, m):
+        s = s.join(part, "conversation_id", "left")
+    return s.na.fill(0)
 
 
 def transcript_text(segments: DataFrame, names: DataFrame) -> DataFrame:
@@ -174,7 +178,8 @@ def flatten(documents: DataFrame) -> DataFrame:
 
 
 def realign(original: DataFrame, timed: DataFrame, gate: float = 0.55) -> DataFrame:
-    """New times onto the originals by position; a mean confidence below the gate only warns."""
+    """New times onto the originals by position, and the length that the last of them gives; a mean confidence below the gate only warns."""
     j = original.select("conversation_id", "segment_index", "speaker_id").join(timed.select("conversation_id", "segment_index", "start_ms", "end_ms", "confidence"), ["conversation_id", "segment_index"])
     mean = F.avg(F.col("confidence").cast("decimal(18,6)")).over(W.partitionBy("conversation_id")).cast("double")
-    return j.select("conversation_id", "segment_index", "speaker_id", "start_ms", "end_ms", F.lit("aligned").alias("alignment_status"), (mean < gate).alias("low_confidence"))
+    length = F.max_by("end_ms", "segment_index").over(W.partitionBy("conversation_id"))
+    return j.select("conversation_id", "segment_index", "speaker_id", "start_ms", "end_ms", F.lit("aligned").alias("alignment_status"), (mean < gate).alias("low_confidence"), length.alias("duration_ms"))

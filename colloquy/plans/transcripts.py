@@ -178,10 +178,12 @@ def speaker_distribution(spark, sf):
     return se.speaker_distribution(_seg(spark, sf))
 
 
-@query("conversation_summary", with_views("segment correction topic", f", {_REASSIGN} SELECT s.*, 3 AS topics, c.corrections FROM (SELECT conversation_id, count(*) AS segments, count(DISTINCT speaker_id) AS speakers, arg_max(end_ms, segment_index) AS duration_ms FROM segment GROUP BY 1) s JOIN (SELECT conversation_id, count(*) FILTER (corrected) AS corrections FROM rea GROUP BY 1) c USING (conversation_id)"))
+@query("conversation_summary", with_views("segment correction topic term person", BOTH + f""", {_REASSIGN} SELECT s.*, 3 AS topics, c.corrections, coalesce(terms, 0) AS terms, coalesce(occurrences, 0) AS occurrences, coalesce(people, 0) AS people
+FROM (SELECT conversation_id, count(*) AS segments, count(DISTINCT speaker_id) AS speakers, arg_max(end_ms, segment_index) AS duration_ms FROM segment GROUP BY 1) s JOIN (SELECT conversation_id, count(*) FILTER (corrected) AS corrections FROM rea GROUP BY 1) c USING (conversation_id)
+LEFT JOIN (SELECT conversation_id, count(DISTINCT term_id) AS terms, count(*) AS occurrences FROM occ GROUP BY 1) USING (conversation_id) LEFT JOIN (SELECT conversation_id, count(DISTINCT person_id) AS people FROM men GROUP BY 1) USING (conversation_id)"""))
 def conversation_summary(spark, sf):
     s = _seg(spark, sf)
-    return se.conversation_summary(s, fx.topics(spark, sf), se.apply_reassign(s, fx.corrections(spark, sf)))
+    return se.conversation_summary(s, fx.topics(spark, sf), se.apply_reassign(s, fx.corrections(spark, sf)), _occ(spark, sf), _men(spark, sf))
 
 
 @query("transcript_text", with_views("segment", f", {NUMBERED} SELECT conversation_id, string_agg('[' || segment_index || '] ' || display_name || ': ' || text, chr(10) || chr(10) ORDER BY segment_index) AS transcript FROM segment JOIN spk USING (conversation_id, speaker_id) GROUP BY 1"))
@@ -220,8 +222,7 @@ def drift_correction(spark, sf):
 @query("step_timeline", with_views("progress_event", """SELECT conversation_id, position, step, lead(started_at) OVER w AS completed_at, (epoch_us(lead(started_at) OVER w) - epoch_us(started_at)) // 1000 AS duration_ms,
 CASE step WHEN 'uploading' THEN 15 WHEN 'transcribing' THEN 40 WHEN 'analyzing' THEN 60 WHEN 'aligning' THEN 85 WHEN 'finalizing' THEN 95 WHEN 'complete' THEN 100 ELSE 0 END AS percent FROM progress_event WINDOW w AS (PARTITION BY conversation_id ORDER BY position)"""))
 def step_timeline(spark, sf):
-    """The users that its SQL twin names; :func:`step_timeline_all` has every user."""
-    return se.step_timeline(fx.steps(spark, sf).filter("conversation_id < 20"))
+    return se.step_timeline(fx.steps(spark, sf))
 
 
 @query("step_timeline_all", with_views("progress_event_all", """SELECT conversation_id, position, step, lead(started_at) OVER w AS completed_at, (epoch_us(lead(started_at) OVER w) - epoch_us(started_at)) // 1000 AS duration_ms,
@@ -262,6 +263,12 @@ def person_mentions(spark, sf):
     return _men(spark, sf)
 
 
+@query("person_segments", with_views("segment person", MENTIONS + " SELECT conversation_id, person_id, string_agg(DISTINCT segment_index::VARCHAR, ',' ORDER BY lpad(segment_index::VARCHAR, 9, '0')) AS segments, count(*) AS mentions FROM men GROUP BY 1, 2"))
+def person_segments(spark, sf):
+    p = me.person_segments(_men(spark, sf))
+    return p.withColumn("segments", F.array_join(F.col("segments").cast("array<string>"), ","))
+
+
 @query("mention_navigation", with_views("segment term", OCCURRENCES + """ SELECT conversation_id, term_id, occurrence_id, first_value(occurrence_id) OVER a AS first_id, coalesce(lead(occurrence_id) OVER w, first_value(occurrence_id) OVER a) AS next_id, coalesce(lag(occurrence_id) OVER w, last_value(occurrence_id) OVER a) AS previous_id FROM occ
 WINDOW w AS (PARTITION BY conversation_id, term_id ORDER BY segment_index, start_char), a AS (PARTITION BY conversation_id, term_id ORDER BY segment_index, start_char ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""))
 def mention_navigation(spark, sf):
@@ -299,18 +306,19 @@ def viewer_dataset(spark, sf):
     return named.join(se.topic_markers(s, fx.topics(spark, sf)), key, "left").join(parts, key, "left").na.fill(0, ["n_parts"])
 
 
-@query("context_search", with_views("segment term person", "SELECT DISTINCT conversation_id, term_id AS id FROM segment, term WHERE contains(lower(display), 'th') OR len(list_filter(aliases, lambda a: contains(lower(a), 'th'))) > 0 UNION ALL SELECT DISTINCT conversation_id, person_id FROM segment, person WHERE contains(lower(name), 'th')"))
+@query("context_search", with_views("segment term person", BOTH + " SELECT DISTINCT conversation_id, term_id AS id FROM occ JOIN term USING (term_id) WHERE contains(lower(display), 'th') OR len(list_filter(aliases, lambda a: contains(lower(a), 'th'))) > 0 UNION ALL SELECT DISTINCT conversation_id, person_id FROM men JOIN person USING (person_id) WHERE contains(lower(name), 'th')"))
 def context_search(spark, sf):
-    ids = _seg(spark, sf).select("conversation_id").distinct()
-    t = me.context_search(ids.join(fx.terms(spark, sf), F.lit(True)), "th", ["display"], ["aliases"]).select("conversation_id", F.col("term_id").alias("id"))
-    return t.union(me.context_search(ids.join(fx.people(spark, sf), F.lit(True)), "th", ["name"], []).select("conversation_id", "person_id"))
+    """The terms and people of each conversation that the search text finds."""
+    own = lambda rows, entries, key: rows.select("conversation_id", key).distinct().join(entries, key)
+    t = me.context_search(own(_occ(spark, sf), fx.terms(spark, sf), "term_id"), "th", ["display"], ["aliases"]).select("conversation_id", F.col("term_id").alias("id"))
+    return t.union(me.context_search(own(_men(spark, sf), fx.people(spark, sf), "person_id"), "th", ["name"], []).select("conversation_id", "person_id"))
 
 
 # text functions
 
 _NORM = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'))"
 _GRAMS = lambda c: f"CASE WHEN len({c}) <= 3 THEN [{c}] ELSE list_distinct(list_transform(range(1, len({c}) - 1), lambda i: substring({c}, i, 3))) END"
-_PAIR = f"nx AS (SELECT {_SEG}, {_NORM('left(text, 60)')} AS a, coalesce({_NORM('left(lead(text) OVER (PARTITION BY conversation_id ORDER BY segment_index), 60)')}, '') AS b FROM segment)"
+_PAIR = f"nx AS (SELECT {_SEG}, {_NORM('text')} AS a, coalesce({_NORM('lead(text) OVER (PARTITION BY conversation_id ORDER BY segment_index)')}, '') AS b FROM segment)"
 _PAIRS = f"{_PAIR}, gx AS (SELECT *, {_GRAMS('a')} AS ga, {_GRAMS('b')} AS gb, list_filter(string_split(a, ' '), lambda w: w <> '') AS ta, list_filter(string_split(b, ' '), lambda w: w <> '') AS tb FROM nx)"
 _EDIT = lambda a, b: f"CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1 ELSE 1 - levenshtein({a}, {b}) / nullif(greatest(len({a}), len({b})), 0)::DOUBLE END"
 _JAC = "len(list_intersect(ga, gb)) / len(list_distinct(ga || gb))::DOUBLE"
@@ -320,7 +328,7 @@ def _pairs(spark, sf):
     from pyspark.sql import Window as W
 
     nxt = F.lead("text").over(W.partitionBy("conversation_id").orderBy("segment_index"))
-    return _seg(spark, sf).select("conversation_id", "segment_index", tx.normal(F.left("text", F.lit(60))).alias("a"), F.coalesce(tx.normal(F.left(nxt, F.lit(60))), F.lit("")).alias("b"))
+    return _seg(spark, sf).select("conversation_id", "segment_index", tx.normal(F.col("text")).alias("a"), F.coalesce(tx.normal(nxt), F.lit("")).alias("b"))
 
 
 @query("text_normalise", with_views("segment", f"SELECT {_SEG}, {_NORM('text')} AS text FROM segment"))
@@ -458,7 +466,7 @@ def proportional_interpolation(spark, sf):
     return al.proportional_interpolation(r.withColumns({"region_start": 150 * F.col("from_word"), "region_end": 150 * F.col("to_word")}))
 
 
-@query("realign_zip", with_views("segment", f", {_TIMED} SELECT s.conversation_id, s.segment_index, s.speaker_id, t.start_ms, t.end_ms, 'aligned' AS alignment_status, (avg(t.confidence::DECIMAL(18,6)) OVER (PARTITION BY s.conversation_id))::DOUBLE < 0.55 AS low_confidence FROM segment s JOIN tm t USING ({_SEG})"))
+@query("realign_zip", with_views("segment", f", {_TIMED} SELECT s.conversation_id, s.segment_index, s.speaker_id, t.start_ms, t.end_ms, 'aligned' AS alignment_status, (avg(t.confidence::DECIMAL(18,6)) OVER (PARTITION BY s.conversation_id))::DOUBLE < 0.55 AS low_confidence, arg_max(t.end_ms, s.segment_index) OVER (PARTITION BY s.conversation_id) AS duration_ms FROM segment s JOIN tm t USING ({_SEG})"))
 def realign_zip(spark, sf):
     return se.realign(_seg(spark, sf), _timed(spark, sf))
 
