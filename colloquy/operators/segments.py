@@ -43,9 +43,10 @@ def boundary_repair(segments: DataFrame) -> DataFrame:
 
 
 def speaker_numbering(segments: DataFrame) -> DataFrame:
-    """Speakers of each conversation in order of id: Speaker 1..n, colour by rank modulo five."""
+    """Speakers of each conversation in order of id: Speaker 1..n, colour by rank modulo five; where none is known, one default speaker."""
     n = F.row_number().over(W.partitionBy("conversation_id").orderBy("speaker_id"))
-    ids = segments.select("conversation_id", F.coalesce("speaker_id", F.lit("SPEAKER_00")).alias("speaker_id")).distinct()
+    known = segments.groupBy("conversation_id").agg(F.collect_set("speaker_id").alias("_ids"))
+    ids = known.select("conversation_id", F.explode(F.when(F.size("_ids") == 0, F.array(F.lit("SPEAKER_00"))).otherwise(F.col("_ids"))).alias("speaker_id"))
     return ids.select("conversation_id", "speaker_id", F.concat(F.lit("Speaker "), n.cast("string")).alias("display_name"), ((n - 1) % 5).cast("long").alias("color_index"))
 
 
@@ -75,20 +76,36 @@ def apply_reassign(segments: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def apply_splits(segments: DataFrame, splits: DataFrame) -> DataFrame:
-    """Splits a segment at a character: two segments of trimmed text, time by share of characters; renumbered.
+    """Splits segments at characters: trimmed texts, time by share of characters, all renumbered.
 
-    One split a segment (the least position of several); invalid positions are skipped.
+    Several splits of one segment are made in order of ``ordinal``, each in what stands before the last. The
+    part before keeps its speaker unless ``speaker_before`` names one; ``speaker_after``, if missing, is the
+    other of a conversation's two speakers. Splits outside the text, or after which nobody is known to speak,
+    are skipped.
     """
-    one = splits.groupBy("conversation_id", "segment_index").agg(F.min("split_at_char").alias("at"))
-    s = segments.join(one, ["conversation_id", "segment_index"], "left")
-    before, after = F.trim(F.expr("left(text, at)")), F.trim(F.expr("substring(text, at + 1)"))
-    cut = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * F.length(before) / F.length("text")).cast("long")
-    ok = F.col("at").isNotNull() & (F.col("at") > 0) & (F.col("at") < F.length("text")) & (before != "") & (after != "")
-    part = lambda k, a, b, t: F.struct(F.lit(k).alias("part"), a.alias("start_ms"), b.alias("end_ms"), t.alias("text"))
-    parts = F.when(ok, F.array(part(0, F.col("start_ms"), cut, before), part(1, cut, F.col("end_ms"), after))).otherwise(F.array(part(0, F.col("start_ms"), F.col("end_ms"), F.col("text"))))
-    rows = s.select("conversation_id", F.col("segment_index").alias("old_index"), "speaker_id", F.inline(parts))
+    key = ["conversation_id", "segment_index"]
+    per = splits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("split_at_char").cast("long").alias("at"), "speaker_before", "speaker_after"))).alias("splits"))
+    speakers = segments.groupBy("conversation_id").agg(F.countDistinct("speaker_id").alias("n_speakers"), F.min("speaker_id").alias("one"), F.max("speaker_id").alias("two"))
+    s = segments.join(per, key, "left").join(speakers, "conversation_id")
+    part = lambda t, a, b, k: F.struct(t.alias("text"), a.alias("start_ms"), b.alias("end_ms"), k.alias("speaker_id"))
+    none = F.expr("cast(array() as array<struct<text:string,start_ms:bigint,end_ms:bigint,speaker_id:string>>)")
+
+    def cut(state: Column, x: Column) -> Column:
+        head, text = state["head"], state["head"]["text"]
+        speaker = F.coalesce(x["speaker_before"], head["speaker_id"])
+        after = F.coalesce(x["speaker_after"], F.when(F.col("n_speakers") == 2, F.when(speaker == F.col("one"), F.col("two")).otherwise(F.col("one"))))
+        at = x["at"].cast("int")
+        left = F.trim(F.left(text, at))
+        time = head["start_ms"] + F.floor((head["end_ms"] - head["start_ms"]) * (F.length(left) / F.length(text))).cast("long")
+        ok = (at > 0) & (at < F.length(text)) & after.isNotNull()
+        made = F.struct(part(left, head["start_ms"], time, speaker).alias("head"), F.concat(F.array(part(F.trim(F.substring(text, at + 1, F.length(text))), time, head["end_ms"], after)), state["rest"]).alias("rest"))
+        return F.when(ok, made).otherwise(state)
+
+    whole = F.struct(part(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("speaker_id")).alias("head"), none.alias("rest"))
+    done = s.withColumn("done", F.when(F.col("splits").isNull(), whole).otherwise(F.aggregate("splits", whole, cut)))
+    rows = done.select("conversation_id", F.col("segment_index").alias("old_index"), F.posexplode(F.concat(F.array("done.head"), F.col("done.rest"))).alias("part", "p"))
     n = F.row_number().over(W.partitionBy("conversation_id").orderBy("old_index", "part")) - 1
-    return rows.select("conversation_id", n.cast("long").alias("segment_index"), "speaker_id", "start_ms", "end_ms", "text")
+    return rows.select("conversation_id", n.cast("long").alias("segment_index"), "p.speaker_id", "p.start_ms", "p.end_ms", "p.text")
 
 
 def topic_markers(segments: DataFrame, topics: DataFrame) -> DataFrame:
@@ -127,11 +144,14 @@ def conversation_summary(segments: DataFrame, topics: DataFrame, corrected: Data
 
 
 def transcript_text(segments: DataFrame, names: DataFrame) -> DataFrame:
-    """``[i] name: text`` lines, an empty line between."""
+    """``[i] name: text`` lines, an empty line between, and the speakers as ``id (name)``."""
     rows = segment_speaker(segments, names).select("conversation_id", "segment_index", "display_name").join(segments.select("conversation_id", "segment_index", "text"), ["conversation_id", "segment_index"])
     line = F.concat(F.lit("["), F.col("segment_index").cast("string"), F.lit("] "), F.col("display_name"), F.lit(": "), F.col("text"))
     lines = F.array_sort(F.collect_list(F.struct("segment_index", line.alias("line"))))
-    return rows.groupBy("conversation_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("transcript"))
+    text = rows.groupBy("conversation_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("transcript"))
+    shown = F.array_sort(F.collect_list(F.struct("speaker_id", F.concat("speaker_id", F.lit(" ("), "display_name", F.lit(")")).alias("shown"))))
+    listed = names.groupBy("conversation_id").agg(F.array_join(F.transform(shown, lambda x: x["shown"]), ", ").alias("speakers"))
+    return text.join(listed, "conversation_id", "left")
 
 
 def input_stats(segments: DataFrame, words: Column) -> DataFrame:

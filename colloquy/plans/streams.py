@@ -14,15 +14,15 @@ from .fixtures import with_views
 from .registry import query
 
 
-def _source(spark, rows, name="source", files=1):
+def _source(spark, rows, name="source"):
     path = fresh_path(spark, name)
-    rows.coalesce(files).write.parquet(path)
+    rows.write.parquet(path)
     return path
 
 
 def _events(spark, sf):
     rows = fx.user_events(spark, sf)
-    return jobs.read_events(spark, _source(spark, rows, files=4), rows.schema)
+    return jobs.read_events(spark, _source(spark, rows), rows.schema)
 
 
 @query("event_stream", with_views("user_event", "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS date, count(*) AS events, count(DISTINCT user_id) AS users FROM user_event GROUP BY 1"))
@@ -71,17 +71,17 @@ def lifecycle_stream(spark, sf):
     a, b = fx.snapshots(spark, sf)
     path, state, sink, offsets = (fresh_path(spark, n) for n in ("snapshots", "state", "events", "offsets"))
     for rows in (a, b):  # the second snapshot arrives after the first was handled
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
         jobs.snapshot_events(jobs.read_events(spark, path, a.schema), state, sink, offsets, "conversation_id")
     return spark.read.parquet(sink).select("conversation_id", "event_type", "user_id")
 
 
 @query("daily_rollup_stream", with_views("user_event job_metric", an.DAILY + " SELECT date, created, deleted, succeeded, audio_hours FROM daily"))
 def daily_rollup_stream(spark, sf):
-    """Each batch of the log triggers a recomputation of the daily rows, which replace themselves."""
-    sink = fresh_path(spark, "daily")
-    daily = usage.daily_stats(fx.user_events(spark, sf), fx.job_metrics(spark, sf))
-    jobs.run(_events(spark, sf), lambda df, n: ingest.replace_days(daily, sink), fresh_path(spark, "offsets"))
+    """Each batch joins the log; the days from its first on are computed anew and replace themselves."""
+    log, sink = fresh_path(spark, "log"), fresh_path(spark, "daily")
+    metrics = fx.job_metrics(spark, sf)
+    jobs.run(_events(spark, sf), lambda df, n: jobs.daily_rollup(df, n, metrics, log, sink), fresh_path(spark, "offsets"))
     out = spark.read.parquet(sink)
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "created", "deleted", "succeeded", "audio_hours")
 

@@ -143,13 +143,26 @@ def apply_reassign(spark, sf):
     return se.apply_reassign(_seg(spark, sf), fx.corrections(spark, sf))
 
 
-@query("apply_splits", with_views("segment", f""", t AS (SELECT *, len(text) > 60 AND segment_index % 4 = 2 AND trim(left(text, 20)) <> '' AND trim(substring(text, 21)) <> '' AS ok FROM segment),
-u AS (SELECT *, start_ms + floor((end_ms - start_ms) * len(trim(left(text, 20)))::DOUBLE / len(text))::BIGINT AS cut FROM t),
-v AS (SELECT conversation_id, segment_index AS old, 0 AS part, speaker_id, start_ms, CASE WHEN ok THEN cut ELSE end_ms END AS end_ms, CASE WHEN ok THEN trim(left(text, 20)) ELSE text END AS text FROM u UNION ALL SELECT conversation_id, segment_index, 1, speaker_id, cut, end_ms, trim(substring(text, 21)) FROM u WHERE ok)
+def _split(i: int, of: str) -> str:
+    """One split of the first piece in SQL; the piece after it goes into columns of its own."""
+    return f"""h{i} AS (SELECT *, coalesce(b{i}, k) AS bb{i}, coalesce(f{i}, CASE WHEN ns = 2 THEN CASE WHEN coalesce(b{i}, k) = lo THEN hi ELSE lo END END) AS ff{i} FROM {of}),
+j{i} AS (SELECT *, coalesce(at{i} > 0 AND at{i} < len(x) AND ff{i} IS NOT NULL, false) AS ok{i}, trim(left(x, at{i})) AS l{i} FROM h{i}), m{i} AS (SELECT *, a + floor((b - a) * (len(l{i})::DOUBLE / len(x)))::BIGINT AS cut{i} FROM j{i}),
+o{i} AS (SELECT * REPLACE (CASE WHEN ok{i} THEN l{i} ELSE x END AS x, CASE WHEN ok{i} THEN cut{i} ELSE b END AS b, CASE WHEN ok{i} THEN bb{i} ELSE k END AS k), trim(substring(x, at{i} + 1)) AS x{i}, cut{i} AS a{i}, b AS e{i} FROM m{i})"""
+
+
+@query("apply_splits", with_views("segment", f""", pp AS (SELECT conversation_id, count(DISTINCT speaker_id) AS ns, min(speaker_id) AS lo, max(speaker_id) AS hi FROM segment GROUP BY 1),
+s0 AS (SELECT conversation_id, segment_index AS old, text AS x, start_ms AS a, end_ms AS b, speaker_id AS k, ns, lo, hi, [0, 0, 20, 30][segment_index % 4 + 1] AS at1, CASE WHEN segment_index % 4 = 3 THEN 'user' END AS b1, CASE WHEN segment_index % 4 = 3 THEN 'assistant' END AS f1, CASE WHEN segment_index % 4 >= 2 THEN [8, 100000][segment_index % 4 - 1] END AS at2, NULL::VARCHAR AS b2, 'system' AS f2 FROM segment JOIN pp USING (conversation_id)),
+{_split(1, "s0")}, {_split(2, "o1")}, v AS (SELECT conversation_id, old, 0 AS part, k AS speaker_id, a AS start_ms, b AS end_ms, x AS text FROM o2 UNION ALL SELECT conversation_id, old, 1, ff2, a2, e2, x2 FROM o2 WHERE ok2 UNION ALL SELECT conversation_id, old, 2, ff1, a1, e1, x1 FROM o2 WHERE ok1)
 SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY old, part) - 1 AS segment_index, speaker_id, start_ms, end_ms, text FROM v"""))
 def apply_splits(spark, sf):
+    """Splits with and without speakers, twice in a segment, and out of bounds."""
     s = _seg(spark, sf)
-    return se.apply_splits(s, s.filter("length(text) > 60 and segment_index % 4 = 2").select("conversation_id", "segment_index", F.lit(20).alias("split_at_char")))
+    i, none = F.col("segment_index") % 4, F.lit(None).cast("string")
+    row = lambda n, at, before, after: F.struct(F.lit(n).alias("ordinal"), at.alias("split_at_char"), before.alias("speaker_before"), after.alias("speaker_after"))
+    named = lambda name: F.when(i == 3, F.lit(name))
+    first = row(0, F.when(i == 2, 20).when(i == 3, 30).otherwise(0), named("user"), named("assistant"))
+    second = row(1, F.when(i == 2, 8).when(i == 3, 100000), none, F.lit("system"))
+    return se.apply_splits(s, s.select("conversation_id", "segment_index", F.inline(F.array(first, second))))
 
 
 @query("topic_markers", with_views("segment topic", f"SELECT {_SEG}, t.topic_id FROM segment LEFT JOIN (SELECT conversation_id, start_index AS segment_index, arg_min(topic_id, ordinal) AS topic_id FROM topic GROUP BY 1, 2) t USING ({_SEG})"))
@@ -186,7 +199,7 @@ def conversation_summary(spark, sf):
     return se.conversation_summary(s, fx.topics(spark, sf), se.apply_reassign(s, fx.corrections(spark, sf)), _occ(spark, sf), _men(spark, sf))
 
 
-@query("transcript_text", with_views("segment", f", {NUMBERED} SELECT conversation_id, string_agg('[' || segment_index || '] ' || display_name || ': ' || text, chr(10) || chr(10) ORDER BY segment_index) AS transcript FROM segment JOIN spk USING (conversation_id, speaker_id) GROUP BY 1"))
+@query("transcript_text", with_views("segment", f", {NUMBERED} SELECT conversation_id, string_agg('[' || segment_index || '] ' || display_name || ': ' || text, chr(10) || chr(10) ORDER BY segment_index) AS transcript, any_value(l.speakers) AS speakers FROM segment JOIN spk USING (conversation_id, speaker_id) JOIN (SELECT conversation_id, string_agg(speaker_id || ' (' || display_name || ')', ', ' ORDER BY speaker_id) AS speakers FROM spk GROUP BY 1) l USING (conversation_id) GROUP BY 1"))
 def transcript_text(spark, sf):
     s = _seg(spark, sf)
     return se.transcript_text(s, se.speaker_numbering(s))

@@ -15,7 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.collections import lifecycle_events, snapshot_diff
-from ..operators.usage import CREATED, DELETED
+from ..operators.usage import CREATED, DELETED, daily_stats
+from ..sources.ingest import replace_days
 
 STATE = "existing long, created long, deleted long, last timestamp"
 
@@ -86,3 +87,12 @@ def snapshot_events(snapshots: DataFrame, state: str, sink: str, checkpoint: str
         now.write.mode("overwrite").parquet(f"{state}/n={n}")
 
     run(snapshots, each, checkpoint)
+
+
+def daily_rollup(batch: DataFrame, n: int, metrics: DataFrame, log: str, sink: str) -> None:
+    """Adds a batch to the log, and writes the days from its first on, idle ones included; a repeated batch replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{log}/n={n}")
+    spark = batch.sparkSession
+    first = spark.read.parquet(f"{log}/n={n}").agg(F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first"))
+    daily = daily_stats(spark.read.schema(batch.schema).parquet(log), metrics)
+    replace_days(daily.join(first, F.col("date") >= F.col("first")).drop("first"), sink)
