@@ -50,13 +50,14 @@ def span_candidates(hints: DataFrame, words: DataFrame, most: int = 20) -> DataF
 
 
 def _banded(hints: DataFrame, words: DataFrame) -> DataFrame:
-    """Every span in the band of 5 words before and 3n + 50 after the expected first word, of each size, with its normal words."""
+    """Every span in the band of 5 words before and 3n + 50 after the expected first word, of each size, with the tokens of each of its words."""
     spark = hints.sparkSession
     said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: normal(x["word"])).alias("said"))
     n, first = F.col("n"), F.greatest(F.col("expected") - 5, F.lit(0))
     h = hints.filter("n_words > 0").select("conversation_id", "segment_index", "expected", F.col("n_words").cast("long").alias("n"), normal(F.col("text")).alias("wanted")).join(said, "conversation_id")
     h = h.withColumn("first", first).withColumn("last", F.least(F.col("expected") + 3 * n + 50, F.size("said") - 1).cast("long")).filter("first <= last")
     h = h.withColumns({"total": F.size("said"), "band": F.slice("said", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + n + 3).cast("int")), "of_wanted": F.array_distinct(tokens(F.col("wanted")))}).drop("said", "wanted")
+    h = h.withColumn("band", F.transform("band", lambda w: tokens(w)))
     # a segment has many spans: they are made where there is room for them
     h = h.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conversation_id", "segment_index")
     sizes = F.array_distinct(F.array(n, n - 1, n + 1, n - 2, n + 2, F.floor(n * 0.7).cast("long")))
@@ -78,7 +79,7 @@ def likely_spans(hints: DataFrame, words: DataFrame, short: int = 20) -> DataFra
     """
     spark = hints.sparkSession
     key = ["conversation_id", "segment_index"]
-    b = F.array_distinct(F.flatten(F.transform("span", lambda w: tokens(w))))
+    b = F.array_distinct(F.flatten("span"))
     rows = _banded(hints, words).withColumn("_b", b)
     dice = F.coalesce(2.0 * F.size(F.array_intersect("of_wanted", "_b")) / F.nullif(F.size("of_wanted") + F.size("_b"), F.lit(0)), F.lit(0.0))
     path = fresh_path(spark, "bands")
@@ -101,12 +102,13 @@ def likely_spans(hints: DataFrame, words: DataFrame, short: int = 20) -> DataFra
 
 
 def _spanned(candidates: DataFrame, hints: DataFrame, words: DataFrame, *more: str) -> DataFrame:
-    """Adds the normal texts of each span and of its segment; the words of a conversation travel once, as one array."""
+    """Adds the normal texts of each span and of its segment, dealt out evenly: a row of few bytes is much work to score."""
+    tasks = int(hints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"]).alias("said"))
     text = hints.select("conversation_id", "segment_index", normal(F.col("text")).alias("wanted"))
     j = candidates.join(text, ["conversation_id", "segment_index"]).join(said, "conversation_id").filter(F.col("start") + F.col("size") <= F.size("said"))
     span = normal(F.array_join(F.slice("said", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), " "))
-    return j.select("conversation_id", "segment_index", "n", "start", "size", *more, "wanted", span.alias("span"))
+    return j.select("conversation_id", "segment_index", "n", "start", "size", *more, "wanted", span.alias("span")).repartition(tasks, "conversation_id", "segment_index", "start", "size")
 
 
 def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFrame:
