@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from colloquy.functions import numbers, text
-from colloquy.operators import alignment, segments, usage
+from colloquy.operators import alignment, mentions, segments, usage
 
 
 def one(spark, **cols):
@@ -105,3 +105,23 @@ def test_alignment_recovers_times(spark):
     j = got.alias("g").join(fixtures.segments(spark, sf).alias("s"), ["conversation_id", "segment_index"])
     near, n = j.agg(F.count_if(F.abs(F.col("g.start_ms") - F.col("s.start_ms")) <= 2000), F.count("*")).first()
     assert n > 0 and near / n > 0.5
+
+
+def test_terms_meet_texts_by_keys(spark):
+    """The equal-key join finds what every term's pattern finds in every text, letters of odd case included."""
+    said = ["The kit, a KIT and a \u212ait", "C++ or c++; Su\u017f su\u017f SUS", "x\u0130 caf\u00e9 CAF\u00c9 na\u00efve", "\u65e5\u672c\u8a9e a\u65e5\u672c b", "", "-- a -- b_c d.e"]
+    names = ["kit", "C++", "sus", "x", "caf\u00e9", "caf", "\u65e5\u672c", "--", "d.e", "b_c", "the kit", "\u00e9"]
+    rows = spark.createDataFrame([("c", i, t) for i, t in enumerate(said)], "conversation_id string, segment_index int, text string")
+    terms = spark.createDataFrame([(i, f"t{i}", n, ["", "zz"]) for i, n in enumerate(names)], "ordinal int, term_id string, display string, aliases array<string>")
+    got = {(r["segment_index"], r["term_id"], r["start_char"], r["end_char"]) for r in mentions.term_occurrences(rows, terms).collect()}
+    every = rows.crossJoin(terms.select("term_id", text.whole_word(F.array("display")).alias("p")))
+    want = {tuple(r) for r in every.select("segment_index", "term_id", F.inline(text.matches(F.col("text"), F.col("p")))).collect()}
+    assert got == want and len(want) > 8
+
+
+def test_splits_in_order(spark):
+    """Two splits of one segment, the second in what stands before the first; three speakers leave nothing to infer."""
+    rows = spark.createDataFrame([("a", 0, "p", 0, 100, "one two three"), ("a", 1, "q", 100, 200, "four"), ("b", 0, "p", 0, 10, "x y"), ("b", 1, "q", 10, 20, "z"), ("b", 2, "r", 20, 30, "w")], "conversation_id string, segment_index int, speaker_id string, start_ms long, end_ms long, text string")
+    cuts = spark.createDataFrame([("a", 0, 0, 7, None, None), ("a", 0, 1, 3, None, "r"), ("a", 1, 0, 9, None, None), ("b", 0, 0, 1, None, None)], "conversation_id string, segment_index int, ordinal int, split_at_char int, speaker_before string, speaker_after string")
+    got = [(r["conversation_id"], r["segment_index"], r["speaker_id"], r["text"]) for r in segments.apply_splits(rows, cuts).orderBy("conversation_id", "segment_index").collect()]
+    assert got == [("a", 0, "p", "one"), ("a", 1, "r", "two"), ("a", 2, "q", "three"), ("a", 3, "q", "four"), ("b", 0, "p", "x y"), ("b", 1, "q", "z"), ("b", 2, "r", "w")]
