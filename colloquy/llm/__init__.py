@@ -1 +1 @@
-"""Training-data operators: ten independent jobs over documents, pages and embeddings."""
+"""Training-data operators: thirteen independent jobs over documents, pages and embeddings."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, nearest, packing, pages, pii, quality, sharding, substrings, wordpieces
+from . import filters, licenses, mixing, neardup, nearest, packing, pages, pii, quality, sharding, substrings, vectorcodes, wordpieces
 from .common import table
 
 
@@ -55,7 +55,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op5_near_duplicates, op6_repeated_passages, op7_token_counts, op8_sharding, op9_nearest, op10_packing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_page_text, op3_quality_rules, op4_mixing, op5_near_duplicates, op6_repeated_passages, op7_token_counts, op8_sharding, op9_nearest, op10_packing, op11_filter_audit, op12_vector_codes, op13_license_scan)}
 #: Windows of 20 words, each word covered by one that starts earlier elsewhere.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -86,4 +98,30 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op6_repeated_passages": OP6_SQL}
+#: Masks by text, copies by the least id of a text, every order spelled out.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > least, least IS NOT NULL)} AS f
+      FROM w LEFT JOIN l USING (doc_id)),
+k AS (SELECT part, good, toxic, f, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c)
+      JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT filter_order, step, filter_order[step] AS c FROM o, range(1, 6) r(step)),
+u AS (SELECT k.*, [v.c for v in [{'c': 'A', 'f': f.A}, {'c': 'B', 'f': f.B}, {'c': 'C', 'f': f.C}, {'c': 'D', 'f': f.D}, {'c': 'E', 'f': f.E}] if v.f] AS failed FROM k),
+y AS (SELECT part, filter_order, step, s.c, n, good, toxic, failed, list_contains(failed, s.c) AS here,
+             len([q for q in failed if strpos(filter_order, q) < step]) > 0 AS early FROM u, s),
+r AS (SELECT part, filter_order, step::INT AS step, c,
+             sum(CASE WHEN NOT here AND NOT early THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN here AND NOT early THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN here AND early THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here AND len(failed) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN here AND NOT early AND good = 1 THEN n ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN here AND NOT early AND toxic = 1 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+      FROM y GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM r
+"""
+
+ORACLES: dict[str, str] = {"op5_near_duplicates": OP5_SQL, "op6_repeated_passages": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_vector_codes": vectorcodes.sql()}
