@@ -1,21 +1,27 @@
 """Aligning transcript segments to word timings.
 
-Candidate spans are all those of a band of positions around a segment's expected place; those that may be
-its best are scored natively, the best are chosen, and what lies between is interpolated and repaired.
+Candidate spans are all those of a band of positions around a segment's expected place. Good spans of short
+segments are chained to anchors, the others are looked for between those, and what is still open is interpolated and repaired.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import round_half_up
-from ..functions.text import char_ngrams, normal, tokens, with_span_score
+from ..functions.text import normal, with_span_score
 from ..sources.shared import fresh_path
+from . import folds, spans
 
-#: Thresholds for our own score, set on fixtures: an anchor, and a match at all.
+#: Thresholds of the score, fixed values: an anchor, a match at all, and one that is taken at once.
 ANCHOR, MATCH, SURE = 0.75, 0.40, 0.95
+#: Fixed values of the anchor search: words of an anchor, segments looked for everywhere, time to either side of the others.
+ANCHOR_WORDS, GLOBAL, WINDOW_MS = (2, 20), 5, 30_000
 
 
 def _conv():
@@ -36,110 +42,140 @@ def word_duration_stats(words: DataFrame) -> DataFrame:
     return w.groupBy("conversation_id").agg(round_half_up(F.avg("ms"), 3).alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), *bins)
 
 
-def span_candidates(hints: DataFrame, words: DataFrame, most: int = 20) -> DataFrame:
-    """(conversation, segment, start word, size) of spans of short segments that begin as they do.
+def in_band(hints: DataFrame) -> DataFrame:
+    """Adds the band of a segment's starts: from 5 words before to 3n + 50 after its expected first word."""
+    return hints.withColumns({"first": F.greatest(F.col("expected") - 5, F.lit(0)), "last": F.col("expected") + 3 * F.col("n_words") + 50, "stop": F.lit(None).cast("long")})
 
-    A span starts where one of the segment's first three tokens is said, less the token's place, inside
-    the band of 5 words before and 3n + 50 after the segment's expected first word.
-    """
-    h = hints.filter(F.col("n_words").between(2, most)).select("conversation_id", "segment_index", "expected", F.col("n_words").alias("n"), F.posexplode(F.slice(tokens(normal(F.col("text"))), 1, 3)).alias("place", "token"))
-    w = words.select("conversation_id", F.col("word_index").alias("at"), normal(F.col("word")).alias("token")).filter("token <> ''")
-    j = h.join(w, ["conversation_id", "token"]).withColumn("start", F.col("at") - F.col("place")).filter("start >= greatest(expected - 5, 0) AND start <= expected + 3 * n + 50")
-    sizes = F.array_distinct(F.array("n", F.col("n") - 1, F.col("n") + 1, F.col("n") - 2, F.col("n") + 2, F.floor(F.col("n") * 0.7).cast("long")))
-    return j.select("conversation_id", "segment_index", "n", "start", F.explode(sizes).alias("size")).filter("size > 0").distinct()
-
-
-def _banded(hints: DataFrame, words: DataFrame) -> DataFrame:
-    """Every span in the band of 5 words before and 3n + 50 after the expected first word, of each size, with the tokens of each of its words."""
-    spark = hints.sparkSession
-    said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: normal(x["word"])).alias("said"))
-    n, first = F.col("n"), F.greatest(F.col("expected") - 5, F.lit(0))
-    h = hints.filter("n_words > 0").select("conversation_id", "segment_index", "expected", F.col("n_words").cast("long").alias("n"), normal(F.col("text")).alias("wanted")).join(said, "conversation_id")
-    h = h.withColumn("first", first).withColumn("last", F.least(F.col("expected") + 3 * n + 50, F.size("said") - 1).cast("long")).filter("first <= last")
-    h = h.withColumns({"total": F.size("said"), "band": F.slice("said", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + n + 3).cast("int")), "of_wanted": F.array_distinct(tokens(F.col("wanted")))}).drop("said", "wanted")
-    h = h.withColumn("band", F.transform("band", lambda w: tokens(w)))
-    # a segment has many spans: they are made where there is room for them
-    h = h.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conversation_id", "segment_index")
-    sizes = F.array_distinct(F.array(n, n - 1, n + 1, n - 2, n + 2, F.floor(n * 0.7).cast("long")))
-    rows = h.withColumn("start", F.explode(F.sequence("first", "last"))).withColumn("size", F.explode(sizes)).filter("size > 0 AND start + size <= total")
-    return rows.withColumn("span", F.slice("band", (F.col("start") - F.col("first") + 1).cast("int"), F.col("size").cast("int"))).drop("band")
-
-
-def every_span(hints: DataFrame, words: DataFrame) -> DataFrame:
-    """(conversation, segment, n, start word, size) of every span that may be a segment's, whatever its length."""
-    return _banded(hints, words).select("conversation_id", "segment_index", "n", "start", "size")
 
+def span_candidates(hints: DataFrame, words: DataFrame) -> DataFrame:
+    """(conversation, segment, n, start word, size) of every span that may be a segment's, whatever its length."""
+    total = words.groupBy("conversation_id").agg(F.count("*").alias("total"))
+    h = in_band(hints).filter("n_words > 0").join(total, "conversation_id").withColumn("last", F.least("last", F.col("total") - 1)).filter("first <= last")
+    n = F.col("n_words").cast("long").alias("n")
+    rows = h.select("conversation_id", "segment_index", n, "total", F.explode(F.sequence(F.col("first").cast("long"), F.col("last").cast("long"))).alias("start"))
+    rows = rows.select("*", F.explode(spans.size_column(F.col("n"))).alias("size")).filter("size > 0 AND start + size <= total")
+    return rows.select("conversation_id", "segment_index", "n", "start", "size")
 
-def likely_spans(hints: DataFrame, words: DataFrame, short: int = 20) -> DataFrame:
-    """:func:`every_span` less those of segments of over ``short`` words that cannot be their best.
 
-    The span that shares most words with a segment gives the score that its best has at least. Others stay
-    unless the most that their score can be, from shared words, n-grams and lengths, is less (or under SURE,
-    where that is less); so :func:`best_match` chooses as among all.
-    """
-    spark = hints.sparkSession
-    key = ["conversation_id", "segment_index"]
-    b = F.array_distinct(F.flatten("span"))
-    rows = _banded(hints, words).withColumn("_b", b)
-    dice = F.coalesce(2.0 * F.size(F.array_intersect("of_wanted", "_b")) / F.nullif(F.size("of_wanted") + F.size("_b"), F.lit(0)), F.lit(0.0))
-    path = fresh_path(spark, "bands")
-    rows.select(*key, "n", "start", "size", dice.alias("dice")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    first = rows.filter(F.col("n") > short).groupBy(*key, "n").agg(F.max_by(F.struct("start", "size"), "dice").alias("s")).select(*key, "n", "s.start", "s.size")
-    path = fresh_path(spark, "floors")
-    scored(first, hints, words).select(*key, F.least("score", F.lit(SURE)).alias("floor")).write.parquet(path)
-    rows = rows.join(spark.read.parquet(path), key, "left")
-    slack = 1e-5  # scores are rounded to six places
-    rows = rows.filter(F.col("floor").isNull() | (0.3 * F.col("dice") + 0.7 + slack >= F.col("floor")))
-    kept = _spanned(rows.filter("floor IS NOT NULL").select(*key, "n", "start", "size", "dice", "floor"), hints, words, "dice", "floor")
-    kept = kept.withColumns({"_ga": char_ngrams(F.col("wanted")), "_gb": char_ngrams(F.col("span"))})
-    path = fresh_path(spark, "grams")  # stored, so that a filter on them does not make them anew
-    kept.select(*key, "n", "start", "size", "dice", "floor", F.size("_ga").alias("x"), F.size("_gb").alias("y"), F.size(F.array_intersect("_ga", "_gb")).alias("both"), F.length("wanted").alias("p"), F.length("span").alias("q")).write.parquet(path)
-    x, y, both, p, q = (F.col(c) for c in ("x", "y", "both", "p", "q"))
-    most = 0.3 * F.col("dice") + 0.2 * both / F.greatest(F.least(x, y), F.lit(1)) + 0.1 * both / F.greatest(x + y - both, F.lit(1)) + 0.4 * (1 - F.abs(p - q) / F.greatest(p, q, F.lit(1)))
-    kept = spark.read.parquet(path).filter(most + slack >= F.col("floor")).select(*key, "n", "start", "size")
-    return rows.filter("floor IS NULL").select(*key, "n", "start", "size").unionByName(kept)
-
-
-def _spanned(candidates: DataFrame, hints: DataFrame, words: DataFrame, *more: str) -> DataFrame:
-    """Adds the normal texts of each span and of its segment, dealt out evenly: a row of few bytes is much work to score."""
-    tasks = int(hints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds the score of each given span, natively; :func:`spans.search` finds the best without scoring all."""
     said = words.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"]).alias("said"))
     text = hints.select("conversation_id", "segment_index", normal(F.col("text")).alias("wanted"))
     j = candidates.join(text, ["conversation_id", "segment_index"]).join(said, "conversation_id").filter(F.col("start") + F.col("size") <= F.size("said"))
     span = normal(F.array_join(F.slice("said", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), " "))
-    return j.select("conversation_id", "segment_index", "n", "start", "size", *more, "wanted", span.alias("span")).repartition(tasks, "conversation_id", "segment_index", "start", "size")
-
-
-def scored(candidates: DataFrame, hints: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds the score of each span."""
-    j = with_span_score(_spanned(candidates, hints, words), "wanted", "span", "score")
-    return j.select("conversation_id", "segment_index", "n", "start", "size", round_half_up(F.col("score"), 6).alias("score"))
+    tasks = int(hints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = j.select("conversation_id", "segment_index", "n", "start", "size", "wanted", span.alias("span")).repartition(tasks, "conversation_id", "segment_index", "start", "size")
+    return with_span_score(j, "wanted", "span", "score").select("conversation_id", "segment_index", "n", "start", "size", round_half_up(F.col("score"), 6).alias("score"))
 
 
-def best_match(spans: DataFrame, least: float = MATCH) -> DataFrame:
+def best_match(found: DataFrame, least: float = MATCH) -> DataFrame:
     """The highest score of each segment; of near-perfect ones the first in (size, start)."""
     sure = F.col("score") >= SURE
-    order = [F.desc(sure), F.when(sure, 0.0).otherwise(-F.col("score")), F.col("size"), F.col("start")]
-    n = F.row_number().over(W.partitionBy("conversation_id", "segment_index").orderBy(*order))
-    return spans.withColumn("_n", n).filter((F.col("_n") == 1) & (F.col("score") >= least)).drop("_n")
+    order = F.struct(~sure, F.when(sure, 0.0).otherwise(-F.col("score")), "size", "start")
+    top = found.filter(F.col("score") >= least).groupBy("conversation_id", "segment_index").agg(F.min_by(F.struct("n", "start", "size", "score"), order).alias("b"))
+    return top.select("conversation_id", "segment_index", "b.*")
+
+
+def matches_in(banded: DataFrame, said: DataFrame) -> DataFrame:
+    """The best span of each segment in its band (``first``, ``last``, ``stop``), if it is a match at all; ``said`` are blocks of words."""
+    return best_match(spans.search(banded, said, MATCH, SURE))
+
+
+def word_at(times: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds ``word``, the one before the first that starts at ``at_s`` or later (the first word at least, the last at most), to rows with a conversation.
+
+    Words and times of a conversation are sorted together; a running count gives each time its word.
+    """
+    w = words.select("conversation_id", F.col("start_s").alias("at_s"), F.lit(1).alias("_w"), F.lit(None).alias("_row"))
+    t = times.select("conversation_id", "at_s", F.lit(0).alias("_w"), F.struct(*times.columns).alias("_row"))
+    both = t.unionByName(w.withColumn("_row", F.lit(None).cast(t.schema["_row"].dataType)))
+    by = W.partitionBy("conversation_id").orderBy("at_s", "_w")
+    whole = W.partitionBy("conversation_id")
+    before, total = F.sum("_w").over(by.rowsBetween(W.unboundedPreceding, -1)), F.sum("_w").over(whole)
+    counted = both.select("_row", F.coalesce(before, F.lit(0)).alias("_n"), total.alias("_total")).filter("_row IS NOT NULL")
+    place = F.when(F.col("_n") < F.col("_total"), F.greatest(F.col("_n") - 1, F.lit(0))).otherwise(F.greatest(F.col("_total") - 1, F.lit(0)))
+    return counted.select("_row.*", place.cast("long").alias("word"), F.col("_total").cast("long").alias("total"))
+
+
+def anchor_ranges(hints: DataFrame, words: DataFrame, everywhere: bool = False) -> DataFrame:
+    """Where anchors are looked for: all words for the first segments, else 30 s to either side of the hint's times.
 
+    A range of fewer than n + 10 words is widened to n + 20. Only segments of 2 to 20 words are anchors.
+    """
+    h = hints.filter(F.col("n_words").between(*ANCHOR_WORDS)).select("conversation_id", "segment_index", "text", F.col("n_words").cast("long").alias("n_words"), "start_ms", "end_ms")
+    ends = F.array(F.struct(F.lit(0).alias("side"), (F.greatest(F.col("start_ms") - WINDOW_MS, F.lit(0)) / 1000.0).alias("at_s")), F.struct(F.lit(1).alias("side"), ((F.col("end_ms") + WINDOW_MS) / 1000.0).alias("at_s")))
+    times = word_at(h.select("conversation_id", "segment_index", F.inline(ends)), words)
+    found = times.groupBy("conversation_id", "segment_index").agg(F.max(F.when(F.col("side") == 0, F.col("word"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("word"))).alias("b"), F.max("total").alias("total"))
+    j = h.join(found, ["conversation_id", "segment_index"])
+    whole = F.lit(everywhere) | (F.col("segment_index") < GLOBAL)
+    first = F.when(whole, F.lit(0)).otherwise(F.col("a")).cast("long")
+    stop = F.when(whole, F.col("total")).when(F.col("b") - F.col("a") < F.col("n_words") + 10, F.least("total", F.col("a") + F.col("n_words") + 20)).otherwise(F.col("b")).cast("long")
+    return j.withColumns({"first": first, "stop": stop}).withColumn("last", F.col("stop") - 1).select("conversation_id", "segment_index", "text", "n_words", "first", "last", "stop")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def blocks(words: DataFrame) -> DataFrame:
+    """Blocks of words, stored: searches read them again."""
+    return _kept(spans.blocks(words), "blocks")
 
-def anchor_selection(spans: DataFrame, keep: int = 5) -> DataFrame:
-    """Anchors in order: of each segment's best spans the first that starts after the last anchor's end.
 
-    Scores do not depend on other anchors; only the choice is a fold, over few spans a segment.
+def anchor_spans(hints: DataFrame, words: DataFrame, said: DataFrame) -> DataFrame:
+    """Every span good enough for an anchor; of conversations without one in the ranges, from all of their words."""
+    near = _kept(spans.search(anchor_ranges(hints, words), said, ANCHOR), "anchors")
+    none = hints.join(near.select("conversation_id").distinct(), "conversation_id", "left_anti")
+    return near.unionByName(spans.search(anchor_ranges(none, words, everywhere=True), said, ANCHOR))
+
+
+def heaviest(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Of (conversation, segment, start, size, score) in order the chain of greatest score in total: one span a segment, each after the last one's end.
+
+    A frontier holds, for chains so far, the ends at which a greater total is reached, so that the best chain that
+    ends before a span is found by bisection. Equal totals: the chain that ends first, then the earlier span.
     """
-    n = F.row_number().over(W.partitionBy("conversation_id", "segment_index").orderBy(F.desc("score"), "size", "start"))
-    top = spans.filter((F.col("score") >= ANCHOR) & F.col("n").between(2, 20)).withColumn("_n", n).filter(F.col("_n") <= keep)
-    per = top.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "_n", "start", "size", "score"))).alias("spans"))
-    none = F.expr("cast(array() as array<struct<segment_index:bigint,start:bigint,size:bigint,score:double>>)")
-    folded = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).cast("long").alias("last"), none.alias("out")),
-        lambda st, x: F.when((x["segment_index"] == st["last"]) | (x["start"] < st["end"]), st).otherwise(F.struct((x["start"] + x["size"]).alias("end"), x["segment_index"].alias("last"), F.concat(st["out"], F.array(F.struct(x["segment_index"].alias("segment_index"), x["start"].alias("start"), x["size"].alias("size"), x["score"].alias("score")))).alias("out"))),
-    )
-    return per.select("conversation_id", F.inline(folded["out"]))
+    taken, total, parent = [], [], []
+    ends, best, at = [], [], []
+    waiting: list[int] = []
+
+    def settle() -> None:
+        # spans of one segment do not follow each other, so they join the frontier together
+        for k in waiting:
+            end, w = taken[k][2] + taken[k][3], total[k]
+            i = bisect_right(ends, end)
+            if i and best[i - 1] >= w:
+                continue
+            i = bisect_left(ends, end)
+            j = i
+            while j < len(ends) and best[j] <= w:
+                j += 1
+            ends[i:j], best[i:j], at[i:j] = [end], [w], [k]
+        waiting.clear()
+
+    for row in rows:
+        if taken and row[1] != taken[-1][1]:
+            settle()
+        i = bisect_right(ends, row[2]) - 1
+        taken.append(row)
+        # totals are exact: scores have six places
+        total.append(round(row[4] * 1e6) + (best[i] if i >= 0 else 0))
+        parent.append(at[i] if i >= 0 else -1)
+        waiting.append(len(taken) - 1)
+    settle()
+    k, chain = at[-1] if at else -1, []
+    while k >= 0:
+        chain.append(taken[k])
+        k = parent[k]
+    yield from reversed(chain)
+
+
+def anchor_selection(found: DataFrame) -> DataFrame:
+    """The heaviest chain of spans of each conversation, in place of the first good one of each segment in turn."""
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in ("conversation_id", "segment_index"))
+    return folds.in_order(found.select("conversation_id", "segment_index", "start", "size", "score"), "conversation_id", ["segment_index", "start", "size"], heaviest, f"{kinds}, {spans.FOUND}")
 
 
 def alignment_regions(segments: DataFrame) -> DataFrame:
@@ -168,29 +204,23 @@ def proportional_interpolation(rows: DataFrame) -> DataFrame:
     return r.select("conversation_id", "segment_index", "region_id", F.least(at(share(False)), end - 50).alias("start_ms"), end.alias("end_ms"))
 
 
-def monotonic_repair(rows: DataFrame) -> DataFrame:
-    """Left to right: what starts over 2 s before the last end is moved there; an impossible pace gets 150 ms a word."""
-    per = rows.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "start_ms", "end_ms", "n_words", "confidence", "method"))).alias("s"))
-    out = "array<struct<segment_index:bigint,start_ms:bigint,end_ms:bigint,confidence:double,method:string>>"
+def _repaired(rows: Iterable[tuple]) -> Iterator[tuple]:
+    end, first = 0, True
+    for conversation, segment, a, b, n, confidence, method in rows:
+        if a < end - 2000:
+            a, b, confidence, method = end, end + b - a, confidence * 0.9, f"{method}_fixed"
+        if not 20 <= (b - a) / float(max(n, 1)) <= 800:
+            a = a if first else end + 50
+            b, confidence, method = a + 150 * n, 0.3, "duration_fallback"
+        yield conversation, segment, a, b, confidence, method
+        end, first = b, False
 
-    def step(st: Column, x: Column) -> Column:
-        back = x["start_ms"] < st["end"] - 2000
-        a = F.when(back, st["end"]).otherwise(x["start_ms"])
-        moved = F.struct(a.alias("a"), (a + x["end_ms"] - x["start_ms"]).alias("b"), F.when(back, x["confidence"] * 0.9).otherwise(x["confidence"]).alias("c"), F.when(back, F.concat(x["method"], F.lit("_fixed"))).otherwise(x["method"]).alias("m"))
 
-        def paced(y: Column) -> Column:
-            pace = (y["b"] - y["a"]) / F.greatest(x["n_words"], F.lit(1)).cast("double")
-            bad = (pace < 20) | (pace > 800)
-            a2 = F.when(bad & (F.size(st["out"]) > 0), st["end"] + 50).otherwise(y["a"])
-            b2 = F.when(bad, a2 + 150 * x["n_words"]).otherwise(y["b"])
-            return F.struct(x["segment_index"].alias("segment_index"), a2.cast("long").alias("start_ms"), b2.cast("long").alias("end_ms"), F.when(bad, F.lit(0.3)).otherwise(y["c"]).alias("confidence"), F.when(bad, F.lit("duration_fallback")).otherwise(y["m"]).alias("method"))
-
-        # a list of one lets the moved row be named and used again
-        new = F.transform(F.array(moved), paced)[0]
-        return F.transform(F.array(new), lambda r: F.struct(r["end_ms"].alias("end"), F.concat(st["out"], F.array(r)).alias("out")))[0]
-
-    folded = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("end"), F.expr(f"cast(array() as {out})").alias("out")), step)
-    return per.select("conversation_id", F.inline(folded["out"]))
+def monotonic_repair(rows: DataFrame) -> DataFrame:
+    """Left to right: what starts over 2 s before the last end is moved there; an impossible pace gets 150 ms a word."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("conversation_id", "segment_index"))
+    ordered = rows.select("conversation_id", "segment_index", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.col("n_words").cast("long"), F.col("confidence").cast("double"), "method")
+    return folds.in_order(ordered, "conversation_id", ["segment_index"], _repaired, f"{kinds}, start_ms long, end_ms long, confidence double, method string")
 
 
 def _once(method: Column, tail: str) -> Column:
@@ -241,24 +271,34 @@ def anchor_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def region_bands(hints: DataFrame, anchors: DataFrame, total: DataFrame) -> DataFrame:
+    """Where segments between anchors are looked for: 3n + 50 words to either side of the place that their share of the region's words gives, within the region."""
+    a = anchors.select("conversation_id", "segment_index", F.col("start").alias("word_start"), (F.col("start") + F.col("size")).alias("word_end"))
+    h = hints.join(a, ["conversation_id", "segment_index"], "left").join(total, "conversation_id").withColumn("is_anchor", F.col("word_start").isNotNull())
+    text = hints.select("conversation_id", "segment_index", "text", F.col("n_words").cast("long").alias("n_words"))
+    r = alignment_regions(h).join(text, ["conversation_id", "segment_index"])
+    whole = W.partitionBy("conversation_id", "region_id")
+    by = whole.orderBy("segment_index").rowsBetween(W.unboundedPreceding, -1)
+    share = F.coalesce(F.sum("n_words").over(by), F.lit(0)) / F.greatest(F.sum("n_words").over(whole), F.lit(1)).cast("double")
+    place = F.col("from_word") + F.floor(share * (F.col("to_word") - F.col("from_word"))).cast("long")
+    margin = 3 * F.col("n_words") + 50
+    r = r.withColumn("_at", place)
+    return r.withColumns({"first": F.greatest("from_word", F.col("_at") - margin), "last": F.least(F.col("to_word") - 1, F.col("_at") + margin), "stop": F.col("to_word")}).drop("_at")
+
+
 def aligned_transcripts(hints: DataFrame, words: DataFrame) -> DataFrame:
-    """The whole chain: anchors and matches, interpolation between them, repairs.
+    """The whole chain: anchors, a search between them, interpolation of the rest, repairs.
 
-    In: hints (conversation_id, segment_index, text, start_ms, end_ms, n_words, expected), words. What is
-    still unmatched lies between its neighbours' words in proportion to its own.
+    In: hints (conversation_id, segment_index, text, start_ms, end_ms, n_words), words. Matches between
+    anchors that are out of order give way to the heaviest chain. What is still unmatched lies between its
+    neighbours' words in proportion to its own.
     """
-    good = valid_words(words)
-    # anchors and matches both choose among the scored spans, which are stored once
-    path = fresh_path(hints.sparkSession, "spans")
-    candidates = fresh_path(hints.sparkSession, "likely")
-    likely_spans(hints, words).write.parquet(candidates)
-    scored(hints.sparkSession.read.parquet(candidates), hints, words).write.parquet(path)
-    spans = hints.sparkSession.read.parquet(path)
-    anchors = anchor_selection(spans).withColumn("rank", F.lit(0))
-    best = best_match(spans).select("conversation_id", "segment_index", "start", "size", "score").withColumn("rank", F.lit(1))
-    one = anchors.unionByName(best).groupBy("conversation_id", "segment_index").agg(F.min_by(F.struct("start", "size", "score"), "rank").alias("m"))
-    times = lambda p: good.select(F.col("conversation_id").alias(f"{p}_c"), F.col("word_index").alias(f"{p}_w"), F.col("start_s").alias(f"{p}_s"), F.col("end_s").alias(f"{p}_e"))
+    good, said = valid_words(words), blocks(words)
     total = words.groupBy("conversation_id").agg(F.count("*").alias("n_total"), F.max("end_s").alias("audio_s"))
+    anchors = _kept(anchor_selection(anchor_spans(hints, words, said)), "chain")
+    between = matches_in(region_bands(hints, anchors, total), said).drop("n")
+    one = _kept(anchor_selection(anchors.unionByName(between)), "matches").select("conversation_id", "segment_index", F.struct("start", "size", "score").alias("m"))
+    times = lambda p: good.select(F.col("conversation_id").alias(f"{p}_c"), F.col("word_index").alias(f"{p}_w"), F.col("start_s").alias(f"{p}_s"), F.col("end_s").alias(f"{p}_e"))
     h = hints.join(one, ["conversation_id", "segment_index"], "left").join(total, "conversation_id")
     h = h.withColumns({"is_anchor": F.col("m").isNotNull(), "word_start": F.col("m.start"), "word_end": F.col("m.start") + F.col("m.size")})
     regions = alignment_regions(h)

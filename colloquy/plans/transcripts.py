@@ -499,55 +499,76 @@ def hints(spark, sf):
 
 
 _HINT = "hn AS (SELECT conversation_id, segment_index, list_aggregate(list_filter(w, lambda x, i: (i - 1) % 7 <> 6), 'string_agg', ' ') AS text, len(list_filter(w, lambda x, i: (i - 1) % 7 <> 6)) AS n, floor(start_ms / 150 * 0.93::DOUBLE)::BIGINT AS expected FROM segment)"
-_SPAN = f""", {_HINT}, tk AS (SELECT conversation_id, segment_index, expected, n, list_filter(string_split({_NORM("text")}, ' '), lambda x: x <> '') AS t FROM hn WHERE n BETWEEN 2 AND 20),
-tq AS (SELECT * EXCLUDE (t), unnest(t[1:3]) AS token, unnest(range(0, len(t[1:3]))) AS place FROM tk), wn AS (SELECT conversation_id, word_index, {_NORM("word")} AS token FROM word),
-st AS (SELECT DISTINCT q.conversation_id, q.segment_index, q.n, w.word_index - q.place AS start FROM tq q JOIN wn w ON w.conversation_id = q.conversation_id AND w.token = q.token AND w.token <> '' WHERE w.word_index - q.place BETWEEN greatest(expected - 5, 0) AND expected + 3 * n + 50),
-cand AS (SELECT * FROM (SELECT *, unnest(list_distinct([n, n - 1, n + 1, n - 2, n + 2, floor(n * 0.7::DOUBLE)::BIGINT])) AS size FROM st) WHERE size > 0)"""
-_BEST = (
-    _SPAN
-    + f""", sd AS (SELECT conversation_id, list(word ORDER BY word_index) AS said FROM word GROUP BY 1),
-pr AS (SELECT c.*, {_NORM("h.text")} AS a, {_NORM("coalesce(list_aggregate(said[start + 1:start + size], 'string_agg', ' '), '')")} AS b FROM cand c JOIN hn h USING ({_SEG}) JOIN sd USING (conversation_id) WHERE start + size <= len(said)),
-gx AS (SELECT *, {_GRAMS("a")} AS ga, {_GRAMS("b")} AS gb, list_filter(string_split(a, ' '), lambda w: w <> '') AS ta, list_filter(string_split(b, ' '), lambda w: w <> '') AS tb FROM pr),
-sc AS (SELECT {_SEG}, n, start, size, {_R(_SCORE(), 6)} AS score FROM gx),
-bm AS (SELECT *, row_number() OVER (PARTITION BY {_SEG} ORDER BY score >= 0.95 DESC, CASE WHEN score >= 0.95 THEN 0 ELSE -score END, size, start) AS rn FROM sc)"""
-)
-
-
-@query("span_candidates", with_views("segment word", _SPAN + f" SELECT {_SEG}, n, start, size FROM cand"))
-def span_candidates(spark, sf):
-    return al.span_candidates(hints(spark, sf), fx.words(spark, sf))
-
-
-def _scored(spark, sf):
-    h, w = hints(spark, sf), fx.words(spark, sf)
-    return al.scored(al.span_candidates(h, w), h, w)
-
-
-@query("best_match", with_views("segment word", _BEST + f" SELECT {_SEG}, n, start, size, score FROM bm WHERE rn = 1 AND score >= 0.40"))
-def best_match(spark, sf):
-    return al.best_match(_scored(spark, sf))
-
-
 _EVERY = f""", {_HINT}, cand AS (SELECT * FROM (SELECT *, unnest(list_distinct([n, n - 1, n + 1, n - 2, n + 2, floor(n * 0.7::DOUBLE)::BIGINT])) AS size FROM (SELECT conversation_id, segment_index, n, unnest(range(greatest(expected - 5, 0), expected + 3 * n + 51)) AS start FROM hn WHERE n > 0))
 JOIN (SELECT conversation_id, count(*) AS total FROM word GROUP BY 1) USING (conversation_id) WHERE size > 0 AND start + size <= total)"""
 
 
+def _scores(cand: str, p: str, least: str) -> str:
+    """Scores of the spans of ``cand`` that can reach ``least``, a number or an expression of ``floor``, the score of the span that shares most words.
+
+    Spans whose shared words leave less than that are dropped first, then those whose shared 3-grams and lengths do.
+    """
+    dice = "2.0::DOUBLE * wb / (da + db)"
+    known = f"0.30::DOUBLE * ({dice}) + 0.20::DOUBLE * (gb2 / least(xa, xb)::DOUBLE) + 0.10::DOUBLE * (gb2 / (xa + xb - gb2)::DOUBLE)"
+    score = _R(f"""0.30::DOUBLE * ({dice}) + 0.25::DOUBLE * ({_EDIT("sa", "sb")}) + 0.20::DOUBLE * (gb2 / least(xa, xb)::DOUBLE) + 0.15::DOUBLE * ({_EDIT("a", "b")}) + 0.10::DOUBLE * (gb2 / (xa + xb - gb2)::DOUBLE)""", 6)
+    words = "list_filter(said[start + 1:start + size], lambda w: w <> '')"
+
+    def measured(rows: str) -> str:
+        return f"""(SELECT * EXCLUDE (ga, gb, ta, tb), list_aggregate(list_sort(ta), 'string_agg', ' ') AS sa, list_aggregate(list_sort(tb), 'string_agg', ' ') AS sb, len(ga) AS xa, len(gb) AS xb, len(list_intersect(ga, gb)) AS gb2
+FROM (SELECT *, {_GRAMS("b")} AS gb FROM (SELECT r.*, a, ga, ta, {words} AS tb, list_aggregate({words}, 'string_agg', ' ') AS b FROM ({rows}) r JOIN {p}hx USING ({_SEG}) JOIN {p}sd USING (conversation_id))))"""
+
+    return f"""{p}hx AS MATERIALIZED (SELECT {_SEG}, a, {_GRAMS("a")} AS ga, ta, list_distinct(ta) AS dta FROM (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS ta FROM (SELECT {_SEG}, {_NORM("text")} AS a FROM hn)) WHERE a <> ''),
+{p}sd AS MATERIALIZED (SELECT conversation_id, list({_NORM("word")} ORDER BY word_index) AS said FROM word GROUP BY 1),
+{p}di AS MATERIALIZED (SELECT * EXCLUDE (dta, dtb), len(dta) AS da, len(dtb) AS db, len(list_intersect(dta, dtb)) AS wb
+FROM (SELECT c.*, dta, list_distinct({words}) AS dtb FROM {cand} c JOIN {p}hx USING ({_SEG}) JOIN {p}sd USING (conversation_id) WHERE start + size <= len(said)) WHERE len(dtb) > 0),
+{p}fl AS MATERIALIZED (SELECT {_SEG}, {score} AS floor FROM {measured(f"SELECT * FROM {p}di QUALIFY row_number() OVER (PARTITION BY {_SEG} ORDER BY {dice} DESC, size, start) = 1")}),
+{p}ms AS MATERIALIZED {measured(f"SELECT d.*, floor FROM {p}di d JOIN {p}fl USING ({_SEG}) WHERE 0.30::DOUBLE * ({dice}) + 0.70001::DOUBLE >= {least}")},
+{p}bd AS (SELECT *, {known} + 0.25::DOUBLE * (1 - abs(len(a) - len(b)) / greatest(len(a), len(b))::DOUBLE) + 0.15::DOUBLE * (1 - greatest(abs(len(a) - len(b)), ceil((greatest(xa, xb) - gb2) / 3.0::DOUBLE)) / greatest(len(a), len(b))::DOUBLE) AS bound FROM {p}ms),
+{p}sc AS MATERIALIZED (SELECT {_SEG}, n, start, size, {score} AS score FROM {p}bd WHERE bound + 0.00001::DOUBLE >= {least})"""
+
+
+#: The best of every segment: only spans whose bound reaches the score of the likeliest (or what is sure) are scored.
+_BEST = _EVERY + ", " + _scores("cand", "", "least(floor, 0.95::DOUBLE)") + f", bm AS (SELECT *, row_number() OVER (PARTITION BY {_SEG} ORDER BY score >= 0.95 DESC, CASE WHEN score >= 0.95 THEN 0 ELSE -score END, size, start) AS rn FROM sc)"
+#: Ranges of anchors, their spans, and the heaviest chain of each conversation, span by span.
+_AT = "(SELECT CASE WHEN c < total THEN greatest(c - 1, 0) ELSE total - 1 END FROM (SELECT count(*) FILTER (WHERE x.start_s < {t}) AS c FROM word x WHERE x.conversation_id = h.conversation_id))"
+_SIX = "unnest(list_distinct([n, n - 1, n + 1, n - 2, n + 2, floor(n * 0.7::DOUBLE)::BIGINT])) AS size"
+_ANCHORS = f""", {_HINT.replace("AS expected FROM", "AS expected, floor(start_ms * 0.93::DOUBLE)::BIGINT AS hs, floor(end_ms * 0.93::DOUBLE)::BIGINT AS he FROM")},
+tw AS (SELECT conversation_id, count(*) AS total FROM word GROUP BY 1),
+ra AS MATERIALIZED (SELECT conversation_id, segment_index, n, total, {_AT.format(t="greatest(h.hs - 30000, 0) / 1000.0::DOUBLE")} AS a, {_AT.format(t="(h.he + 30000) / 1000.0::DOUBLE")} AS b FROM hn h JOIN tw USING (conversation_id) WHERE n BETWEEN 2 AND 20),
+rb AS (SELECT conversation_id, segment_index, n, total, CASE WHEN segment_index < 5 THEN 0 ELSE a END AS lo, CASE WHEN segment_index < 5 THEN total WHEN b - a < n + 10 THEN least(total, a + n + 20) ELSE b END AS hi FROM ra),
+c1 AS (SELECT * FROM (SELECT *, {_SIX} FROM (SELECT {_SEG}, n, hi, unnest(range(lo, hi)) AS start FROM rb)) WHERE size > 0 AND start + size <= hi),
+{_scores("c1", "p", "0.75::DOUBLE")},
+lone AS (SELECT * FROM ra WHERE conversation_id NOT IN (SELECT conversation_id FROM psc WHERE score >= 0.75)),
+c2 AS (SELECT * FROM (SELECT *, {_SIX} FROM (SELECT {_SEG}, n, total AS hi, unnest(range(0, total)) AS start FROM lone)) WHERE size > 0 AND start + size <= hi),
+{_scores("c2", "q", "0.75::DOUBLE")},
+sp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index, start, size) AS k FROM (SELECT * FROM psc WHERE score >= 0.75 UNION ALL SELECT * FROM qsc WHERE score >= 0.75)),
+ch AS (SELECT conversation_id, 0::BIGINT AS k, []::STRUCT(w BIGINT, e BIGINT, k BIGINT, g BIGINT, p BIGINT)[] AS f FROM (SELECT DISTINCT conversation_id FROM sp)
+UNION ALL SELECT s.conversation_id, s.k, ch.f || [(SELECT {{'w': round(s.score * 1e6)::BIGINT + coalesce(v.w, 0), 'e': s.start + s.size, 'k': s.k, 'g': s.segment_index, 'p': coalesce(v.k, 0)}}
+FROM (SELECT list_sort(list_transform(list_filter(ch.f, lambda x: x.g < s.segment_index AND x.e <= s.start), lambda x: {{'w': -x.w, 'e': x.e, 'k': x.k}}))[1] AS o), (SELECT 1), LATERAL (SELECT -o.w AS w, o.k AS k) v)]
+FROM ch JOIN sp s ON s.conversation_id = ch.conversation_id AND s.k = ch.k + 1),
+fin AS (SELECT conversation_id, f FROM ch QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY k DESC) = 1),
+bk AS (SELECT conversation_id, f, list_sort(list_transform(f, lambda x: {{'w': -x.w, 'e': x.e, 'k': x.k}}))[1].k AS k FROM fin
+UNION ALL SELECT conversation_id, f, f[k].p FROM bk WHERE f[k].p > 0)"""
+
+
+@query("span_candidates", with_views("segment word", _EVERY + f" SELECT {_SEG}, n, start, size FROM cand"))
 @query("span_candidates_all", with_views("segment word", _EVERY + f" SELECT {_SEG}, n, start, size FROM cand"))
-def span_candidates_all(spark, sf):
-    """The spans of segments of any length; :func:`span_candidates` has those that its SQL twin names."""
-    return al.every_span(hints(spark, sf), fx.words(spark, sf))
+def span_candidates(spark, sf):
+    """The spans of segments of any length; the second name is an earlier round's for the same."""
+    return al.span_candidates(hints(spark, sf), fx.words(spark, sf))
 
 
-@query("best_match_all")
-def best_match_all(spark, sf):
-    h, w = hints(spark, sf), fx.words(spark, sf)
-    return al.best_match(al.scored(al.likely_spans(h, w), h, w))
+@query("best_match", with_views("segment word", _BEST + f" SELECT {_SEG}, n, start, size, score FROM bm WHERE rn = 1 AND score >= 0.40"))
+@query("best_match_all", with_views("segment word", _BEST + f" SELECT {_SEG}, n, start, size, score FROM bm WHERE rn = 1 AND score >= 0.40"))
+def best_match(spark, sf):
+    """The best span of every segment; the second name is an earlier round's for the same."""
+    return al.matches_in(al.in_band(hints(spark, sf)), al.blocks(fx.words(spark, sf)))
 
 
-@query("anchor_selection")
+@query("anchor_selection", with_views("segment word", _ANCHORS + f" SELECT sp.{_SEG.replace(', ', ', sp.')}, sp.start, sp.size, sp.score FROM bk JOIN sp USING (conversation_id, k)"))
 def anchor_selection(spark, sf):
-    h, w = hints(spark, sf), fx.words(spark, sf)
-    return al.anchor_selection(al.scored(al.every_span(h.filter("n_words BETWEEN 2 AND 20"), w), h, w))
+    w = fx.words(spark, sf)
+    return al.anchor_selection(al.anchor_spans(hints(spark, sf), w, al.blocks(w)))
 
 
 @query("align_transcripts")

@@ -79,34 +79,6 @@ def test_empty_segments(spark):
     assert segments.speaker_numbering(none).count() == 0
 
 
-def test_segments_of_every_length_are_matched(spark):
-    """Of all spans the best is chosen, and most long segments, and those whose first words are wrong, have one."""
-    from colloquy.plans import fixtures, transcripts
-
-    sf = "/root/testdata/sf0.001"
-    h, w = (d.filter("conversation_id % 10 = 0").localCheckpoint() for d in (transcripts.hints(spark, sf), fixtures.words(spark, sf)))
-    every = alignment.best_match(alignment.scored(alignment.every_span(h, w), h, w)).collect()
-    got = alignment.best_match(alignment.scored(alignment.likely_spans(h, w), h, w)).collect()
-    assert sorted(got) == sorted(every)
-    long = h.filter("n_words > 20").count()
-    assert long and sum(r["n"] > 20 for r in got) > 0.8 * long
-    misheard = h.filter("n_words BETWEEN 8 AND 20").withColumn("text", F.regexp_replace("text", r"^\S+ \S+ \S+", "qqq zzz xxx"))
-    assert alignment.span_candidates(misheard, w).count() == 0 and misheard.count() > 0
-    found = alignment.best_match(alignment.scored(alignment.every_span(misheard, w), misheard, w)).count()
-    assert found > 0.5 * misheard.count()
-
-
-def test_alignment_recovers_times(spark):
-    """Most segments of a drifted, thinned transcript come back within two seconds of the truth."""
-    from colloquy.plans import fixtures, transcripts
-
-    sf = "/root/testdata/sf0.001"
-    got = alignment.aligned_transcripts(transcripts.hints(spark, sf), fixtures.words(spark, sf))
-    j = got.alias("g").join(fixtures.segments(spark, sf).alias("s"), ["conversation_id", "segment_index"])
-    near, n = j.agg(F.count_if(F.abs(F.col("g.start_ms") - F.col("s.start_ms")) <= 2000), F.count("*")).first()
-    assert n > 0 and near / n > 0.5
-
-
 def test_terms_meet_texts_by_keys(spark):
     """The equal-key join finds what every term's pattern finds in every text, letters of odd case included."""
     said = ["The kit, a KIT and a \u212ait", "C++ or c++; Su\u017f su\u017f SUS", "x\u0130 caf\u00e9 CAF\u00c9 na\u00efve", "\u65e5\u672c\u8a9e a\u65e5\u672c b", "", "-- a -- b_c d.e"]
