@@ -7,40 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import round_half_up
+from .ranges import last_before
 
 #: Prices where none is known, per million tokens and per second.
 DEFAULTS = {"input_price": 0.075, "output_price": 0.30, "recogniser": 0.0023, "diariser": 0.0015}
 
 
-def price_spans(prices: DataFrame) -> DataFrame:
-    """Each price with the time at which a later one of its model follows; of equal times the greatest id holds."""
-    one = prices.withColumn("_n", F.row_number().over(W.partitionBy("model", "effective_from").orderBy(F.desc("pricing_id")))).filter("_n = 1").drop("_n")
-    return one.withColumn("next_from", F.lead("effective_from").over(W.partitionBy("model").orderBy("effective_from")))
+PRICE = ["pricing_id", "input_price", "output_price", "second_price"]
 
 
-def price_asof(probes: DataFrame, prices: DataFrame, model: str, prefix: str) -> DataFrame:
-    """Adds the price of ``model`` valid at each probe's timestamp.
+def prices_asof(probes: DataFrame, prices: DataFrame, models: dict[str, str]) -> DataFrame:
+    """Adds, under the prefix that ``models`` gives each model, the price valid at each probe's timestamp.
 
-    The latest price that began by then counts; if it has expired the price is null, without going back
-    to older ones. Probes meet the prices of their month: a price stands once for each month of the probes
-    that it reaches into, so the join has an equal key, and the range alone is tested within it.
+    The latest price that began by then counts, of equal times the greatest id; if it has expired the price is null,
+    without going back to older ones. All models are looked up in one pass over the probes in order of time.
     """
-    p = price_spans(prices.filter(F.col("model") == model))
-    cols = ["pricing_id", "input_price", "output_price", "second_price"]
-    gone = F.col("effective_until") <= F.col("timestamp")
-    p = p.select(*[F.col(c).alias(f"_{c}") for c in cols], "effective_from", "effective_until", "next_from")
-    month = F.date_trunc("month", "timestamp")
-    # a row for each month of the calendar that has probes: months times prices stays small
-    months = probes.select(month.alias("_month")).distinct()
-    p = months.join(p, (F.add_months("_month", 1) > F.col("effective_from")) & (F.col("next_from").isNull() | (F.col("_month") < F.col("next_from"))))
-    on = (month == F.col("_month")) & (F.col("timestamp") >= F.col("effective_from")) & (F.col("next_from").isNull() | (F.col("timestamp") < F.col("next_from")))
-    out = probes.join(p, on, "left")
-    return out.select(*probes.columns, *[F.when(gone.isNull() | ~gone, F.col(f"_{c}")).alias(f"{prefix}_{c}") for c in cols])
+    wanted = prices.filter(F.col("model").isin(list(models)))
+    one = wanted.groupBy("model", "effective_from").agg(F.max_by(F.struct("pricing_id", "input_price", "output_price", "second_price", "effective_until"), "pricing_id").alias("p")).select("model", "effective_from", "p.*")
+    out = last_before(probes, one, "timestamp", "effective_from", {f"_{prefix}": F.col("model") == model for model, prefix in models.items()})
+    valid = lambda p: F.col(f"_{p}.effective_until").isNull() | (F.col(f"_{p}.effective_until") > F.col("timestamp"))
+    return out.select(*probes.columns, *[F.when(valid(p), F.col(f"_{p}.{c}")).alias(f"{p}_{c}") for p in models.values() for c in PRICE])
+
+
+def price_asof(probes: DataFrame, prices: DataFrame, model: str, prefix: str) -> DataFrame:
+    return prices_asof(probes, prices, {model: prefix})
 
 
 def job_cost(jobs: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each job by the prices of its own time, the total from unrounded parts."""
-    j = price_asof(price_asof(jobs, prices, "tokens-a", "tok"), prices, "recogniser", "rec")
+    j = prices_asof(jobs, prices, {"tokens-a": "tok", "recogniser": "rec"})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     per = lambda c, d: F.coalesce(F.col(c), F.lit(DEFAULTS[d]))
     tokens = ((zero("analysis_in") + zero("correction_in")) * per("tok_input_price", "input_price") + (zero("analysis_out") + zero("correction_out")) * per("tok_output_price", "output_price")) / 1e6

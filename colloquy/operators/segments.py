@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import round_half_up
+from .ranges import points_in_intervals
 
 #: Words that begin a sentence rather than end one.
 STARTERS = "I You We They He She It The A An This That So But And Or If When What How Why Where Who".split()
@@ -115,15 +116,22 @@ def topic_markers(segments: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def active_segment(probes: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each probe time the segment that plays: containing it, the nearest start of several; in a gap, the last that ended; else -1."""
-    nxt = F.lead("start_ms").over(_conv())
-    s = segments.select(F.col("conversation_id").alias("_c"), F.col("segment_index").alias("_i"), F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b"), nxt.alias("_next"))
-    t = F.col("position_ms") + F.col("offset_ms")
-    inside = (F.col("_a") <= t) & (t < F.col("_b"))
-    gap = (t > 0) & (F.col("_b") <= t) & (F.col("_next").isNull() | (t < F.col("_next")))
-    hit = probes.join(s, (F.col("conversation_id") == F.col("_c")) & (inside | gap), "left")
-    best = F.min_by(F.when(inside, F.col("_i")), F.when(inside, F.struct(F.abs(F.col("_a") - t), F.col("_i"))))
-    return hit.groupBy("conversation_id", "probe_id").agg(F.coalesce(best, F.max(F.when(gap, F.col("_i"))), F.lit(-1)).cast("long").alias("segment_index"))
+    """For each probe time the segment that plays: containing it, the nearest start of several; in a gap, the last that ended; else -1.
+
+    A gap lasts from a segment's end to the start of the next, so both rules ask in which interval a point lies;
+    after the last segment's end there is but that one to look at.
+    """
+    key = ["conversation_id", "probe_id"]
+    t = probes.select(*key, (F.col("position_ms") + F.col("offset_ms")).cast("long").alias("t"))
+    s = segments.select("conversation_id", "segment_index", F.col("start_ms").cast("long").alias("a"), F.col("end_ms").cast("long").alias("b"), F.lead("start_ms").over(_conv()).cast("long").alias("next"))
+    spans = s.select("conversation_id", "segment_index", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("from"), F.col("b").alias("to")), F.struct(F.lit(1).alias("kind"), F.col("b").alias("from"), F.col("next").alias("to")))))
+    hit = points_in_intervals(t, spans, ["conversation_id"], "t", "from", "to").filter("kind = 0 OR t > 0").select(*key, "kind", "segment_index", F.abs(F.col("from") - F.col("t")).alias("far"))
+    last = s.filter("next IS NULL").select("conversation_id", "segment_index", "b")
+    after = t.filter("t > 0").join(last, "conversation_id").filter("b <= t").select(*key, F.lit(1).alias("kind"), "segment_index", F.lit(0).cast("long").alias("far"))
+    none = t.select(*key, F.lit(None).cast("int").alias("kind"), F.lit(None).cast(segments.schema["segment_index"].dataType).alias("segment_index"), F.lit(None).cast("long").alias("far"))
+    inside, gap, i = F.col("kind") == 0, F.col("kind") == 1, F.col("segment_index")
+    best = F.min_by(F.when(inside, i), F.when(inside, F.struct("far", "segment_index")))
+    return none.unionByName(hit).unionByName(after).groupBy(*key).agg(F.coalesce(best, F.max(F.when(gap, i)), F.lit(-1)).cast("long").alias("segment_index"))
 
 
 def speaker_distribution(segments: DataFrame) -> DataFrame:

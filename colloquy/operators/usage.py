@@ -7,16 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import exact_sum, exact_sum_if, hours, json_number, round_half_up
+from ..sources.shared import fresh_path
 
 CREATED, DELETED, COMPLETED, FAILED = "conversation_created", "conversation_deleted", "processing_completed", "processing_failed"
 
 
-def clamped_counter(events: DataFrame) -> DataFrame:
-    """Running +1/-1 count per user that never falls below 0: S - min(0, least S so far)."""
+#: A user with more than a thousandth of all events, and with so many, is cut into ranges of time of about so many.
+HOT, SPLIT = 1000, 200_000
+
+
+def hot_ranges(events: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(user_id, bounds) of users with too many events for a task: times that cut them into ranges of like size.
+
+    No more than HOT users can each have a HOT-th of all events, and their ranges are no more than twice as many.
+    """
+    counts = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(total // HOT, split)
+    k = F.ceil(F.col("n") / F.lit(float(most))).cast("int")
+    hot = counts.filter((F.col("n") > most) & F.col("user_id").isNotNull()).withColumn("k", k)
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    # a hundred quantiles a user at the least; as many as there are to be ranges at the most
+    at = events.select("user_id", micros.alias("us")).join(F.broadcast(hot.select("user_id")), "user_id")
+    steps = max([100, *(r["k"] for r in hot.select("k").collect())])
+    cuts = at.groupBy("user_id").agg(F.percentile_approx("us", [i / steps for i in range(1, steps)], 10 * steps).alias("cuts"))
+    return cuts.join(hot, "user_id").select("user_id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda i: F.element_at("cuts", F.greatest(F.lit(1), (i * steps / F.col("k")).cast("int"))))).alias("bounds"))
+
+
+def clamped_counter(events: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Running +1/-1 count per user that never falls below 0: S - min(0, least S so far).
+
+    A hot user's events are counted in ranges of time, each in a task of its own. A range is summed up by its
+    sum and the least sum within it; those of earlier ranges, a few rows a user, give each range its start.
+    """
     step = F.when(F.col("event_type") == CREATED, 1).when(F.col("event_type") == DELETED, -1).otherwise(0)
-    order = W.partitionBy("user_id").orderBy("timestamp", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    s = events.withColumn("_s", F.sum(step).over(order))
-    return s.withColumn("existing", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(order))).cast("long")).drop("_s")
+    bounds = fresh_path(events.sparkSession, "bounds")
+    hot_ranges(events, split).write.parquet(bounds)
+    hot = F.broadcast(events.sparkSession.read.parquet(bounds))
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    part = F.coalesce(F.size(F.filter("bounds", lambda b: b < micros)), F.lit(0))
+    e = events.join(hot, "user_id", "left").withColumn("_range", F.when(F.col("bounds").isNotNull(), part).otherwise(F.lit(0))).withColumn("_split", F.col("bounds").isNotNull()).drop("bounds")
+    order = W.partitionBy("user_id", "_range").orderBy("timestamp", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    s = e.withColumn("_s", F.sum(step).over(order)).withColumn("_m", F.min("_s").over(order))
+    before = W.partitionBy("user_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = e.filter("_split").withColumn("_s", F.sum(step).over(order)).groupBy("user_id", "_range").agg(F.max_by("_s", F.struct("timestamp", "event_id")).alias("_sum"), F.min("_s").alias("_least"))
+    starts = ends.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    starts = starts.select("user_id", "_range", "_before", F.least(F.lit(0), F.min(F.col("_before") + F.col("_least")).over(before)).alias("_lowest"))
+    # two ranges for each that a hot user can have: a bounded table
+    s = s.join(F.broadcast(starts), ["user_id", "_range"], "left")
+    base, low = F.coalesce("_before", F.lit(0)), F.coalesce("_lowest", F.lit(0))
+    existing = base + F.col("_s") - F.least(F.lit(0), low, base + F.col("_m"))
+    return s.select(*events.columns, existing.cast("long").alias("existing"))
 
 
 def user_lifetime(events: DataFrame) -> DataFrame:

@@ -169,8 +169,7 @@ SELECT *, CASE WHEN percent >= 5 THEN service ELSE '' END AS label FROM b2"""
 
 @query("price_asof", with_views("job_metric pricing", PRICED + " SELECT conversation_id, tok_id, tok_in, rec_id, rec_s FROM jr"))
 def price_asof(spark, sf):
-    j = pricing.price_asof(fx.job_metrics(spark, sf), fx.prices(spark), "tokens-a", "tok")
-    j = pricing.price_asof(j, fx.prices(spark), "recogniser", "rec")
+    j = pricing.prices_asof(fx.job_metrics(spark, sf), fx.prices(spark), {"tokens-a": "tok", "recogniser": "rec"})
     return j.select("conversation_id", F.col("tok_pricing_id").alias("tok_id"), F.col("tok_input_price").alias("tok_in"), F.col("rec_pricing_id").alias("rec_id"), F.col("rec_second_price").alias("rec_s"))
 
 
