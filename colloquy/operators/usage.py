@@ -89,25 +89,62 @@ def rolling_windows(events: DataFrame, jobs: DataFrame, as_of: str, days: tuple[
     return e.join(j, "user_id", "left").na.fill(0)
 
 
-def daily_stats(events: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A row for each UTC day from the first to the last, idle days included."""
-    day = F.to_date("timestamp").alias("date")
-    first = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.to_date(F.min("timestamp")).alias("date")).groupBy("date").agg(F.count("*").alias("new_users"))
-    e = events.groupBy(day).agg(F.count_if(F.col("event_type") == CREATED).alias("created"), F.count_if(F.col("event_type") == DELETED).alias("deleted"))
+def job_days(jobs: DataFrame) -> DataFrame:
+    """What the jobs of each UTC day come to."""
     ok = F.col("status") == "success"
     tokens = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("analysis_in", "analysis_out", "correction_in", "correction_out")), F.lit(0))
-    j = jobs.groupBy(day).agg(
+    return jobs.groupBy(F.to_date("timestamp").alias("date")).agg(
         F.countDistinct("user_id").alias("active_users"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
         round_half_up(exact_sum_if(ok, hours(F.col("duration_ms"))), 3).alias("audio_hours"), F.sum(tokens).cast("long").alias("tokens"),
         round_half_up(exact_sum(F.col("compute_s"))).alias("compute_s"), round_half_up(exact_sum(F.col("compute_s") * 0.0023), 6).alias("cost_usd"),
         round_half_up(F.coalesce(exact_sum_if(ok, F.col("total_ms")) / F.nullif(F.count_if(ok), F.lit(0)), F.lit(0.0))).alias("mean_ms"),
     )
+
+
+def with_idle_days(daily: DataFrame) -> DataFrame:
+    """A row for each day from the first to the last, zeros where there was none."""
+    span = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    return span.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("date")).join(daily, "date", "left").na.fill(0)
+
+
+def daily_stats(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A row for each UTC day from the first to the last, idle days included."""
+    day = F.to_date("timestamp").alias("date")
+    first = events.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.to_date(F.min("timestamp")).alias("date")).groupBy("date").agg(F.count("*").alias("new_users"))
+    e = events.groupBy(day).agg(F.count_if(F.col("event_type") == CREATED).alias("created"), F.count_if(F.col("event_type") == DELETED).alias("deleted"))
     span = events.agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b"))
     days = span.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("date"))
-    out = days.join(first, "date", "left").join(e, "date", "left").join(j, "date", "left").na.fill(0)
+    out = days.join(first, "date", "left").join(e, "date", "left").join(job_days(jobs), "date", "left").na.fill(0)
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+def activity_parts(events: DataFrame) -> DataFrame:
+    """Sums by day, hour and user that may be added up in any order: what the views below rest on."""
+    at = F.col("timestamp").cast("timestamp")
+    return events.groupBy(F.to_date(at).alias("date"), F.hour(at).alias("hour"), "user_id").agg(F.count_if(F.col("event_type") == CREATED).alias("created"), F.count_if(F.col("event_type") == DELETED).alias("deleted"), F.count("*").alias("events"), F.max(at).alias("last_at"))
+
+
+def daily_from_parts(parts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Days with activity or jobs, from sums of activity and the jobs themselves."""
+    e = parts.groupBy("date").agg(F.sum("created").alias("created"), F.sum("deleted").alias("deleted"))
+    return e.join(job_days(jobs), "date", "left").na.fill(0)
+
+
+def rolling_from_parts(parts: DataFrame, as_of: str, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """Per user, the activity of the last days before a full hour; hours stand or fall as a whole."""
+    now = F.lit(as_of).cast("timestamp")
+    at = F.col("date").cast("timestamp") + F.make_interval(hours=F.col("hour"))
+    return parts.filter("user_id IS NOT NULL").groupBy("user_id").agg(*[F.coalesce(F.sum(F.when(at >= now - F.expr(f"INTERVAL {d} DAYS"), F.col(c))), F.lit(0)).cast("long").alias(f"{c}_{d}d") for d in days for c in ("created", "deleted")])
+
+
+def global_from_parts(parts: DataFrame, as_of: str) -> DataFrame:
+    """One row over all users: how many, how many of late, and what they did."""
+    now = F.lit(as_of).cast("timestamp")
+    users = parts.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.max("last_at").alias("last"), F.sum("created").alias("created"), F.sum("deleted").alias("deleted"))
+    active = lambda d: F.count_if(F.col("last") >= now - F.expr(f"INTERVAL {d} DAYS"))
+    return users.agg(F.count("*").alias("users"), active(7).alias("active_7d"), active(30).alias("active_30d"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("created", "deleted")])
+
+
 def latest_jobs(jobs: DataFrame, n: int | None = 1000) -> DataFrame:
     """The newest jobs, the greater id first of equals; None: all."""
     return jobs if n is None else jobs.orderBy(F.desc("timestamp"), F.desc("conversation_id")).limit(n)

@@ -76,14 +76,33 @@ def lifecycle_stream(spark, sf):
     return spark.read.parquet(sink).select("conversation_id", "event_type", "user_id")
 
 
+def _rolled_up(spark, sf):
+    """(sums, days) after the events came in three batches that do not follow time, so that most rows are late."""
+    rows = fx.user_events(spark, sf)
+    path, parts, sink = (fresh_path(spark, n) for n in ("source", "parts", "daily"))
+    rows.repartition(3, "event_id").write.parquet(path)
+    metrics = fx.job_metrics(spark, sf)
+    jobs.run(jobs.read_events(spark, path, rows.schema, files=1), lambda df, n: jobs.daily_rollup(df, n, metrics, parts, sink), fresh_path(spark, "offsets"))
+    return spark.read.parquet(parts), spark.read.parquet(sink)
+
+
 @query("daily_rollup_stream", with_views("user_event job_metric", an.DAILY + " SELECT date, created, deleted, succeeded, audio_hours FROM daily"))
 def daily_rollup_stream(spark, sf):
-    """Each batch joins the log; the days from its first on are computed anew and replace themselves."""
-    log, sink = fresh_path(spark, "log"), fresh_path(spark, "daily")
-    metrics = fx.job_metrics(spark, sf)
-    jobs.run(_events(spark, sf), lambda df, n: jobs.daily_rollup(df, n, metrics, log, sink), fresh_path(spark, "offsets"))
-    out = spark.read.parquet(sink)
-    return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "created", "deleted", "succeeded", "audio_hours")
+    """Each batch is summed up by day and user; only the days that it touches are made anew."""
+    out = usage.with_idle_days(_rolled_up(spark, sf)[1].select("date", "created", "deleted", "succeeded", "audio_hours"))
+    return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("rolling_rollup_stream", with_views("user_event job_metric", an.ROLLING + " SELECT user_id, created_7d, deleted_7d, created_30d, deleted_30d FROM roll"))
+def rolling_rollup_stream(spark, sf):
+    """Activity of the last days from the sums of the batches, without the log."""
+    return usage.rolling_from_parts(_rolled_up(spark, sf)[0], fx.AS_OF)
+
+
+@query("global_rollup_stream", with_views("user_event", f"""SELECT count(*) AS users, count(*) FILTER (last >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 7 DAY) AS active_7d, count(*) FILTER (last >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 30 DAY) AS active_30d, coalesce(sum(created), 0)::BIGINT AS created, coalesce(sum(deleted), 0)::BIGINT AS deleted
+FROM (SELECT user_id, max("timestamp") AS last, count(*) FILTER (event_type = 'conversation_created') AS created, count(*) FILTER (event_type = 'conversation_deleted') AS deleted FROM user_event WHERE user_id IS NOT NULL GROUP BY 1)"""))
+def global_rollup_stream(spark, sf):
+    return usage.global_from_parts(_rolled_up(spark, sf)[0], fx.AS_OF)
 
 
 @query("log_append", with_views("user_event", "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS date, 2 * count(*) AS events FROM user_event GROUP BY 1"))

@@ -1,16 +1,20 @@
-"""The folder that driver and executors share, for sinks and stream checkpoints."""
+"""The folder that driver and executors share, for sinks, stored tables and stream checkpoints."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's checkpoint folder; one is set only where the session names none."""
+    """A new path below the session's checkpoint folder. A local session that names none gets one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
