@@ -257,6 +257,17 @@ def alignment_quality(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conversation_id").agg(round_half_up(F.avg(c.cast("decimal(18,6)")).cast("double"), 3).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"), F.count_if(c >= 0.75).alias("high"), F.count_if((c >= 0.5) & (c < 0.75)).alias("medium"), F.count_if(c < 0.5).alias("low"), matched.alias("matched"), round_half_up(100.0 * matched / F.count("*"), 1).alias("percent"))
 
 
+def quality_levels(rows: DataFrame) -> DataFrame:
+    """Confidence and counts of conversations, of their regions and of their methods, from one scan; in: region_id."""
+    c, matched = F.col("confidence"), F.count_if(F.col("method").startswith("match"))
+    # counted by method and grouped by it: a grouping column is null in the sets without it
+    rows = rows.withColumn("_by", F.col("method"))
+    sets = rows.groupingSets([["conversation_id"], ["conversation_id", "region_id"], ["conversation_id", "_by"]], "conversation_id", "region_id", "_by")
+    out = sets.agg(F.grouping_id().alias("_level"), F.count("*").alias("segments"), round_half_up(F.avg(c.cast("decimal(18,6)")).cast("double"), 3).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"), F.count_if(c >= 0.75).alias("high"), F.count_if((c >= 0.5) & (c < 0.75)).alias("medium"), F.count_if(c < 0.5).alias("low"), matched.alias("matched"), round_half_up(100.0 * matched / F.count("*"), 1).alias("percent"))
+    level = F.when(F.col("_level") == 3, "conversation").when(F.col("_level") == 1, "region").otherwise("method")
+    return out.select(level.alias("level"), "conversation_id", "region_id", F.col("_by").alias("method"), *[x for x in out.columns if x not in ("conversation_id", "region_id", "_by", "_level")])
+
+
 def anchor_stats(rows: DataFrame) -> DataFrame:
     """In: n_words, score (null if no span was found) of every segment."""
     n = F.col("n_words")
@@ -268,6 +279,8 @@ def anchor_stats(rows: DataFrame) -> DataFrame:
     return r.groupBy("conversation_id").agg(
         k.alias("anchors"), round_half_up(100.0 * k / F.count("*"), 1).alias("rate"), F.count_if(n < 2).alias("too_short"), F.count_if(n > 20).alias("too_long"), F.count_if(fits & F.col("score").isNull()).alias("no_match"),
         F.count_if(fits & (F.col("score") < ANCHOR)).alias("low_score"), F.coalesce(F.max(F.when(F.col("_a"), F.col("_p"))) <= 0.3, F.lit(False)).alias("clustered"),
+        round_half_up(F.coalesce(100.0 * (F.max(F.when(F.col("_a"), F.col("segment_index"))) - F.min(F.when(F.col("_a"), F.col("segment_index")))) / F.count("*"), F.lit(0.0)), 1).alias("coverage"),
+        round_half_up(F.avg(F.when(F.col("_a"), F.col("score")).cast("decimal(18,6)")).cast("double"), 3).alias("mean_confidence"),
     )
 
 

@@ -145,6 +145,22 @@ def global_from_parts(parts: DataFrame, as_of: str) -> DataFrame:
     return users.agg(F.count("*").alias("users"), active(7).alias("active_7d"), active(30).alias("active_30d"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("created", "deleted")])
 
 
+def usage_levels(events: DataFrame) -> DataFrame:
+    """Counts and sums of users, of days and of all, from one scan and one exchange: a row for each, named by ``level``."""
+    kind, done = F.col("event_type"), F.col("event_type") == COMPLETED
+    numbers = [F.when(done, hours(json_number(F.col("metadata"), "durationMs"))).alias("h"), F.when(done, json_number(F.col("metadata"), "estimatedCostUsd")).alias("usd")]
+    rows = events.filter("user_id IS NOT NULL").select("user_id", F.to_date("timestamp").alias("date"), "timestamp", kind, *numbers)
+    count = lambda k, name: F.count_if(kind == k).alias(name)
+    sets = rows.groupingSets([["user_id"], ["date"], []], "user_id", "date")
+    out = sets.agg(
+        F.grouping_id().alias("_level"), count(CREATED, "created"), count(DELETED, "deleted"), count(COMPLETED, "succeeded"), count(FAILED, "failed"),
+        round_half_up(exact_sum(F.col("h")), 3).alias("audio_hours"), round_half_up(exact_sum(F.col("usd")), 6).alias("cost_usd"), F.min("timestamp").alias("first_activity_at"), F.max("timestamp").alias("last_activity_at"),
+    )
+    level = F.when(F.col("_level") == 1, "user").when(F.col("_level") == 2, "day").otherwise("all")
+    # the set of all rows has a row even where there are none
+    return out.filter("first_activity_at IS NOT NULL").select(level.alias("level"), *[c for c in out.columns if c != "_level"])
+
+
 def latest_jobs(jobs: DataFrame, n: int | None = 1000) -> DataFrame:
     """The newest jobs, the greater id first of equals; None: all."""
     return jobs if n is None else jobs.orderBy(F.desc("timestamp"), F.desc("conversation_id")).limit(n)

@@ -227,3 +227,14 @@ def usage_rollup(spark, sf):
     """Lifetimes and windows side by side, as the nightly job writes them."""
     life = _life(spark, sf).select("user_id", "created", "existing", "audio_hours")
     return life.join(_roll(spark, sf).select("user_id", "created_7d", "succeeded_30d", "cost_usd_30d"), "user_id")
+
+
+_DONE = "CASE WHEN event_type = 'processing_completed' THEN {} END"
+
+
+@query("usage_levels", with_views("user_event", f"""SELECT CASE WHEN grouping(user_id) = 0 THEN 'user' WHEN grouping(date) = 0 THEN 'day' ELSE 'all' END AS level, user_id, date, count(*) FILTER (event_type = 'conversation_created') AS created, count(*) FILTER (event_type = 'conversation_deleted') AS deleted,
+count(*) FILTER (event_type = 'processing_completed') AS succeeded, count(*) FILTER (event_type = 'processing_failed') AS failed, {_R(_SUM(_DONE.format("(" + _NUM("durationMs") + ") / 3600000.0::DOUBLE")), 3)} AS audio_hours, {_R(_SUM(_DONE.format(_NUM("estimatedCostUsd"))), 6)} AS cost_usd,
+min("timestamp") AS first_activity_at, max("timestamp") AS last_activity_at FROM (SELECT user_id, strftime("timestamp", '%Y-%m-%d') AS date, event_type, metadata, "timestamp" FROM user_event WHERE user_id IS NOT NULL) GROUP BY GROUPING SETS ((user_id), (date), ())"""))
+def usage_levels(spark, sf):
+    """Users, days and all in one pass, as the nightly job needs them."""
+    return usage.usage_levels(fx.user_events(spark, sf)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))

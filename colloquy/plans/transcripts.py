@@ -448,8 +448,21 @@ def alignment_quality(spark, sf):
     return al.alignment_quality(_timed(spark, sf))
 
 
+@query("quality_levels", with_views("segment", f""", {_TIMED}, rg AS (SELECT *, method AS m, sum((method = 'match')::INT) OVER (PARTITION BY conversation_id ORDER BY segment_index) AS region_id FROM tm)
+SELECT CASE WHEN grouping(region_id) = 0 THEN 'region' WHEN grouping(method) = 0 THEN 'method' ELSE 'conversation' END AS level, conversation_id, region_id::BIGINT AS region_id, method, count(*) AS segments, {_R('avg(confidence::DECIMAL(18,6))::DOUBLE', 3)} AS mean, min(confidence) AS least, max(confidence) AS greatest, count(*) FILTER (confidence >= 0.75) AS high,
+count(*) FILTER (confidence >= 0.5 AND confidence < 0.75) AS medium, count(*) FILTER (confidence < 0.5) AS low, count(*) FILTER (m = 'match') AS matched, {_R("100.0::DOUBLE * count(*) FILTER (m = 'match') / count(*)", 1)} AS percent
+FROM rg GROUP BY GROUPING SETS ((conversation_id), (conversation_id, region_id), (conversation_id, method))"""))
+def quality_levels(spark, sf):
+    """Quality of conversations, regions and methods in one scan."""
+    from pyspark.sql import Window as W
+
+    region = F.sum((F.col("method") == "match").cast("long")).over(W.partitionBy("conversation_id").orderBy("segment_index"))
+    return al.quality_levels(_timed(spark, sf).withColumn("region_id", region))
+
+
 @query("anchor_stats", with_views("segment", f""", {_TIMED}, s AS (SELECT *, CASE WHEN segment_index % 4 <> 1 THEN confidence END AS score, coalesce(segment_index / nullif(max(segment_index) OVER (PARTITION BY conversation_id), 0)::DOUBLE, 0) AS p FROM tm), a AS (SELECT *, n_words BETWEEN 2 AND 20 AS fits, coalesce(n_words BETWEEN 2 AND 20 AND score >= 0.75, false) AS an FROM s)
-SELECT conversation_id, count(*) FILTER (an) AS anchors, {_R("100.0::DOUBLE * count(*) FILTER (an) / count(*)", 1)} AS rate, count(*) FILTER (n_words < 2) AS too_short, count(*) FILTER (n_words > 20) AS too_long, count(*) FILTER (fits AND score IS NULL) AS no_match, count(*) FILTER (fits AND score < 0.75) AS low_score, coalesce(max(p) FILTER (an) <= 0.3, false) AS clustered FROM a GROUP BY 1"""))
+SELECT conversation_id, count(*) FILTER (an) AS anchors, {_R("100.0::DOUBLE * count(*) FILTER (an) / count(*)", 1)} AS rate, count(*) FILTER (n_words < 2) AS too_short, count(*) FILTER (n_words > 20) AS too_long, count(*) FILTER (fits AND score IS NULL) AS no_match, count(*) FILTER (fits AND score < 0.75) AS low_score, coalesce(max(p) FILTER (an) <= 0.3, false) AS clustered,
+{_R("coalesce(100.0::DOUBLE * (max(segment_index) FILTER (an) - min(segment_index) FILTER (an)) / count(*), 0)", 1)} AS coverage, {_R("avg(score::DECIMAL(18,6)) FILTER (an)", 3)} AS mean_confidence FROM a GROUP BY 1"""))
 def anchor_stats(spark, sf):
     return al.anchor_stats(_timed(spark, sf).withColumn("score", F.when(F.col("segment_index") % 4 != 1, F.col("confidence"))))
 
@@ -583,3 +596,37 @@ def transcript_pipeline(spark, sf):
     fixed = se.apply_reassign(s, fx.corrections(spark, sf)).select(*key, "speaker_id")
     named = se.segment_speaker(fixed, se.speaker_numbering(s)).select(*key, "speaker_id", "display_name")
     return se.boundary_repair(s).drop("speaker_id").join(named, key)
+
+
+#: Recordings whose recogniser output is broken, and those in which nobody speaks.
+_BROKEN, _SILENT = 3, 5
+
+
+def uploads(spark, sf):
+    """What the recogniser and the model wrote for each conversation: one in seven is no JSON, one in eleven has blank segments only."""
+    s = _seg(spark, sf)
+    c = F.col("conversation_id")
+    text = F.when(c % 11 == _SILENT, F.lit("  ")).otherwise(F.col("text"))
+    part = F.struct(text.alias("text"), (F.col("start_ms") / 1000.0).cast("string").alias("start"), (F.col("end_ms") / 1000.0).cast("string").alias("end"), F.col("speaker_id").alias("speaker"))
+    asr = s.groupBy("conversation_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", part.alias("p")))), lambda x: x["p"]).alias("segments"))).alias("asr"))
+    fixes = fx.corrections(spark, sf).groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("segment_index").alias("segmentIndex"), F.col("new_speaker").alias("newSpeaker")))).alias("corrections"))
+    body = F.to_json(F.struct("corrections"))
+    rows = asr.join(fixes, "conversation_id", "left")
+    return rows.select("conversation_id", (c % 13).alias("user_id"), F.when(c % 7 == _BROKEN, F.substring("asr", 1, 40)).otherwise(F.col("asr")).alias("asr"), F.when(c % 5 == 0, "no JSON {").otherwise(body).alias("corrections"))
+
+
+@query("upload_chain", with_views("segment correction term", REPAIR + f""", k AS (SELECT DISTINCT conversation_id, speaker_id FROM segment), l AS (SELECT conversation_id, segment_index, arg_max(new_speaker, ordinal) AS ns FROM correction c WHERE conversation_id % 5 <> 0 AND EXISTS (SELECT 1 FROM k WHERE k.conversation_id = c.conversation_id AND k.speaker_id = c.new_speaker) GROUP BY 1, 2),
+rea AS (SELECT {_SEG}, coalesce(ns, speaker_id) AS speaker_id, coalesce(ns <> speaker_id, false) AS corrected FROM segment LEFT JOIN l USING ({_SEG})),
+p AS (SELECT {_SEG}, text, ordinal, term_id, '(?i)\\b(?:' || list_aggregate(list_transform(list_filter([display] || aliases, lambda a: a <> ''), lambda a: {_ESC}), 'string_agg', '|') || ')\\b' AS pat FROM repaired, term),
+{_MATCH}, oc AS (SELECT conversation_id, count(DISTINCT term_id) AS terms, count(*) AS occurrences FROM o GROUP BY 1),
+g AS (SELECT conversation_id, count(*) AS segments, count(DISTINCT rea.speaker_id) AS speakers, arg_max(r.end_ms, segment_index) AS duration_ms, count(*) FILTER (corrected) AS corrections FROM repaired r JOIN rea USING ({_SEG}) GROUP BY 1),
+e AS (SELECT *, CASE WHEN conversation_id % 7 = {_BROKEN} THEN 'response is not JSON' WHEN conversation_id % 11 = {_SILENT} THEN 'no segments' END AS error FROM g LEFT JOIN oc USING (conversation_id))
+SELECT conversation_id, conversation_id % 13 AS user_id, CASE WHEN error IS NULL THEN 'complete' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN 'processing_completed' ELSE 'processing_failed' END AS event_type,
+CASE WHEN error IS NULL THEN segments ELSE 0 END AS segments, CASE WHEN error IS NULL THEN speakers ELSE 0 END AS speakers, CASE WHEN error IS NULL THEN duration_ms ELSE 0 END AS duration_ms, CASE WHEN error IS NULL THEN corrections ELSE 0 END AS corrections,
+CASE WHEN error IS NULL THEN coalesce(terms, 0) ELSE 0 END AS terms, CASE WHEN error IS NULL THEN coalesce(occurrences, 0) ELSE 0 END AS occurrences, CASE WHEN error IS NULL THEN segments ELSE 0 END AS stored FROM e""".replace("g AS (SELECT conversation_id, count(*) AS segments", "g2 AS (SELECT conversation_id, count(*) AS segments").replace("FROM g LEFT JOIN oc", "FROM g2 LEFT JOIN oc")))
+def upload_chain(spark, sf):
+    """All steps from recogniser output to stored document in one plan; a broken response fails its conversation alone."""
+    from ..operators import uploads as up
+
+    done = up.processed(uploads(spark, sf), fx.terms(spark, sf))
+    return done.select("conversation_id", "user_id", "status", "error", up.event_type().alias("event_type"), "segments", "speakers", "duration_ms", "corrections", "terms", "occurrences", F.coalesce(F.size("document"), F.lit(0)).cast("long").alias("stored"))
