@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import usage
-from ..sources import ingest
+from ..sources import ingest, snapshots
 from ..sources.shared import fresh_path
 from ..streaming import jobs
 from . import analytics as an
@@ -149,3 +149,27 @@ def audio_inventory(spark, sf):
     deep = F.when(F.col("conversation_id") % 4 == 0, "old/").otherwise("")
     files = c.select(F.concat(F.lit("store/audio/"), F.col("user_id").cast("string"), F.lit("/"), deep, name).alias("path"), F.col("duration_ms").alias("length"))
     return ingest.inventory(files).select("conversation_id", "user_id", "ext", "length")
+
+
+@query("audio_scan", with_views("segment", """SELECT conversation_id::VARCHAR AS conversation_id, (conversation_id % 9)::VARCHAR AS user_id, CASE WHEN conversation_id % 3 = 0 THEN 'wav' ELSE 'mp3' END AS ext, strlen(text)::BIGINT AS length
+FROM segment WHERE segment_index = 0 AND conversation_id % 4 <> 0 AND conversation_id % 6 <> 1"""))
+def audio_scan(spark, sf):
+    """A file for each conversation, some too deep and some of another kind, written to the shared folder and scanned."""
+    c, root = F.col("conversation_id"), fresh_path(spark, "store")
+    name = F.concat(c.cast("string"), F.when(c % 6 == 1, ".txt").when(c % 3 == 0, ".v2.WAV").otherwise(""))
+    path = F.concat(F.lit("audio/"), (c % 9).cast("string"), F.lit("/"), F.when(c % 4 == 0, "old/").otherwise(""), name)
+    ingest.write_files(fx.segments(spark, sf).filter("segment_index = 0").select(path.alias("path"), F.col("text").alias("content")), root)
+    return ingest.audio_inventory(spark, root).select("conversation_id", "user_id", "ext", "length")
+
+
+@query("versioned_upsert", with_views("conversation snapshot_a snapshot_b", """SELECT coalesce(a.conversation_id, b.conversation_id) AS conversation_id, coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.title, a.title) AS title, coalesce(b.status, a.status) AS status, b.conversation_id IS NOT NULL AS changed
+FROM snapshot_a a FULL JOIN snapshot_b b ON a.conversation_id = b.conversation_id"""))
+def versioned_upsert(spark, sf):
+    """One snapshot replaces an empty table, the next is merged into it; rows that it touched are the later ones."""
+    root = fresh_path(spark, "table")
+    a, b = fx.snapshots(spark, sf)
+    snapshots.write(spark, root, a, "conversation_id", merge=False, at="updated_at")
+    first = snapshots.read(spark, root, "updated_at timestamp").agg(F.max("updated_at")).first()[0]
+    snapshots.write(spark, root, b, "conversation_id", at="updated_at")
+    rows = snapshots.read(spark, root, "conversation_id long, user_id long, title string, status string, updated_at timestamp")
+    return rows.select("conversation_id", "user_id", "title", "status", (F.col("updated_at") > F.lit(first)).alias("changed"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,9 +21,28 @@ AUDIO = ("mp3", "wav", "m4a", "aac", "ogg", "oga", "flac", "webm", "mp4", "opus"
 
 
 def audio_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Recordings at audio/{user}/{conversation}.{ext} below 100 MB; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    return inventory(files)
+    """Recordings at audio/{user}/{conversation}.{ext} below 100 MB.
+
+    The pattern of the path lists no folder beyond its depth, the source skips files by their length, and
+    contents are not read.
+    """
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/audio/*/*").select("path", "length", "modificationTime")
+    return inventory(files.filter(F.col("length") < MOST_AUDIO))
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes ``content`` of each row to ``path`` below a folder that all tasks reach; a repeated task writes the same files. Returns their number."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    return rows.select("path", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def inventory(files: DataFrame) -> DataFrame:
