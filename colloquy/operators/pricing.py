@@ -54,6 +54,14 @@ def cost_breakdown(costs: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("percent") >= 5, F.col("service")).otherwise(F.lit("")))
 
 
+def user_breakdown(costs: DataFrame) -> DataFrame:
+    """What each user's jobs cost by service, with the service's share of the user's total; small shares carry no label."""
+    sums = costs.groupBy("user_id").agg(F.count("*").alias("jobs"), *[F.sum(F.col(f"{s}_usd").cast("decimal(18,6)")).cast("double").alias(s) for s in ("tokens", "recogniser", "diariser")])
+    rows = sums.withColumn("_total", F.col("tokens") + F.col("recogniser") + F.col("diariser")).unpivot(["user_id", "jobs", "_total"], ["tokens", "recogniser", "diariser"], "service", "cost_usd").filter("cost_usd > 0")
+    rows = rows.withColumn("percent", round_half_up(100 * F.col("cost_usd") / F.col("_total"), 1)).drop("_total")
+    return rows.withColumn("label", F.when(F.col("percent") >= 5, F.col("service")).otherwise(F.lit("")))
+
+
 def pricing_history(prices: DataFrame) -> DataFrame:
     """Prices by model, newest first; the newest is flagged current even if it lies in the future."""
     n = F.row_number().over(W.partitionBy("model").orderBy(F.desc("effective_from"), F.desc("pricing_id")))

@@ -31,7 +31,7 @@ def clock(ms: Column) -> Column:
 
 def size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(fixed(n / 1024.0, 1), F.lit(" KB"))).when(n < 1024**3, F.concat(fixed(n / 1024.0**2, 1), F.lit(" MB"))).otherwise(F.concat(fixed(n / 1024.0**3, 1), F.lit(" GB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(fixed(n / 1024.0, 1), F.lit(" KB"))).when(n < 1024**3, F.concat(fixed(n / 1024.0**2, 1), F.lit(" MB"))).otherwise(F.concat(fixed(n / 1024.0**3, 2), F.lit(" GB")))
 
 
 def title_of(name: Column) -> Column:
@@ -39,6 +39,23 @@ def title_of(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^./]+$", "")
 
 
+def badge(status: Column) -> Column:
+    """How a transcript got its times, or a dash."""
+    return F.when(status == "aligned", "Aligned").when(status == "fallback", "Fallback").otherwise("-")
+
+
+def drift_label(ms: Column, ratio: Column) -> Column:
+    """The drift in percent with its sign; nothing where there is none."""
+    percent = fixed((ratio - 1) * 100, 1)
+    text = F.when(ratio > 1, F.concat(F.lit("+"), percent, F.lit("%"))).otherwise(F.concat(percent, F.lit("%")))
+    return F.when(F.coalesce(ms, F.lit(0)).cast("double") * F.coalesce(ratio, F.lit(0.0)) == 0, "").otherwise(text)
+
+
+def recording_labels(rows: DataFrame) -> DataFrame:
+    """In: bytes, file_name, alignment_status, drift_ms, drift_ratio."""
+    return rows.select("conversation_id", size(F.col("bytes")).alias("size"), title_of(F.col("file_name")).alias("title"), badge(F.col("alignment_status")).alias("badge"), drift_label(F.col("drift_ms"), F.col("drift_ratio")).alias("drift"))
+
+
 def job_report(jobs: DataFrame) -> DataFrame:
     return jobs.select(
         "conversation_id", "status", took(F.col("total_ms")).alias("took"), money(F.coalesce("compute_s", F.lit(0.0)) * 0.0023).alias("cost"), clock(F.col("duration_ms")).alias("length"),

@@ -166,6 +166,13 @@ def input_stats(segments: DataFrame, words: Column) -> DataFrame:
     return segments.groupBy("conversation_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(words).alias("words"), F.max_by("end_ms", "segment_index").alias("duration_ms"))
 
 
+def duration_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The length of each conversation by its segments before and after their times were changed, and the difference."""
+    end = lambda df, name: df.groupBy("conversation_id").agg(F.max_by("end_ms", "segment_index").alias(name))
+    j = end(before, "before_ms").join(end(after, "after_ms"), "conversation_id")
+    return j.select("conversation_id", "before_ms", "after_ms", (F.col("after_ms") - F.col("before_ms")).alias("difference_ms"))
+
+
 def drift_metrics(segments: DataFrame, conversations: DataFrame, ratio_of: str = "duration_ms") -> DataFrame:
     """How far the last segment's end lies from the recording's length, and whether to correct it."""
     s = segments.groupBy("conversation_id").agg(F.max_by("end_ms", "segment_index").alias("last_end"), F.count("*").alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("total"))
@@ -188,11 +195,14 @@ def drift_correction(segments: DataFrame, drift: DataFrame) -> DataFrame:
 STEP_PERCENT = {"pending": 0, "uploading": 15, "transcribing": 40, "analyzing": 60, "aligning": 85, "finalizing": 95, "complete": 100, "failed": 0}
 
 
+def step_percent(step: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for kv in STEP_PERCENT.items() for v in kv]), step).cast("long")
+
+
 def step_timeline(steps: DataFrame) -> DataFrame:
     """When each step ended and how long it took; the last stays open."""
     nxt = F.lead("started_at").over(W.partitionBy("conversation_id").orderBy("position"))
-    percent = F.create_map(*[F.lit(v) for kv in STEP_PERCENT.items() for v in kv])
-    return steps.select("conversation_id", "position", "step", nxt.alias("completed_at"), F.floor((F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000).cast("long").alias("duration_ms"), F.element_at(percent, F.col("step")).cast("long").alias("percent"))
+    return steps.select("conversation_id", "position", "step", nxt.alias("completed_at"), F.floor((F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000).cast("long").alias("duration_ms"), step_percent(F.col("step")).alias("percent"))
 
 
 def assemble(segments: DataFrame) -> DataFrame:

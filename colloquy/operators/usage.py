@@ -208,6 +208,13 @@ def usage_summary(windows: DataFrame) -> DataFrame:
     return windows.select("user_id", F.inline(F.array(part(7), part(30))))
 
 
+def token_millions(stats: DataFrame) -> DataFrame:
+    """Tokens in millions, to two decimals: in, out and both."""
+    million = lambda c: round_half_up(c / 1_000_000.0, 2)
+    a, b = F.col("input_tokens"), F.col("output_tokens")
+    return stats.select(million(a + b).alias("tokens_m"), million(a).alias("input_m"), million(b).alias("output_m"))
+
+
 def activity_union(lifecycle: DataFrame, processing: DataFrame) -> DataFrame:
     """One feed of both writers."""
     cols = ["event_id", "event_type", "user_id", "conversation_id", "timestamp"]

@@ -238,3 +238,33 @@ min("timestamp") AS first_activity_at, max("timestamp") AS last_activity_at FROM
 def usage_levels(spark, sf):
     """Users, days and all in one pass, as the nightly job needs them."""
     return usage.usage_levels(fx.user_events(spark, sf)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("billing_breakdown", with_views("job_metric pricing", COSTS + f""", u AS (SELECT user_id, count(*) AS jobs, sum(tokens_usd::DECIMAL(18,6))::DOUBLE AS t, sum(recogniser_usd::DECIMAL(18,6))::DOUBLE AS r, sum(diariser_usd::DECIMAL(18,6))::DOUBLE AS d FROM cost GROUP BY user_id),
+v AS (SELECT user_id, jobs, 'tokens' AS service, t AS cost_usd, t + r + d AS total FROM u UNION ALL SELECT user_id, jobs, 'recogniser', r, t + r + d FROM u UNION ALL SELECT user_id, jobs, 'diariser', d, t + r + d FROM u),
+w AS (SELECT user_id, jobs, service, cost_usd, {_R("100 * cost_usd / total", 1)} AS percent FROM v WHERE cost_usd > 0) SELECT *, CASE WHEN percent >= 5 THEN service ELSE '' END AS label FROM w"""))
+def billing_breakdown(spark, sf):
+    """From the price of each job's time to each user's bill by service."""
+    return pricing.user_breakdown(job_cost(spark, sf))
+
+
+@query("token_summary", with_views("job_metric", f"""SELECT {_R("(i + o) / 1000000.0::DOUBLE", 2)} AS tokens_m, {_R("i / 1000000.0::DOUBLE", 2)} AS input_m, {_R("o / 1000000.0::DOUBLE", 2)} AS output_m
+FROM (SELECT sum(coalesce(analysis_in, 0) + coalesce(correction_in, 0)) AS i, sum(coalesce(analysis_out, 0) + coalesce(correction_out, 0)) AS o FROM job_metric)"""))
+def token_summary(spark, sf):
+    """Tokens of all jobs, in millions."""
+    return usage.token_millions(usage.global_stats(fx.user_events(spark, sf).limit(0).transform(usage.user_lifetime), fx.job_metrics(spark, sf), AS_OF, None))
+
+
+_BYTES = "CASE conversation_id % 4 WHEN 0 THEN duration_ms % 1024 WHEN 1 THEN duration_ms WHEN 2 THEN duration_ms * 100 ELSE duration_ms * 3000 END"
+
+
+@query("recording_labels", with_views("conversation", f"""SELECT conversation_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', {_R("b / 1024.0::DOUBLE", 1)}) || ' KB' WHEN b < 1073741824 THEN printf('%.1f', {_R("b / 1048576.0::DOUBLE", 1)}) || ' MB' ELSE printf('%.2f', {_R("b / 1073741824.0::DOUBLE", 2)}) || ' GB' END AS size,
+regexp_replace(title, '\\.[^./]+$', '') AS title, CASE status WHEN 'complete' THEN 'Aligned' WHEN 'needs_review' THEN 'Fallback' ELSE '-' END AS badge,
+CASE WHEN conversation_id % 3 = 0 THEN '' ELSE CASE WHEN r > 1 THEN '+' ELSE '' END || printf('%.1f', {_R("(r - 1) * 100", 1)}) || '%' END AS drift
+FROM (SELECT *, {_BYTES} AS b, (90 + conversation_id % 21) / 100.0::DOUBLE AS r FROM conversation)"""))
+def recording_labels(spark, sf):
+    """Size, title, badge and drift as lists of recordings show them."""
+    c = F.col("conversation_id")
+    status = F.when(F.col("status") == "complete", "aligned").when(F.col("status") == "needs_review", "fallback")
+    rows = fx.conversations(spark, sf).select("conversation_id", F.expr(_BYTES).alias("bytes"), F.col("title").alias("file_name"), status.alias("alignment_status"), (c % 3).alias("drift_ms"), ((90 + c % 21) / 100.0).alias("drift_ratio"))
+    return reports.recording_labels(rows)

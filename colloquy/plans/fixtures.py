@@ -21,7 +21,7 @@ PRICES = [
     ("pr5", "recogniser", "time", None, None, 0.0030, "2024-01-20", None),
 ]
 TERMS = [("t_that", "that", ["this"]), ("t_with", "with", ["from"]), ("t_tion", "tion", []), ("t_plus", "C++", [""])]
-PEOPLE = [("p_0", "The the"), ("p_1", "The and"), ("p_2", "That andingntou"), ("p_3", "Zoe")]
+PEOPLE = [("p_0", "The the", "North Hall"), ("p_1", "The and", None), ("p_2", "That andingntou", "Harbour"), ("p_3", "Zoe", "The north")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PEOPLE)], "ordinal int, person_id string, name string")
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PEOPLE)], "ordinal int, person_id string, name string, affiliation string")
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ SQL: dict[str, str] = {
     "pricing": f"""SELECT pricing_id, model, service, input_price::DOUBLE AS input_price, output_price::DOUBLE AS output_price, second_price::DOUBLE AS second_price, effective_from::TIMESTAMP AS effective_from, effective_until::TIMESTAMP AS effective_until
         FROM (VALUES {_values(PRICES)}) t(pricing_id, model, service, input_price, output_price, second_price, effective_from, effective_until)""",
     "term": f"SELECT * FROM (VALUES {_values([(i, *t) for i, t in enumerate(TERMS)])}) t(ordinal, term_id, display, aliases)",
-    "person": f"SELECT * FROM (VALUES {_values([(i, *p) for i, p in enumerate(PEOPLE)])}) t(ordinal, person_id, name)",
+    "person": f"SELECT * FROM (VALUES {_values([(i, *p) for i, p in enumerate(PEOPLE)])}) t(ordinal, person_id, name, affiliation)",
     "topic": """SELECT conversation_id, t.* FROM (SELECT DISTINCT conv_id AS conversation_id FROM conversations),
         (VALUES (0, 'top_0', 0, 1, 'main'), (1, 'top_1', 2, 4, 'main'), (2, 'top_2', 2, 3, 'tangent')) t(ordinal, topic_id, start_index, end_index, type)""",
     "snapshot_a": "SELECT conversation_id, user_id, title, status FROM conversation WHERE conversation_id % 10 <> 0",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import usage
+from ..operators.segments import step_percent
 from ..sources import ingest, snapshots
 from ..sources.shared import fresh_path
 from ..streaming import jobs
@@ -48,19 +49,23 @@ def latest_snapshot(spark, sf):
 
 
 def _progress(spark, rows):
+    """The latest step of each conversation with its percent, and the error that a failed one gives."""
     sink = fresh_path(spark, "progress")
-    stream = jobs.latest_by(jobs.read_events(spark, _source(spark, rows), rows.schema), "conversation_id", ["position"], ["step", "position"])
+    rows = rows.withColumn("error", F.when(F.col("step") == "failed", F.concat(F.lit("failed at step "), F.col("position").cast("string"))))
+    steps = jobs.read_events(spark, _source(spark, rows), rows.schema).withColumn("percent", step_percent(F.col("step")))
+    stream = jobs.latest_by(steps, "conversation_id", ["position"], ["step", "position", "percent", "error"])
     jobs.run(stream, jobs.to_folder(sink), fresh_path(spark, "offsets"), "update")
-    return jobs.latest(spark.read.parquet(sink), "conversation_id").select("conversation_id", "step", F.col("position").cast("long").alias("position"))
+    return jobs.latest(spark.read.parquet(sink), "conversation_id").select("conversation_id", "step", F.col("position").cast("long").alias("position"), "percent", "error")
 
 
-@query("progress_stream", with_views("progress_event", "SELECT conversation_id, arg_max(step, position) AS step, max(position) AS position FROM progress_event GROUP BY 1"))
-def progress_stream(spark, sf):
-    return _progress(spark, fx.steps(spark, sf))
+_PROGRESS = """SELECT *, CASE step WHEN 'uploading' THEN 15 WHEN 'transcribing' THEN 40 WHEN 'analyzing' THEN 60 WHEN 'aligning' THEN 85 WHEN 'finalizing' THEN 95 WHEN 'complete' THEN 100 ELSE 0 END AS percent,
+CASE WHEN step = 'failed' THEN 'failed at step ' || position END AS error FROM (SELECT conversation_id, arg_max(step, position) AS step, max(position) AS position FROM {} GROUP BY 1)"""
 
 
-@query("progress_stream_all", with_views("progress_event_all", "SELECT conversation_id, arg_max(step, position) AS step, max(position) AS position FROM progress_event_all GROUP BY 1"))
-def progress_stream_all(spark, sf):
+@query("progress_stream", with_views("progress_event", _PROGRESS.format("progress_event")))
+@query("progress_stream_all", with_views("progress_event_all", _PROGRESS.format("progress_event_all")))
+def progress_stream(spark, sf):
+    """Every user's; the second name is an earlier round's for the same."""
     return _progress(spark, fx.steps(spark, sf))
 
 

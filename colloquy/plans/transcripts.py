@@ -310,21 +310,32 @@ def active_term_spans(spark, sf):
     return me.active_term_spans(highlight_spans(spark, sf), "t_that")
 
 
-@query("viewer_dataset", with_views("segment term person topic", BOTH + _SPANS + f", {NUMBERED} SELECT s.conversation_id, s.segment_index, coalesce(k.display_name, s.speaker_id) AS display_name, t.topic_id, coalesce(p.n, 0) AS n_parts FROM segment s LEFT JOIN spk k USING (conversation_id, speaker_id) LEFT JOIN (SELECT conversation_id, start_index AS segment_index, arg_min(topic_id, ordinal) AS topic_id FROM topic GROUP BY 1, 2) t USING ({_SEG}) LEFT JOIN (SELECT {_SEG}, count(*) AS n FROM parts GROUP BY ALL) p USING ({_SEG})"))
+@query("viewer_dataset", with_views("segment term person topic", BOTH + _SPANS + f", {NUMBERED} SELECT s.conversation_id, s.segment_index, coalesce(k.display_name, s.speaker_id) AS display_name, coalesce(k.color_index, 0) AS color_index, t.topic_id, t.topic_type, coalesce(p.n, 0) AS n_parts, coalesce(p.parts, '') AS parts FROM segment s LEFT JOIN spk k USING (conversation_id, speaker_id) LEFT JOIN (SELECT conversation_id, start_index AS segment_index, arg_min(topic_id, ordinal) AS topic_id, arg_min(type, ordinal) AS topic_type FROM topic GROUP BY 1, 2) t USING ({_SEG}) LEFT JOIN (SELECT {_SEG}, count(*) AS n, string_agg(start || '-' || \"end\" || ':' || coalesce(id, kind), ' ' ORDER BY start) AS parts FROM parts GROUP BY ALL) p USING ({_SEG})"))
 def viewer_dataset(spark, sf):
     """All that a reader's page shows of a segment."""
     s, key = _seg(spark, sf), ["conversation_id", "segment_index"]
-    parts = highlight_spans(spark, sf).groupBy(*key).agg(F.count("*").alias("n_parts"))
-    named = se.segment_speaker(s, se.speaker_numbering(s)).select(*key, "display_name")
-    return named.join(se.topic_markers(s, fx.topics(spark, sf)), key, "left").join(parts, key, "left").na.fill(0, ["n_parts"])
+    shown = F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(":"), F.coalesce("id", "kind"))
+    parts = highlight_spans(spark, sf).groupBy(*key).agg(F.count("*").alias("n_parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", shown.alias("p")))), lambda x: x["p"]), " ").alias("parts"))
+    named = se.segment_speaker(s, se.speaker_numbering(s)).select(*key, "display_name", "color_index")
+    topics = fx.topics(spark, sf)
+    marked = se.topic_markers(s, topics).join(topics.select("conversation_id", "topic_id", F.col("type").alias("topic_type")), ["conversation_id", "topic_id"], "left")
+    return named.join(marked, key, "left").join(parts, key, "left").na.fill(0, ["n_parts"]).na.fill("", ["parts"])
 
 
-@query("context_search", with_views("segment term person", BOTH + " SELECT DISTINCT conversation_id, term_id AS id FROM occ JOIN term USING (term_id) WHERE contains(lower(display), 'th') OR len(list_filter(aliases, lambda a: contains(lower(a), 'th'))) > 0 UNION ALL SELECT DISTINCT conversation_id, person_id FROM men JOIN person USING (person_id) WHERE contains(lower(name), 'th')"))
+_ASKED = "SELECT DISTINCT conversation_id, '{0}' AS asked, term_id AS id FROM occ JOIN term USING (term_id) WHERE contains(lower(display), '{0}') OR len(list_filter(aliases, lambda a: contains(lower(a), '{0}'))) > 0 UNION ALL SELECT DISTINCT conversation_id, '{0}', person_id FROM men JOIN person USING (person_id) WHERE contains(lower(name), '{0}') OR coalesce(contains(lower(affiliation), '{0}'), false)"
+
+
+@query("context_search", with_views("segment term person", BOTH + " " + " UNION ALL ".join(_ASKED.format(q) for q in ("th", "north"))))
 def context_search(spark, sf):
-    """The terms and people of each conversation that the search text finds."""
+    """The terms and people of each conversation that the search texts find, people by name or affiliation."""
     own = lambda rows, entries, key: rows.select("conversation_id", key).distinct().join(entries, key)
-    t = me.context_search(own(_occ(spark, sf), fx.terms(spark, sf), "term_id"), "th", ["display"], ["aliases"]).select("conversation_id", F.col("term_id").alias("id"))
-    return t.union(me.context_search(own(_men(spark, sf), fx.people(spark, sf), "person_id"), "th", ["name"], []).select("conversation_id", "person_id"))
+    terms, people = own(_occ(spark, sf), fx.terms(spark, sf), "term_id"), own(_men(spark, sf), fx.people(spark, sf), "person_id")
+
+    def found(q):
+        t = me.context_search(terms, q, ["display"], ["aliases"]).select("conversation_id", F.lit(q).alias("asked"), F.col("term_id").alias("id"))
+        return t.union(me.context_search(people, q, ["name", "affiliation"], []).select("conversation_id", F.lit(q), "person_id"))
+
+    return found("th").union(found("north"))
 
 
 # text functions
@@ -492,6 +503,12 @@ def proportional_interpolation(spark, sf):
     return al.proportional_interpolation(r.withColumns({"region_start": 150 * F.col("from_word"), "region_end": 150 * F.col("to_word")}))
 
 
+@query("alignment_durations", with_views("segment", f", {_TIMED} SELECT conversation_id, b AS before_ms, a AS after_ms, a - b AS difference_ms FROM (SELECT conversation_id, arg_max(end_ms, segment_index) AS b FROM segment GROUP BY 1) JOIN (SELECT conversation_id, arg_max(end_ms, segment_index) AS a FROM tm GROUP BY 1) USING (conversation_id)"))
+def alignment_durations(spark, sf):
+    """The length of each conversation before and after its times were changed."""
+    return se.duration_difference(_seg(spark, sf), _timed(spark, sf))
+
+
 @query("realign_zip", with_views("segment", f", {_TIMED} SELECT s.conversation_id, s.segment_index, s.speaker_id, t.start_ms, t.end_ms, 'aligned' AS alignment_status, (avg(t.confidence::DECIMAL(18,6)) OVER (PARTITION BY s.conversation_id))::DOUBLE < 0.55 AS low_confidence, arg_max(t.end_ms, s.segment_index) OVER (PARTITION BY s.conversation_id) AS duration_ms FROM segment s JOIN tm t USING ({_SEG})"))
 def realign_zip(spark, sf):
     return se.realign(_seg(spark, sf), _timed(spark, sf))
