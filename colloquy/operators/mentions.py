@@ -31,24 +31,37 @@ def _phrase_keys(phrase: Column) -> Column:
     return F.array(key, F.lit("any phrase"))
 
 
-def _candidates(segments: DataFrame, phrases: DataFrame, phrase: str, ident: str) -> DataFrame:
+#: A dictionary of no more keys than this goes to the texts; a larger one meets them in a shuffle.
+SMALL = 2000
+
+
+def _candidates(segments: DataFrame, phrases: DataFrame, phrase: str, ident: str, small: int = SMALL) -> DataFrame:
     """Segments beside each entry of which a phrase may stand in them, met by equal keys.
 
-    Only ids and tokens are exploded; the pairs then meet the texts once.
+    The keys of a small dictionary are tested in each text's own row, so neither texts nor tokens are shuffled.
+    Else only ids and tokens are exploded; the pairs then meet the texts once.
     """
     keys = phrases.select(ident, F.explode(_phrase_keys(F.col(phrase))).alias("_key")).distinct()
+    s = segments.select("conversation_id", "segment_index", "text")
+    known = keys.groupBy("_key").agg(F.array_sort(F.collect_set(ident)).alias("_ids")).limit(small + 1).collect()
+    if not known:
+        return s.withColumn(ident, F.lit(None).cast(phrases.schema[ident].dataType)).limit(0)
+    if len(known) <= small and sum(len(r["_ids"]) for r in known) <= small:
+        by_key = F.map_from_entries(F.array(*[F.struct(F.lit(r["_key"]), F.lit(r["_ids"])) for r in known]))
+        here = F.filter(_text_keys(F.col("text")), lambda k: F.array_contains(F.lit([r["_key"] for r in known]), k))
+        ids = F.array_distinct(F.flatten(F.transform(here, lambda k: F.element_at(by_key, k))))
+        return s.withColumn(ident, F.explode(ids))
     said = segments.select(F.col("conversation_id").alias("_c"), F.col("segment_index").alias("_i"), F.explode(_text_keys(F.col("text"))).alias("_key"))
     pairs = said.join(keys, "_key").select("_c", "_i", ident).distinct()
-    s = segments.select("conversation_id", "segment_index", "text")
     return s.join(pairs, s["conversation_id"].eqNullSafe(pairs["_c"]) & s["segment_index"].eqNullSafe(pairs["_i"])).drop("_c", "_i")
 
 
-def term_occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
+def term_occurrences(segments: DataFrame, terms: DataFrame, small: int = SMALL) -> DataFrame:
     """Every whole-word match of a term or alias in every segment, numbered through each conversation."""
     names = F.concat(F.array("display"), "aliases")
     t = terms.select("ordinal", "term_id", whole_word(names).alias("_pattern"), names.alias("_names"))
     phrases = t.select("ordinal", F.explode("_names").alias("_phrase")).filter("_phrase <> ''")
-    near = _candidates(segments, phrases, "_phrase", "ordinal").join(t.drop("_names"), "ordinal")
+    near = _candidates(segments, phrases, "_phrase", "ordinal", small).join(t.drop("_names"), "ordinal")
     found = near.select("conversation_id", "segment_index", "ordinal", "term_id", F.inline(matches(F.col("text"), F.col("_pattern"))))
     n = F.row_number().over(W.partitionBy("conversation_id").orderBy("segment_index", "ordinal", "start")) - 1
     return found.select("conversation_id", F.concat(F.lit("occ_"), n.cast("string")).alias("occurrence_id"), "segment_index", "term_id", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"))

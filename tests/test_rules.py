@@ -85,7 +85,9 @@ def test_terms_meet_texts_by_keys(spark):
     names = ["kit", "C++", "sus", "x", "caf\u00e9", "caf", "\u65e5\u672c", "--", "d.e", "b_c", "the kit", "\u00e9"]
     rows = spark.createDataFrame([("c", i, t) for i, t in enumerate(said)], "conversation_id string, segment_index int, text string")
     terms = spark.createDataFrame([(i, f"t{i}", n, ["", "zz"]) for i, n in enumerate(names)], "ordinal int, term_id string, display string, aliases array<string>")
-    got = {(r["segment_index"], r["term_id"], r["start_char"], r["end_char"]) for r in mentions.term_occurrences(rows, terms).collect()}
+    found = [{(r["segment_index"], r["term_id"], r["start_char"], r["end_char"]) for r in mentions.term_occurrences(rows, terms, small).collect()} for small in (2000, 0)]
+    got = found[0]
+    assert found[0] == found[1]
     every = rows.crossJoin(terms.select("term_id", text.whole_word(F.array("display")).alias("p")))
     want = {tuple(r) for r in every.select("segment_index", "term_id", F.inline(text.matches(F.col("text"), F.col("p")))).collect()}
     assert got == want and len(want) > 8
