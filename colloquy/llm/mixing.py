@@ -6,8 +6,9 @@ target is e whole passes and a rest takes every document e times, and of one mor
 hash-random order up to the rest, the last one cut at the exact word.
 
 Nulls: a null text has no words and a null source is a source of its own. Empty table: no rows. Ties and
-repeated rows: order by key, id, words; rows that tie in all three are interchangeable. Other columns
-are ignored by :func:`mix` and carried along by :func:`apply_mix`.
+repeated rows: order by key, id, words; rows that tie in all three are interchangeable. Texts of any length
+are counted whole. Rows without an id, or that share one, are rows of their own in the order of the one key
+that their id gives. Other columns are ignored by :func:`mix` and carried along by :func:`apply_mix`.
 """
 
 from __future__ import annotations

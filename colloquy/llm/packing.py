@@ -7,8 +7,9 @@ as runs of bin numbers, and a step puts a run of equal pieces into a run of equa
 their planned places by joining on their rank within their length.
 
 Nulls: a null text is empty; an empty text is its end id alone. Repeated rows are separate pieces; ties
-in rank are broken by hash, id, piece and CRC, beyond which rows are alike. Empty table: no rows. Other
-columns are ignored.
+in rank are broken by hash, id, piece and CRC, beyond which rows are alike. Rows without an id, or that share
+one, are documents of their own. Texts of any length are encoded whole. Empty table: no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations

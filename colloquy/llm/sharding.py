@@ -11,7 +11,9 @@ base tree's size and above; below it the tree is cut off at the shard count, and
 rack that is not full can move rows within that rack too.
 
 Nulls: a null doc_id hashes as a key of its own; a null text has no bytes and the CRC of none. Repeated
-rows land on one shard and get different slots. Empty table: no rows.
+rows land on one shard and get different slots, as do texts of one id; which of them gets which is of no
+matter where they are alike. Texts of any length are read whole. Other columns, whatever their names, are
+ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
