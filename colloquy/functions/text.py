@@ -48,6 +48,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+#: The weights of the five measures of a span's likeness.
+TOKENS, SORTED, INSIDE, WHOLE, GRAMS = 0.30, 0.25, 0.20, 0.15, 0.10
+
+
 def with_span_score(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds the likeness of two columns of normal texts in [0, 1]: five measures, weighted; an empty side gives 0.
 
@@ -59,7 +63,7 @@ def with_span_score(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     dice = F.coalesce(2.0 * F.col("_words") / F.nullif(F.size("_da") + F.size("_db"), F.lit(0)), F.lit(0.0))
     inside = F.coalesce(F.col("_both") / F.nullif(F.least(F.size("_ga"), F.size("_gb")), F.lit(0)).cast("double"), F.lit(0.0))
     shared = F.coalesce(F.col("_both") / F.nullif(F.col("_all"), F.lit(0)).cast("double"), F.lit(1.0))
-    score = 0.30 * dice + 0.25 * edit_ratio(F.col("_sa"), F.col("_sb")) + 0.20 * inside + 0.15 * edit_ratio(F.col(a), F.col(b)) + 0.10 * shared
+    score = TOKENS * dice + SORTED * edit_ratio(F.col("_sa"), F.col("_sb")) + INSIDE * inside + WHOLE * edit_ratio(F.col(a), F.col(b)) + GRAMS * shared
     out = steps.withColumn(name, F.when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(score))
     return out.drop("_ta", "_tb", "_ga", "_gb", "_da", "_db", "_sa", "_sb", "_both", "_all", "_words")
 

@@ -285,7 +285,7 @@ def anchor_stats(rows: DataFrame) -> DataFrame:
 
 
 def region_bands(hints: DataFrame, anchors: DataFrame, total: DataFrame) -> DataFrame:
-    """Where segments between anchors are looked for: 3n + 50 words to either side of the place that their share of the region's words gives, within the region."""
+    """Where segments between anchors are looked for: a band of 3n + 60 words about the place that their share of the region's words gives, within the region."""
     a = anchors.select("conversation_id", "segment_index", F.col("start").alias("word_start"), (F.col("start") + F.col("size")).alias("word_end"))
     h = hints.join(a, ["conversation_id", "segment_index"], "left").join(total, "conversation_id").withColumn("is_anchor", F.col("word_start").isNotNull())
     text = hints.select("conversation_id", "segment_index", "text", F.col("n_words").cast("long").alias("n_words"))
@@ -294,7 +294,7 @@ def region_bands(hints: DataFrame, anchors: DataFrame, total: DataFrame) -> Data
     by = whole.orderBy("segment_index").rowsBetween(W.unboundedPreceding, -1)
     share = F.coalesce(F.sum("n_words").over(by), F.lit(0)) / F.greatest(F.sum("n_words").over(whole), F.lit(1)).cast("double")
     place = F.col("from_word") + F.floor(share * (F.col("to_word") - F.col("from_word"))).cast("long")
-    margin = 3 * F.col("n_words") + 50
+    margin = (F.floor(1.5 * F.col("n_words")) + 30).cast("long")
     r = r.withColumn("_at", place)
     return r.withColumns({"first": F.greatest("from_word", F.col("_at") - margin), "last": F.least(F.col("to_word") - 1, F.col("_at") + margin), "stop": F.col("to_word")}).drop("_at")
 
@@ -330,3 +330,9 @@ def aligned_transcripts(hints: DataFrame, words: DataFrame) -> DataFrame:
     rows = hit.unionByName(filled).join(hints.select("conversation_id", "segment_index", F.col("n_words").cast("long").alias("n_words")), ["conversation_id", "segment_index"])
     fixed = overlap_clip(monotonic_repair(rows)).join(total.select("conversation_id", ms(F.col("audio_s")).alias("audio_ms")), "conversation_id")
     return alignment_status(hints, overflow_scale(fixed))
+
+
+def aligned_quality(aligned: DataFrame) -> DataFrame:
+    """Quality of aligned rows by conversation, method and region; a region begins with each match."""
+    region = F.sum(F.col("method").startswith("match").cast("long")).over(_conv())
+    return quality_levels(aligned.withColumn("region_id", region))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normal
+from ..functions.text import GRAMS, INSIDE, SORTED, TOKENS, WHOLE, normal
 
 #: Words in a block; starts in a piece of a band.
 BLOCK, PIECE = 128, 2048
@@ -168,14 +168,14 @@ class Search:
         self.least_sorted = np.minimum(longest, np.maximum(self.bag, (self.lost + 1) // 2))
         self.least_plain = np.minimum(longest, np.maximum(self.bag, (np.maximum(self.x, self.y) - self.both + 2) // 3))
         self.longest = longest
-        self.known = 0.30 * self.dice + 0.20 * self.inside + 0.10 * self.shared
+        self.known = TOKENS * self.dice + INSIDE * self.inside + GRAMS * self.shared
         self.places, self.sorted_places = masks(wanted), masks(" ".join(sorted(mine)))
         self.scores: dict[int, float] = {}
         self.plain: dict[int, int] = {}
         self._bound()
 
     def _bound(self) -> None:
-        self.bound = np.where(self.empty, 0.0, self.known + 0.25 * (1 - self.least_sorted / self.longest) + 0.15 * (1 - self.least_plain / self.longest))
+        self.bound = np.where(self.empty, 0.0, self.known + SORTED * (1 - self.least_sorted / self.longest) + WHOLE * (1 - self.least_plain / self.longest))
 
     def _learn(self, k: int, distance: int, least: np.ndarray) -> None:
         """Other windows are nearer to the text by no more than what they do not share with window ``k``."""
@@ -205,7 +205,7 @@ class Search:
         a = edits(self.sorted_places, m, " ".join(sorted(said.split(" "))), [len(said)])[0]
         self._learn(k, a, self.least_sorted)
         self._bound()
-        value = 0.30 * float(self.dice[k]) + 0.25 * (1 - a / float(longest)) + 0.20 * float(self.inside[k]) + 0.15 * (1 - b / float(longest)) + 0.10 * float(self.shared[k])
+        value = TOKENS * float(self.dice[k]) + SORTED * (1 - a / float(longest)) + INSIDE * float(self.inside[k]) + WHOLE * (1 - b / float(longest)) + GRAMS * float(self.shared[k])
         self.scores[k] = math.floor(value * 10.0**PLACES + 0.5) / 10.0**PLACES
         return self.scores[k]
 

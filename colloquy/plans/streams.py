@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import usage
+from ..operators.nightly import nightly
 from ..operators.segments import step_percent
 from ..sources import ingest, snapshots
 from ..sources.shared import fresh_path
@@ -178,3 +179,16 @@ def versioned_upsert(spark, sf):
     snapshots.write(spark, root, b, "conversation_id", at="updated_at")
     rows = snapshots.read(spark, root, "conversation_id long, user_id long, title string, status string, updated_at timestamp")
     return rows.select("conversation_id", "user_id", "title", "status", (F.col("updated_at") > F.lit(first)).alias("changed"))
+
+
+@query("nightly_rollup", with_views("user_event job_metric", an.LIFETIME + an.ROLLING.replace("e AS (", "e1 AS (").replace("FROM e LEFT JOIN j ", "FROM e1 LEFT JOIN j1 ").replace("\nj AS (", "\nj1 AS (").replace("SELECT e.*, ", "SELECT e1.*, ").replace("coalesce(j.", "coalesce(j1.") + an.DAILY + """ SELECT 'user' AS kind, user_id::VARCHAR AS key, life.created, life.succeeded::DOUBLE AS succeeded, roll.cost_usd_30d AS cost_usd FROM life JOIN roll USING (user_id)
+UNION ALL SELECT 'day', date, created, succeeded, cost_usd FROM daily UNION ALL SELECT 'all', 'all', sum(created)::BIGINT, NULL, NULL FROM life"""))
+def nightly_rollup(spark, sf):
+    """The whole job, run twice over the same log, and what its tables then hold."""
+    root = fresh_path(spark, "nightly")
+    for _ in range(2):
+        nightly(fx.user_events(spark, sf), fx.job_metrics(spark, sf), fx.AS_OF, root)
+    users = snapshots.read(spark, f"{root}/users", "user_id long, created long, succeeded long, cost_usd_30d double").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("key"), "created", F.col("succeeded").cast("double").alias("succeeded"), F.col("cost_usd_30d").alias("cost_usd"))
+    days = spark.read.parquet(f"{root}/daily").select(F.lit("day"), F.date_format("date", "yyyy-MM-dd"), "created", F.col("succeeded").cast("double"), "cost_usd")
+    whole = snapshots.read(spark, f"{root}/global", "id string, created long").select(F.lit("all"), "id", "created", F.lit(None).cast("double"), F.lit(None).cast("double"))
+    return users.union(days).union(whole)

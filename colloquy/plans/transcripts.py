@@ -604,6 +604,12 @@ def align_transcripts(spark, sf):
     return al.aligned_transcripts(hints(spark, sf), fx.words(spark, sf))
 
 
+@query("alignment_report")
+def alignment_report(spark, sf):
+    """The alignment judged by conversation, region and method: the end of the chain."""
+    return al.aligned_quality(al.aligned_transcripts(hints(spark, sf), fx.words(spark, sf)))
+
+
 @query("transcript_pipeline", with_views("segment correction term", REPAIR + f", {_REASSIGN}, {NUMBERED} SELECT r.conversation_id, r.segment_index, a.speaker_id, coalesce(k.display_name, a.speaker_id) AS display_name, r.start_ms, r.end_ms, r.text FROM repaired r JOIN rea a USING ({_SEG}) LEFT JOIN spk k ON k.conversation_id = r.conversation_id AND k.speaker_id = a.speaker_id"))
 def transcript_pipeline(spark, sf):
     """Repair, corrections and speaker names in one plan."""
