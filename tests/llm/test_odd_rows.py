@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, nearest, packing, quality, sharding, wordpieces
+from colloquy.llm import mixing, nearest, packing, pages, quality, sharding, wordpieces
 from colloquy.llm.queries import tokenizer_path
 
 LONG = "word " * 60_000
@@ -85,3 +85,11 @@ def test_empty_tables(odd, spark):
     for found in (quality.score(none), mixing.mix(none), wordpieces.token_counts(none, tokenizer_path()), sharding.shard_by_key(none), packing.pack(none, tokenizer_path())):
         assert found.count() == 0
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_quotes_in_tags():
+    """Quotes bind a value only where it begins with one."""
+    article = "<article><h1>Head</h1><p>First {} text.</p><p>The rest of it, long enough.</p></article>"
+    for inside in ("<a href=it's>link</a>", "<a title='a > b'>link</a>", '<a title="it\'s > b" href=x>link</a>', "<b it's>link</b>", "<a href = 'x'>link</a>", '<a href=a="b>link</a>', "<br class=>link"):
+        assert pages.extract(f"<html><body><nav>menu</nav>{article.format(inside)}</body></html>", None) == "Head First link text. The rest of it, long enough.", inside
+    assert pages.extract('<p>' + '<a href="' * 2000, None) == ""
