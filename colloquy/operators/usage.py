@@ -16,14 +16,16 @@ CREATED, DELETED, COMPLETED, FAILED = "conversation_created", "conversation_dele
 HOT, SPLIT = 1000, 200_000
 
 
-def hot_ranges(events: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(user_id, bounds) of users with too many events for a task: times that cut them into ranges of like size.
+def hot_ranges(events: DataFrame, split: int = SPLIT) -> DataFrame | None:
+    """(user_id, bounds) of users with too many events for a task: times that cut them into ranges of like size. None: there are no such users.
 
     No more than HOT users can each have a HOT-th of all events, and their ranges are no more than twice as many.
     """
     counts = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.col("user_id").isNotNull(), F.col("n"))), F.lit(0))).first()
     most = max(total // HOT, split)
+    if top <= most:
+        return None
     k = F.ceil(F.col("n") / F.lit(float(most))).cast("int")
     hot = counts.filter((F.col("n") > most) & F.col("user_id").isNotNull()).withColumn("k", k)
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
@@ -41,8 +43,13 @@ def clamped_counter(events: DataFrame, split: int = SPLIT) -> DataFrame:
     sum and the least sum within it; those of earlier ranges, a few rows a user, give each range its start.
     """
     step = F.when(F.col("event_type") == CREATED, 1).when(F.col("event_type") == DELETED, -1).otherwise(0)
+    ranges = hot_ranges(events, split)
+    if ranges is None:
+        order = W.partitionBy("user_id").orderBy("timestamp", "event_id").rowsBetween(W.unboundedPreceding, 0)
+        s = events.withColumn("_s", F.sum(step).over(order))
+        return s.withColumn("existing", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(order))).cast("long")).drop("_s")
     bounds = fresh_path(events.sparkSession, "bounds")
-    hot_ranges(events, split).write.parquet(bounds)
+    ranges.write.parquet(bounds)
     hot = F.broadcast(events.sparkSession.read.parquet(bounds))
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     part = F.coalesce(F.size(F.filter("bounds", lambda b: b < micros)), F.lit(0))
