@@ -306,6 +306,8 @@ def aligned_transcripts(hints: DataFrame, words: DataFrame) -> DataFrame:
     anchors that are out of order give way to the heaviest chain. What is still unmatched lies between its
     neighbours' words in proportion to its own.
     """
+    # both are read by every step of the chain
+    hints, words = _kept(hints, "hints"), _kept(words, "words")
     good, said = valid_words(words), blocks(words)
     total = words.groupBy("conversation_id").agg(F.count("*").alias("n_total"), F.max("end_s").alias("audio_s"))
     anchors = _kept(anchor_selection(anchor_spans(hints, words, said)), "chain")
