@@ -3,6 +3,10 @@
 The stages, in order: quality rules drop rejected documents, near-dedup keeps one of each group, personal
 data is masked, sources are mixed to their target weights, and the mixed documents are packed. Each takes
 and returns the columns of documents, but the last, which returns the pieces of the packed sequences.
+
+Nulls: a null text has no words, so quality rules drop it; rows without an id are documents of their own, and a null source is one
+more source. Repeated rows and near copies leave one row, the one of least id. Ties are settled as each operator says. Texts
+of any length go through whole. An empty table gives no rows. Columns beside those of documents are carried up to the packing.
 """
 
 from __future__ import annotations
