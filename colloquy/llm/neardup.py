@@ -14,7 +14,9 @@ may, to tell whether they are.
 3. Those who stand in lists are read again for the larger sketch. A list of up to a block's size is a task's
    small matrix product. A longer one is cut into blocks, each of which takes in the list's pivots, a few
    members drawn by hash; what the pivots join needs no further look. Only members outside the list's largest
-   component so far then meet all its blocks. The union-sketch estimate (exact where both sketches are whole
+   component so far then meet all its blocks, where they are no more than a block. Where they are more, the list's
+   members have a passage in common rather than being alike (a licence, a frame): they are listed anew by
+   their first 512 values, as in step 2, and meet in those lists. The union-sketch estimate (exact where both sketches are whole
    sets) drops pairs more than six standard deviations below the threshold: one linked pair in a thousand
    million. Of pairs that are sure to be linked a block gives a spanning forest; of those in doubt, all between
    different trees. So a group of copies gives about as many rows as it has members.
@@ -31,12 +33,11 @@ whatever their names, are ignored by :func:`components` and carried along by :fu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, keyed, partitions, stored, text_batches, with_group
@@ -45,6 +46,8 @@ from .shingles import Words, digests, portions
 #: The least Jaccard similarity of a link, in percent, unless the caller names another.
 SHINGLE, PERCENT = 5, 85
 SKETCH, LISTED, BLOCK = 4096, 48, 512
+#: Values that take the place of the LISTED where a long list's members are mostly not linked.
+WIDE = 512
 #: Members of a long list that all its blocks take in, about.
 PIVOTS = 16
 #: Standard deviations of an estimate that a pair may lie below (or must lie above) the threshold.
@@ -52,13 +55,12 @@ SIGMAS = 6
 EXACT, SURE, DOUBT = 0, 1, 2
 
 
-def _shared(n: int, percent: int = PERCENT) -> int:
-    """Values among the first LISTED of a set of n that any linked set retains among its own first."""
-    if n * 100 <= percent * LISTED:  # then the partner's sketch is its whole set
-        return -(-percent * n // 100)
-    k = min(n, LISTED)
-    p = percent / 100
-    return max(1, math.floor(k * p - SIGMAS * math.sqrt(k * p * (1 - p) * (1 - min(1.0, k / n) / 2))))
+def _shared(n: Column, percent: int = PERCENT, listed: int = LISTED) -> Column:
+    """Values among the first ``listed`` of a set of n that any linked set retains among its own first."""
+    p, k = percent / 100, F.least(n, F.lit(listed))
+    slack = SIGMAS * F.sqrt(k * F.lit(p * (1 - p)) * (1 - k / n / 2))
+    # of so small a set the partner's sketch is its whole set
+    return F.when(n * 100 <= percent * listed, F.ceil(n * percent / 100)).otherwise(F.greatest(F.lit(1), F.floor(k * F.lit(p) - slack))).cast("int")
 
 
 def _sets(column: pa.Array, low: np.ndarray | None = None) -> list[np.ndarray]:
@@ -245,15 +247,21 @@ def merged(links: DataFrame) -> DataFrame:
         label = new
 
 
-def _lists(reps: DataFrame, percent: int) -> DataFrame:
+def _first_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, low) of sketches, with their first WIDE values."""
+    for b in batches:
+        low = [np.frombuffer(s, np.int64)[:WIDE] for s in b.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_shingles"), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "low"])
+
+
+def _lists(reps: DataFrame, percent: int, values: int = LISTED) -> DataFrame:
     """(list, doc_id, members) of classes that may have a partner; lists of two or more, each set of members once."""
     rows = reps.select("doc_id", F.explode("low").alias("value"))
     common = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     held = rows.join(common, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     held = held.join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
     # of the first places, those of values that no other class retains come first and need no list
-    need = F.element_at(F.array(*[F.lit(_shared(k, percent)) for k in range(1, 1024)]), F.least("n", F.lit(1023)).cast("int"))
-    size = F.least("n", F.lit(LISTED))
+    need, size = _shared(F.col("n"), percent, values), F.least("n", F.lit(values))
     room = (size - need + 1) - (size - F.size("v"))
     listed = held.withColumn("room", room.cast("int")).filter("room > 0").select("doc_id", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("e")).select("doc_id", F.col("e.value").alias("list"))
     listed = stored(listed, "listed")
@@ -287,6 +295,60 @@ def _pairs_of(docs: DataFrame, sketched: DataFrame, rows: DataFrame, percent: in
     return stored(links, "links")
 
 
+def _blocks_of(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+
+
+def _drawn(salt: int, n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+
+
+def _mains(known: DataFrame) -> DataFrame:
+    """(_l, _main, _n, _rest) of the lists of (list, doc_id, root) with members outside their largest component."""
+    parts = known.groupBy("list", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    return stored(main.select("_l", F.col("m.root").alias("_main"), F.col("m.n").alias("_n"), (F.col("all") - F.col("m.n")).alias("_rest")).filter("_rest > 0"), "main")
+
+
+def _of_lists(known: DataFrame, main: DataFrame) -> DataFrame:
+    """``known`` of these lists, each row with its list's _main, _n and _rest."""
+    return with_group(known, main.select(F.col("_l").alias("list"), "_main", "_n", "_rest"), ["list"], "_n", known.count())
+
+
+def _meeting(found: DataFrame) -> DataFrame:
+    """Rows for :func:`_pairs_of`: members outside the main component meet all of the list."""
+    outside = F.col("root") != F.col("_main")
+    of_rest, of_main = _blocks_of(F.col("_rest")), _blocks_of(F.col("_n"))
+    own = F.when(outside, _drawn(8, of_rest)).otherwise(of_rest + _drawn(9, of_main))
+    others = F.when(outside, F.sequence(F.lit(0), of_rest + of_main - 1)).otherwise(F.sequence(F.lit(0), of_rest - 1))
+    rows = found.select("list", "doc_id", own.alias("own"), F.explode(others).alias("o"))
+    return rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+
+def remaining(sketched: DataFrame, long: DataFrame, joined: DataFrame, percent: int) -> DataFrame | None:
+    """The rows that long lists still have to compare, once ``joined`` tells what their pivots and blocks joined.
+
+    Where the rest outside the main component is more than a block, its members share a passage rather than
+    being alike. All members of such lists are then listed anew by their first WIDE values, so that those with
+    a quarter of a text of their own end here, and others meet who may be alike instead of the whole list.
+    """
+    root = joined.select("node", "root")
+    rooted = lambda lists: stored(lists.join(root, F.col("doc_id") == F.col("node"), "left").select("list", "doc_id", F.coalesce("root", "doc_id").alias("root")), "known")
+    known = rooted(long)
+    main = _mains(known)
+    if main.isEmpty():
+        return None
+    few = main.filter(F.col("_rest") <= BLOCK)
+    rows = _meeting(_of_lists(known, few))
+    many = main.filter(F.col("_rest") > BLOCK)
+    if many.isEmpty():
+        return rows
+    members = stored(_of_lists(known, many).select(F.col("doc_id").alias("_m")).distinct(), "shared-passages")
+    first = sketched.join(members, F.col("_id") == F.col("_m"), "left_semi").mapInArrow(_first_values, "doc_id long, n_shingles long, low array<long>")
+    anew = rooted(_lists(stored(first, "first-values"), percent, WIDE))
+    return rows.unionByName(_meeting(_of_lists(anew, _mains(anew))))
+
+
 def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (x, y) that join the linked classes."""
     later = copies.select(F.col("doc_id").alias("_id"))
@@ -295,32 +357,16 @@ def links(docs: DataFrame, sketches: DataFrame, copies: DataFrame, percent: int)
     used = stored(lists.select(F.col("doc_id").alias("_u")).distinct(), "used")
     sketched = docs.join(used, F.col("doc_id") == F.col("_u"), "left_semi").mapInArrow(_full(SKETCH), "_id long, n_shingles long, sketch binary")
     sketched = stored(sketched, "sketched")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
-    drawn = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
-    block = blocks(F.col("members"))
-    rows = lists.select("list", "doc_id", drawn(5, block).alias("own"))
+    block = _blocks_of(F.col("members"))
+    rows = lists.select("list", "doc_id", _drawn(5, block).alias("own"))
     long = lists.filter(F.col("members") > BLOCK)
-    pivots = long.filter(drawn(6, F.ceil(F.col("members") / F.lit(PIVOTS))) == 0).select("list", "doc_id", F.explode(F.sequence(F.lit(0), block - 1)).alias("own"))
+    pivots = long.filter(_drawn(6, F.ceil(F.col("members") / F.lit(PIVOTS))) == 0).select("list", "doc_id", F.explode(F.sequence(F.lit(0), block - 1)).alias("own"))
     rows = rows.unionByName(pivots).select("list", "doc_id", "own", F.col("own").alias("i"), F.col("own").alias("j"))
     first = _pairs_of(docs, sketched, rows, percent)
     if long.isEmpty():
         return first
-    joined = merged(first)
-    known = stored(long.join(joined, F.col("doc_id") == F.col("node"), "left").select("list", "doc_id", "members", F.coalesce("root", "doc_id").alias("root")), "known")
-    parts = known.groupBy("list", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("_l", F.col("m.root").alias("_main"), F.col("m.n").alias("_n"), (F.col("all") - F.col("m.n")).alias("_rest")).filter("_rest > 0")
-    main = stored(main, "main")
-    if main.isEmpty():
-        return first
-    n_long = known.count()
-    found = with_group(known.drop("members"), main.select(F.col("_l").alias("list"), "_main", "_n", "_rest"), ["list"], "_n", n_long)
-    outside = F.col("root") != F.col("_main")
-    of_rest, of_main = blocks(F.col("_rest")), blocks(F.col("_n"))
-    own = F.when(outside, drawn(8, of_rest)).otherwise(of_rest + drawn(9, of_main))
-    others = F.when(outside, F.sequence(F.lit(0), of_rest + of_main - 1)).otherwise(F.sequence(F.lit(0), of_rest - 1))
-    rows = found.select("list", "doc_id", own.alias("own"), F.explode(others).alias("o"))
-    rows = rows.select("list", "doc_id", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    return stored(first.union(_pairs_of(docs, sketched, rows, percent)), "links")
+    rows = remaining(sketched, long, merged(first), percent)
+    return first if rows is None else stored(first.union(_pairs_of(docs, sketched, rows, percent)), "links")
 
 
 def _classes(docs: DataFrame, percent: int) -> DataFrame:
