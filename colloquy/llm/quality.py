@@ -1,11 +1,13 @@
 """Quality rules under weak supervision.
 
-Eight rules vote on each document: good, bad, or they abstain. Expectation-maximisation over the votes of
-all documents estimates, with no labels, the share of good documents, that of each kind of defect, and how
-often each rule's votes are bad in each of these classes. A document is kept if its posterior probability of being good is at least
-one half. The two base limits of :func:`score` (50 words, half of them repeated) stand beside that verdict
-in its ``kept``; :func:`keep_good` filters by the posterior alone, so that it keeps short clean documents.
-What reaches the driver is the histogram of vote patterns, at most 3^8 rows for any corpus.
+Twelve rules vote on each document: good, bad, or they abstain. Several look at one kind of defect, each in
+its own way and sooner than it would be sure. Expectation-maximisation over the votes of all documents
+estimates, with no labels, the share of good documents, that of each kind of defect, and how often each
+rule's votes are bad in each of these classes. So a bad vote that the other rules of its defect contradict is
+put down to the rule, and several together to the document. A document is kept if its posterior probability
+of being good is at least one half. The two base limits of :func:`score` (50 words, half of them repeated)
+stand beside that verdict in its ``kept``; :func:`keep_good` filters by the posterior alone, so that it keeps
+short clean documents. What reaches the driver is the histogram of vote patterns, at most 3^12 rows for any corpus.
 
 An abstention counts for neither class. Nothing in the rules asks for one language: function words are
 those of any of the listed languages, and where none fits, the share of a text's own most frequent words
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -51,12 +54,20 @@ _FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.spli
 _LANGUAGES = [frozenset(words.split()) for words in FUNCTION_WORDS.values()]
 #: Signs that end a sentence in Latin, Greek, Arabic, Indic, Chinese and Japanese script.
 ENDS = ".!?…;؟۔।。！？"
-#: What a rule's votes are bad at first: in the good class, in the class of its own defect, in others' classes.
-BAD_AT_FIRST = (0.01, 0.9, 0.1)
+#: The kinds of defect, each with the rules that look at it.
+DEFECTS = {
+    "symbols": ("symbols", "marks"),
+    "repetition": ("duplicate_lines", "repeats", "runs", "one_word"),
+    "shouting": ("capitals", "exclaims"),
+    "no prose": ("stopwords", "endings"),
+    "garbled": ("word_length", "letters"),
+}
+RULES = tuple(rule for rules in DEFECTS.values() for rule in rules)
+#: How often a rule that votes votes bad at first: in the good class, in that of its own defect, in those of others.
+BAD_AT_FIRST = (0.02, 0.7, 0.1)
 #: Share of good documents at first; the shares' and each rate's prior weigh so much of the corpus.
 GOOD_AT_FIRST, SHARE_PRIOR, RATE_PRIOR = 0.8, 0.02, 0.005
 
-RULES = ("word_length", "symbols", "duplicate_lines", "repeats", "stopwords", "capitals", "marks", "endings")
 FEATURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "pattern")])
 
 
@@ -107,27 +118,34 @@ def function_share(words: list[str]) -> tuple[float, float, float]:
     return best / len(words), sum(top) / len(words), top[0] / len(words)
 
 
-def votes(text: str, words: list[str], chars: int, symbols: int, dup: int, lines: int, repeat: int) -> tuple[int, ...]:
+def votes(text: str, words: list[str], chars: int, symbols: int, dup: int, lines: int, repeat: int) -> dict[str, int]:
     """One vote for each of RULES: 1 good, -1 bad, 0 abstains."""
     n = len(words)
     if n == 0:
-        return (-1,) * len(RULES)
+        return dict.fromkeys(RULES, -1)
     mean = chars / n
     function, common, top = function_share(words)
-    marked = sum(not _SYMBOL.isdisjoint(w) for w in words)
+    marked = sum(not _SYMBOL.isdisjoint(w) for w in words) / n
     ends = sum(w[-1] in ENDS for w in words) / n
     upper = sum(map(str.isupper, words)) / n
-    long = n >= 30
-    return (
-        _side(3 <= mean <= 9, mean < 2 or mean > 14),
-        _side(symbols <= 0.02 * n, symbols > 0.1 * n),
-        _side(lines >= 3 and not dup, dup >= 3 and dup > 0.3 * lines),
-        _side(long and repeat <= 0.1 * n, repeat > 0.3 * n),
-        _side(function >= 0.12 or (long and common >= 0.1), (long and top > 0.4) or (long and function < 0.02 and common < 0.05)),
-        _side(upper <= 0.15 and text != text.upper(), upper > 0.4),
-        _side(marked <= 0.05 * n, marked > 0.2 * n),
-        _side(1 / 60 <= ends <= 1 / 3, long and ends == 0),
-    )
+    letters = sum(map(str.isalpha, words)) / n
+    exclaims = text.count("!") / n
+    runs = sum(map(eq, words, words[1:])) / n
+    some, long = n >= 10, n >= 30  # of fewer words a share says little
+    return {
+        "symbols": _side(symbols <= 0.02 * n, symbols > 0.1 * n),
+        "marks": _side(marked <= 0.02, marked > 0.08),
+        "duplicate_lines": _side(lines >= 3 and not dup, dup >= 2 and dup > 0.2 * lines),
+        "repeats": _side(long and repeat <= 0.1 * n, long and repeat > 0.25 * n),
+        "runs": _side(long and runs <= 0.02, some and runs > 0.1),
+        "one_word": _side(long and top <= 0.12, long and top > 0.25),
+        "capitals": _side(some and upper <= 0.1 and text != text.upper(), some and upper > 0.25),
+        "exclaims": _side(exclaims <= 0.05, exclaims > 0.15),
+        "stopwords": _side(function >= 0.12 or (long and common >= 0.1), long and function < 0.02 and common < 0.05),
+        "endings": _side(1 / 60 <= ends <= 1 / 3, long and (ends == 0 or ends > 0.5)),
+        "word_length": _side(3 <= mean <= 9, mean < 2.5 or mean > 12),
+        "letters": _side(some and letters >= 0.6, some and letters < 0.4),
+    }
 
 
 def describe(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -138,8 +156,9 @@ def describe(text: str | None) -> tuple[int, int, int, int, int, int]:
     dup, lines = duplicate_lines(text)
     repeat = repeated_words(words)
     pattern = 0
-    for v in votes(text, words, chars, symbols, dup, lines, repeat):
-        pattern = 3 * pattern + v + 1
+    found = votes(text, words, chars, symbols, dup, lines, repeat)
+    for rule in RULES:
+        pattern = 3 * pattern + found[rule] + 1
     return len(words), chars, symbols, dup, repeat, pattern
 
 
@@ -154,7 +173,7 @@ def unpack(patterns: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """Log shares of the classes (good first, then one for each rule's defect), and by class and rule the log rates of bad and good votes."""
+    """Log shares of the classes (good first, then one for each kind of defect), and by class and rule the log rates of bad and good votes."""
 
     shares: np.ndarray
     bad: np.ndarray
@@ -166,16 +185,13 @@ class Model(NamedTuple):
 
 
 def _first() -> tuple[np.ndarray, np.ndarray]:
-    n = len(RULES)
     of_good, of_own, of_other = BAD_AT_FIRST
-    rates = np.full((n + 1, n), of_other)
-    rates[0] = of_good
-    rates[np.arange(1, n + 1), np.arange(n)] = of_own
-    return np.array([GOOD_AT_FIRST, *[(1 - GOOD_AT_FIRST) / n] * n]), rates
+    rates = np.array([[of_good] * len(RULES)] + [[of_own if rule in rules else of_other for rule in RULES] for rules in DEFECTS.values()])
+    return np.array([GOOD_AT_FIRST, *[(1 - GOOD_AT_FIRST) / len(DEFECTS)] * len(DEFECTS)]), rates
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
-    """EM over one class of good documents and one for each rule's defect, since a poor document need not have all defects.
+    """EM over one class of good documents and one for each kind of defect, since a poor document need not have all.
 
     In each class a rule that votes votes bad at a rate of its own. The first values serve as priors worth a
     fixed share of the corpus, so that they act alike at every size and keep all rates inside (0, 1).
@@ -191,7 +207,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
         mass = p * counts[:, None]
         shares = (mass.sum(axis=0) + SHARE_PRIOR * total * shares0) / (total * (1 + SHARE_PRIOR))
         rates = (mass.T @ (v < 0) + RATE_PRIOR * total * rates0) / (mass.T @ (v != 0) + RATE_PRIOR * total)
-        rates[0] = rates.min(axis=0)  # a bad vote never speaks for a document, not even where most are poor
         model = Model(np.log(shares), np.log(rates), np.log(1 - rates))
         if last is not None and np.abs(p - last).max() < 1e-9:
             break
@@ -212,7 +227,7 @@ def posterior(pattern: Column, model: Model) -> Column:
 
 
 def label_model(patterns: DataFrame) -> Model:
-    """Fits over a frame with a ``pattern`` column, through its histogram (at most 3^8 rows)."""
+    """Fits over a frame with a ``pattern`` column, through its histogram (at most 3^12 rows)."""
     rows = sorted(patterns.groupBy("pattern").count().collect(), key=lambda r: r["pattern"])
     return fit(np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["count"] for r in rows], dtype=float)) if rows else fit(np.zeros(1, np.int64), np.ones(1))
 

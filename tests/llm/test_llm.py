@@ -183,6 +183,22 @@ def test_quality(spark, texts):
     assert quality.score(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_label_model_outvotes_single_rules(spark):
+    """One bad vote against the other rules of its defect is borne; weak votes that agree are not; also where most texts are poor."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "to", *[f"w{chr(97 + k // 26)}{chr(97 + k % 26)}"[: 3 + k % 5] + "ing" for k in range(600)]]) + ("." if k % 12 == 11 else "") for k in range(n))
+    passage = prose(40)
+    twice = [f"{passage} {prose(20)} {passage}" for _ in range(3)]
+    loud = [" ".join(w.upper() + "!" if k % 3 == 0 else w for k, w in enumerate(prose(120).split())) for _ in range(12)]
+    stuck = [prose(60) + " " + " ".join(w for k in range(12) for w in [f"x{chr(97 + k)}"] * 6) for _ in range(12)]
+    for clean in (200, 12):
+        many = [*[prose(80 + k % 50) for k in range(clean)], *twice, *loud, *stuck]
+        rows = {r["doc_id"]: r for r in quality.score(docs(spark, many)).collect()}
+        bad = [(quality.unpack(np.array([rows[i]["pattern"]]))[0] < 0).sum() for i in range(len(many))]
+        assert all(bad[clean + i] == 1 for i in range(3)) and all(b > 1 for b in bad[clean + 3 :])
+        assert {r["doc_id"] for r in quality.keep_good(docs(spark, many)).collect()} == set(range(clean + 3)), (clean, [r["p_good"] for r in rows.values()])
+
+
 def test_mixing(spark, texts):
     d = docs(spark, texts, ["a", "b", "c", None])
     rows = mixing.mix(d).collect()
@@ -385,6 +401,30 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(n, root))
 
 
+def test_long_lists_of_a_shared_passage(spark, monkeypatch):
+    """Documents with one passage in common and words of their own, some of them near copies of others: the same links for a few rows each."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PIVOTS", 3)
+    sent, plain = [], neardup._pairs_of
+
+    def counted(docs, sketched, rows, percent, trust=True):
+        sent[-1] += rows.count()
+        return plain(docs, sketched, rows, percent, trust)
+
+    monkeypatch.setattr(neardup, "_pairs_of", counted)
+    passage = " ".join(f"b{i}" for i in range(260))
+    for size in (150, 300):
+        sent.append(0)
+        texts = []
+        for d in range(size):
+            own = [f"d{d // 5 * 5 if d % 5 < 2 else d}w{i}" for i in range(200)]
+            own[100] += "x" * (d % 5 == 1)
+            texts.append(passage + " " + " ".join(own))
+        got = {r["doc_id"]: r["component_id"] for r in neardup.components(docs(spark, texts)).collect()}
+        assert got == {d: d - (d % 5 == 1) for d in range(size)}
+    assert sent[1] < 2.5 * sent[0], sent
+
+
 def test_estimated_links_that_fail_are_taken_anew(spark, monkeypatch):
     """Sketches of eight values and estimates trusted too early: exact confirmation finds the same components."""
     monkeypatch.setattr(neardup, "SKETCH", 16)
