@@ -32,7 +32,7 @@ def processed(uploads: DataFrame, terms: DataFrame, observed: Observation | None
     the numbers of uploads, failed ones and segments as the rows go by.
     """
     channel = read(uploads)
-    raw = segments.asr_segments(ingest.asr_segments(channel.filter("error IS NULL").select("conversation_id", "segments")))
+    raw = segments.asr_segments(ingest.asr_segments(channel.filter("error IS NULL").select("conversation_id", "segments"), ingest.SECONDS))
     names = segments.speaker_numbering(raw)
     fixed = segments.apply_reassign(raw, ingest.corrections_parse(uploads.select("conversation_id", F.col("corrections").alias("response"))))
     named = segments.segment_speaker(fixed, names)

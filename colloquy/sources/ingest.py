@@ -53,10 +53,14 @@ def inventory(files: DataFrame) -> DataFrame:
     return rows.filter((F.col("user_id") != "") & (F.col("length") < MOST_AUDIO) & F.col("ext").isin(*AUDIO))
 
 
-def asr_segments(raw: DataFrame) -> DataFrame:
+#: Seconds as they are written, up to 10**15: 32.55 is 32550 ms, where the nearest double floors to 32549.
+SECONDS = "decimal(24,9)"
+
+
+def asr_segments(raw: DataFrame, seconds: str = "double") -> DataFrame:
     """Segments of recogniser output (conversation_id, segments): blank ones drop out, order stays, bad numbers are 0."""
     s = raw.select("conversation_id", F.posexplode("segments").alias("_i", "s")).filter(F.trim(F.coalesce("s.text", F.lit(""))) != "")
-    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    number = lambda c: F.coalesce(F.col(c).try_cast(seconds), F.lit(0).cast(seconds))
     n = F.row_number().over(W.partitionBy("conversation_id").orderBy("_i")) - 1
     return s.select("conversation_id", n.cast("long").alias("segment_index"), F.trim("s.text").alias("text"), number("s.start").alias("start_s"), number("s.end").alias("end_s"), F.col("s.speaker").alias("speaker_id"))
 

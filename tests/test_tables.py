@@ -1,5 +1,6 @@
 """Versioned tables, scans of files and the failure channel of uploads."""
 
+import json
 import os
 
 import pytest
@@ -71,3 +72,11 @@ def test_a_broken_upload_fails_alone(spark):
     assert seen.get == {"uploads": 7, "failed": 5, "segments": 4}
     kinds = {r["conversation_id"]: (r["event_type"], r["metadata"]) for r in uploads.events(uploads.processed(rows, terms)).collect()}
     assert kinds[2] == ("processing_failed", '{"errorMessage":"response is not JSON"}') and kinds[1][0] == "processing_completed"
+
+
+def test_milliseconds_of_an_upload_are_those_written(spark):
+    at = ["32.55", "64.35", "1.001", "1.2874999999E2", "NaN", "1e300", "no", None]
+    asr = json.dumps({"segments": [{"text": "said", "start": a, "end": a, "speaker": "A"} for a in at]})
+    rows = spark.createDataFrame([(1, 1, asr, None)], "conversation_id long, user_id long, asr string, corrections string")
+    terms = spark.createDataFrame([(0, "t", "none", [])], "ordinal int, term_id string, display string, aliases array<string>")
+    assert [s["end_ms"] for s in uploads.processed(rows, terms).first()["document"]] == [32550, 64350, 1001, 128749, 0, 0, 0, 0]
