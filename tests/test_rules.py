@@ -1,6 +1,7 @@
 """Rules where engines differ, and folds against plain loops."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,20 @@ def test_splits_in_order(spark):
     cuts = spark.createDataFrame([("a", 0, 0, 7, None, None), ("a", 0, 1, 3, None, "r"), ("a", 1, 0, 9, None, None), ("b", 0, 0, 1, None, None)], "conversation_id string, segment_index int, ordinal int, split_at_char int, speaker_before string, speaker_after string")
     got = [(r["conversation_id"], r["segment_index"], r["speaker_id"], r["text"]) for r in segments.apply_splits(rows, cuts).orderBy("conversation_id", "segment_index").collect()]
     assert got == [("a", 0, "p", "one"), ("a", 1, "r", "two"), ("a", 2, "q", "three"), ("a", 3, "q", "four"), ("b", 0, "p", "x y"), ("b", 1, "q", "z"), ("b", 2, "r", "w")]
+
+
+def test_ngrams_of_a_long_text_are_taken_in_one_pass(spark):
+    df = one(spark, t="abcab𝒳a", s="ab", e="").select(*[text.char_ngrams(F.col(c)).alias(c) for c in "tse"])
+    assert list(df.first()) == [["abc", "bca", "cab", "ab𝒳", "b𝒳a"], ["ab"], [""]]
+    began = time.time()
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.hex(i)), " ").alias("t"))
+    n = long.select(F.size(text.char_ngrams(F.col("t")))).first()[0]
+    whole = " ".join(f"{i:X}" for i in range(1, 60_001))
+    assert n == len({whole[i : i + 3] for i in range(len(whole) - 2)}) and time.time() - began < 15
+
+
+def test_many_matches_in_a_text_are_split_once(spark):
+    # the text was split anew for each match
+    began, k = time.time(), 15_000
+    m = spark.range(1).select(F.concat(F.repeat(F.lit("x, "), k), F.lit("y")).alias("t")).select(text.matches(F.col("t"), text.whole_word(F.array(F.lit("x")))).alias("m")).first()["m"]
+    assert [(a["start"], a["end"]) for a in m] == [(3 * i, 3 * i + 1) for i in range(k)] and time.time() - began < 30
