@@ -41,8 +41,16 @@ def size_column(n: Column) -> Column:
     return F.array_distinct(F.array(n, n - 1, n + 1, n - 2, n + 2, F.floor(n * SHRUNK).cast("long")))
 
 
-#: The characters of a normal form.
+#: The characters of a normal form, and the number of each.
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+_CODE = np.zeros(128, dtype=np.int64)
+_CODE[np.frombuffer(CHARACTERS.encode("ascii"), np.uint8)] = np.arange(len(CHARACTERS))
+#: Windows measured at once: as many as are about so many characters, within these bounds.
+LANE_CHARACTERS, LANES = 4000, (3, 24)
+#: Windows measured at once lie this part of the text apart at least.
+GAP = 100
+#: Windows whose middles lie within this part of the text have a core.
+CORES = 12
 
 
 def masks(text: str) -> dict[str, int]:
@@ -73,6 +81,35 @@ def edits(places: dict[str, int], m: int, text: str, ends: list[int]) -> list[in
     return out
 
 
+def _bits(rows: np.ndarray) -> list[int]:
+    """Each row of truth values as an integer, the first value in its lowest bit."""
+    return [int.from_bytes(r.tobytes(), "little") for r in np.packbits(rows, axis=1, bitorder="little")]
+
+
+def edits_beside(text: str, others: list[str], anywhere: bool = False) -> list[np.ndarray]:
+    """For each of the others the edit distances of ``text`` and of its beginnings of 1, 2, ... characters.
+
+    As :func:`edits`, but the tables of all others stand side by side in the integers, a bit apart that takes the
+    carry. ``anywhere``: the least distance of any part that ends there, wherever it begins.
+    """
+    raw = np.frombuffer("\0".join([*others, ""]).encode("ascii"), np.uint8)
+    kinds = sorted(set(text))
+    inside = raw != 0
+    low = np.append(True, ~inside[:-1])
+    whole, lows, *places = _bits(np.vstack([inside, low, raw == np.frombuffer("".join(kinds).encode("ascii"), np.uint8)[:, None]]))
+    more, less = 0 if anywhere else whole, 0
+    for eq in map(dict(zip(kinds, places)).__getitem__, text):
+        diagonal = (((eq & more) + more) ^ more) | eq | less
+        right = ((less | (whole ^ ((diagonal | more) & whole))) << 1) | lows
+        more, less = (((more & diagonal) << 1) | (whole ^ ((diagonal | right) & whole))) & whole, right & diagonal
+    step = [np.unpackbits(np.frombuffer(x.to_bytes(len(raw) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(raw)].astype(np.int64) for x in (more, less & whole)]
+    at, out, change = 0, [], step[0] - step[1]
+    for o in others:
+        out.append(len(text) + np.cumsum(change[at : at + len(o)]))
+        at += len(o) + 1
+    return out
+
+
 def _earlier(codes: np.ndarray) -> np.ndarray:
     """The place before at which the same code stands, -1 for none."""
     order = np.argsort(codes, kind="stable")
@@ -82,174 +119,237 @@ def _earlier(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct(at: np.ndarray, before: np.ndarray, width: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """How many different things each window ``[first, end)`` of characters holds whole.
-
-    Things stand at ``at``, ``width`` long; ``before`` is where the same one stood last (-1). A thing counts
-    for the run of windows that begin after its forerunner and hold it: one is added where the run starts and taken
-    off where it ends.
-    """
-    n = len(first)
-    if not len(at):
-        return np.zeros(n, dtype=np.int64)
-    lo = np.maximum(np.searchsorted(end, at + width, "left"), np.searchsorted(first, before, "right"))
-    hi = np.searchsorted(first, at, "right")
-    runs = lo < hi
-    return np.cumsum(np.bincount(lo[runs], minlength=n + 1) - np.bincount(hi[runs], minlength=n + 1))[:n]
-
-
 class Search:
     """The windows of one segment over consecutive words, with bounds of their scores."""
 
+    #: What is known of each window.
+    COLUMNS = ("start", "size", "first", "end", "empty", "longest", "dice", "inside", "shared", "known", "least_sorted", "least_plain", "bound", "sorted", "plain", "scores")
+
     def __init__(self, wanted: str, words: list[str], n: int, starts: int):
         """``words`` are in normal form, the first of them at the first of ``starts`` consecutive starts."""
         self.wanted, self.text = wanted, " ".join(w for w in words if w)
-        filled = np.array([bool(w) for w in words], dtype=bool)
-        ends = np.cumsum([len(w) + 1 if w else 0 for w in words]) - 1
-        begins = np.where(filled, ends - np.array([len(w) for w in words]), 0)
-        # from a word on, the next that is not empty begins; up to a word, the last such ends
-        begin = np.full(len(words) + 1, len(self.text) + 1)
-        if filled.any():
-            nxt = np.searchsorted(np.flatnonzero(filled), np.arange(len(words) + 1))
-            starts_of = np.append(begins[filled], len(self.text) + 1)
-            begin = starts_of[nxt]
-        end = np.append(0, np.maximum(ends, 0))
-        parts = []
-        for size in sizes(n):
-            i = np.arange(max(0, min(starts, len(words) - size + 1)))
-            parts.append((i, np.full(len(i), size), begin[i], end[i + size]))
-        self.start, self.size, self.first, self.end = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
-        self._measure(parts)
-
-    def _measure(self, parts: list[tuple]) -> None:
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        filled = length > 0
+        # words that are not empty before each word, and where those begin and end
+        self.before = np.append(0, np.cumsum(filled))
+        length = length[filled]
+        ends = np.cumsum(length + 1) - 1
+        begin = np.append(ends - length, len(self.text) + 1)[self.before]
+        end = np.append(0, ends)[self.before]
+        self.shrunk = math.floor(n * SHRUNK)
+        parts = [(size, max(0, min(starts, len(words) - size + 1))) for size in sizes(n)]
+        self.counts = [count for _, count in parts]
+        self.start = np.concatenate([np.arange(count) for count in self.counts])
+        self.size = np.repeat([size for size, _ in parts], self.counts)
+        self.begin = begin[: max(self.counts, default=0)]
+        self.first, self.end = begin[self.start], end[self.start + self.size]
+        self._measure(length)
+
+    def _distinct(self, at: np.ndarray, before: np.ndarray, width: int, up_to: list[np.ndarray]) -> np.ndarray:
+        """How many different things each window ``[first, end)`` of characters holds whole.
+
+        Things stand at ``at``, ``width`` long; ``before`` is where the same one stood last (-1). A thing counts
+        for the run of windows that begin after its forerunner and hold it: one is added where the run starts and taken
+        off where it ends. ``up_to`` has for each size, by character, the windows that end there or earlier.
+        """
+        if not len(at):
+            return np.zeros(len(self.start), dtype=np.int64)
+        earlier, here, out = self.begun[before + 1], self.begun[at + 1], []
+        for count, ended in zip(self.counts, up_to):
+            lo = np.maximum(ended[at + (width - 1)], np.minimum(earlier, count))
+            hi = np.maximum(np.minimum(here, count), lo)
+            out.append(np.cumsum(np.bincount(lo, minlength=count + 1) - np.bincount(hi, minlength=count + 1))[:count])
+        return np.concatenate(out)
+
+    def _measure(self, length: np.ndarray) -> None:
         wanted, text = self.wanted, self.text
         tokens, mine = text.split(" "), wanted.split(" ")
-        self.tokens = set(mine)
+        own_tokens = set(mine)
         ids: dict[str, int] = {}
         of_text = np.array([ids.setdefault(t, len(ids)) for t in tokens])
         token_at = np.cumsum([0, *[len(t) + 1 for t in tokens[:-1]]])
-        shares_token = np.array([t in self.tokens for t in tokens])
-        raw, own = np.frombuffer(text.encode("ascii"), np.uint8), np.frombuffer(wanted.encode("ascii"), np.uint8)
-        grams, own_grams = _grams(raw), np.unique(_grams(own))
+        shares_token = np.array([t in own_tokens for t in tokens])
+        codes, own = (_CODE[np.frombuffer(t.encode("ascii"), np.uint8)] for t in (text, wanted))
+        grams, own_grams = _grams(codes), _grams(own)
         gram_at = np.arange(len(grams))
-        shares_gram = np.isin(grams, own_grams)
-        self.x = len(own_grams) if len(own) >= 3 else 1
+        asked = np.zeros(len(CHARACTERS) ** 3, dtype=bool)
+        asked[own_grams] = True
+        shares_gram = asked[grams]
+        self.x = int(np.count_nonzero(asked)) if len(own) >= 3 else 1
         before_token, before_gram = _earlier(of_text), _earlier(grams)
         # the token's forerunner by its character
         before_token = np.where(before_token >= 0, token_at[before_token], -1)
-        kinds, codes = np.unique(np.concatenate([raw, own]), return_inverse=True)
-        table = np.zeros((len(raw) + 1, len(kinds)), dtype=np.int32)
-        table[np.arange(1, len(raw) + 1), codes[: len(raw)]] = 1
-        table = np.cumsum(table, axis=0, dtype=np.int32)
-        have = np.bincount(codes[len(raw) :], minlength=len(kinds))
-        cells: dict[str, list] = {c: [] for c in ("dice", "both", "y", "bag", "lost")}
-        for _, _, first, end in parts:
-            end = np.maximum(end, np.minimum(first, len(text)))
-            full = distinct(token_at, before_token, 1, first, end)
-            common = distinct(token_at[shares_token], before_token[shares_token], 1, first, end)
-            y = distinct(gram_at, before_gram, 3, first, end)
-            both = distinct(gram_at[shares_gram], before_gram[shares_gram], 3, first, end)
-            change = table[np.minimum(end, len(raw))] - table[np.minimum(first, len(raw))] - have
-            cells["bag"].append(np.maximum(np.maximum(change, 0).sum(axis=1), np.maximum(-change, 0).sum(axis=1)))
-            cells["dice"].append(2.0 * common / np.maximum(len(self.tokens) + full, 1))
-            cells["lost"].append(np.maximum(len(self.tokens) - common, full - common))
-            cells["both"].append(both)
-            cells["y"].append(y)
-        self.dice, self.both, self.y, self.bag, self.lost = (np.concatenate(c) for c in cells.values())
+        # windows that begin before each character, and for each size those that end there or earlier
+        self.begun = np.append(0, np.cumsum(np.bincount(self.begin, minlength=len(text) + 2)))
+        up_to, at = [], 0
+        for count in self.counts:
+            up_to.append(np.cumsum(np.bincount(np.maximum(self.end[at : at + count], np.minimum(self.first[at : at + count], len(text))), minlength=len(text) + 3)))
+            at += count
+        full = self._distinct(token_at, before_token, 1, up_to)
+        common = self._distinct(token_at[shares_token], before_token[shares_token], 1, up_to)
+        self.y = self._distinct(gram_at, before_gram, 3, up_to)
+        self.both = self._distinct(gram_at[shares_gram], before_gram[shares_gram], 3, up_to)
+        self.dice = 2.0 * common / np.maximum(len(own_tokens) + full, 1)
+        lost = np.maximum(len(own_tokens) - common, full - common)
         p, q = len(wanted), np.maximum(self.end - self.first, 0)
-        tiny = (q > 0) & (q < 3)
-        for k in np.flatnonzero(tiny):
+        # characters of each word and the blank after it; a window has one such blank too many
+        kinds = len(CHARACTERS)
+        table = np.zeros((len(length) + 1, kinds), dtype=np.float32)
+        spelt = np.append(codes, kinds - 1) if len(length) else codes
+        table[1:] = np.bincount(np.repeat(np.arange(len(length)), length + 1) * kinds + spelt, minlength=len(length) * kinds).reshape(-1, kinds)
+        np.cumsum(table, axis=0, out=table)
+        have = np.bincount(own, minlength=kinds).astype(np.float32)
+        have[kinds - 1] += 1
+        change = table[self.before[self.start + self.size]] - table[self.before[self.start]] - have
+        bag = (np.abs(change).sum(axis=1) + np.abs(q - p)).astype(np.int64) // 2
+        for k in np.flatnonzero((q > 0) & (q < 3)):
             self.y[k], self.both[k] = 1, int(text[self.first[k] : self.end[k]] == wanted)
         self.empty = (q == 0) | (p == 0)
-        longest = np.maximum(np.maximum(p, q), 1)
+        self.longest = longest = np.maximum(np.maximum(p, q), 1)
         self.inside = self.both / np.maximum(np.minimum(self.x, self.y), 1).astype(np.float64)
         self.shared = self.both / np.maximum(self.x + self.y - self.both, 1).astype(np.float64)
         # an edit changes one character, at most two tokens and at most three 3-grams
-        self.least_sorted = np.minimum(longest, np.maximum(self.bag, (self.lost + 1) // 2))
-        self.least_plain = np.minimum(longest, np.maximum(self.bag, (np.maximum(self.x, self.y) - self.both + 2) // 3))
-        self.longest = longest
+        self.least_sorted = np.minimum(longest, np.maximum(bag, (lost + 1) // 2))
+        self.least_plain = np.minimum(longest, np.maximum(bag, (np.maximum(self.x, self.y) - self.both + 2) // 3))
         self.known = TOKENS * self.dice + INSIDE * self.inside + GRAMS * self.shared
-        self.places, self.sorted_places = masks(wanted), masks(" ".join(sorted(mine)))
-        self.scores: dict[int, float] = {}
-        self.plain: dict[int, int] = {}
+        self.sorted_wanted = " ".join(sorted(mine))
+        self.scores = np.full(len(self.start), -1.0)
+        self.plain, self.sorted = np.full(len(self.start), -1), np.full(len(self.start), -1)
+        self.lanes = min(max(LANE_CHARACTERS // max(p, 1), LANES[0]), LANES[1])
+        self.rounds = 0
         self._bound()
 
     def _bound(self) -> None:
         self.bound = np.where(self.empty, 0.0, self.known + SORTED * (1 - self.least_sorted / self.longest) + WHOLE * (1 - self.least_plain / self.longest))
 
-    def _learn(self, k: int, distance: int, least: np.ndarray) -> None:
-        """Other windows are nearer to the text by no more than what they do not share with window ``k``."""
-        apart = np.abs(self.first - self.first[k]) + np.abs(self.end - self.end[k])
-        np.maximum(least, np.minimum(distance - apart, self.longest), out=least)
-
-    def score(self, k: int, least: float) -> float:
-        """The rounded score of a window, or something below ``least`` if it is that."""
-        if k in self.scores:
-            return self.scores[k]
-        if self.empty[k]:
-            return 0.0
-        said = self.text[self.first[k] : self.end[k]]
-        longest, m = int(self.longest[k]), len(self.wanted)
-        if k not in self.plain:
-            # one pass gives the distances of all sizes from this start
-            same = np.flatnonzero((self.start == self.start[k]) & ~self.empty & (self.first == self.first[k]))
-            same = same[np.argsort(self.end[same], kind="stable")].tolist()
-            ends = [int(self.end[i] - self.first[k]) for i in same]
-            for i, d in zip(same, edits(self.places, m, self.text[self.first[k] : self.end[same[-1]]], ends)):
-                self.plain[i] = d
-                self._learn(i, d, self.least_plain)
-            self._bound()
-        b = self.plain[k]
-        if self.bound[k] + SLACK < least:
-            return -1.0
-        a = edits(self.sorted_places, m, " ".join(sorted(said.split(" "))), [len(said)])[0]
-        self._learn(k, a, self.least_sorted)
+    def _learn(self, first: np.ndarray, end: np.ndarray, distances: np.ndarray, least: np.ndarray) -> None:
+        """Windows are nearer to the text than the given parts by no more than what they do not share with those."""
+        apart = np.abs(self.first - first[:, None]) + np.abs(self.end - end[:, None])
+        np.maximum(least, np.minimum((distances[:, None] - apart).max(axis=0), self.longest), out=least)
+        self._bound()
+
+    def _cores(self, ks: np.ndarray) -> list[tuple[int, int]]:
+        """What each group of neighbours among the windows ``ks`` has in common, those of the shrunk size aside, if that is most of them.
+
+        Most words that a window has beside it are said in the text, so they take off of its distance what the bound assumes.
+        """
+        ks = ks[self.size[ks] > self.shrunk]
+        if len(ks) <= 2 * self.lanes:
+            return []
+        middle = (self.first[ks] + self.end[ks]) // 2
+        middle -= middle.min()
+        group = middle // max(len(self.wanted) // CORES, middle.max() // self.lanes + 1)
+        found = []
+        for g in np.unique(group).tolist():
+            of = ks[group == g]
+            a, b = int(self.first[of].max()), int(self.end[of].min())
+            if 2 * (b - a) > len(self.wanted):
+                found.append((a, b))
+        return found
+
+    def _apart(self, ks: np.ndarray, most: int) -> np.ndarray:
+        """The first of the windows ``ks``, best bound first, that do not lie close to each other: neighbours are bounded by the same distance."""
+        taken: list[int] = []
+        gap = len(self.wanted) // GAP
+        first, end = self.first[ks], self.end[ks]
+        far = np.ones(len(ks), dtype=bool)
+        for i in np.argsort(-self.bound[ks], kind="stable").tolist():
+            if far[i]:
+                taken.append(i)
+                if len(taken) == most:
+                    break
+                far &= np.abs(first - first[i]) + np.abs(end - end[i]) > gap
+        return ks[taken]
+
+    def _measure_any(self, ks: np.ndarray) -> None:
+        """Bounds the distances of the windows ``ks`` by those of the nearest parts of the text that end where they end."""
+        a, b = int(self.first[ks].min()), int(self.end[ks].max())
+        nearest = edits_beside(self.wanted, [self.text[a:b]], anywhere=True)[0]
+        self.least_plain[ks] = np.maximum(self.least_plain[ks], nearest[self.end[ks] - a - 1])
         self._bound()
-        value = TOKENS * float(self.dice[k]) + SORTED * (1 - a / float(longest)) + INSIDE * float(self.inside[k]) + WHOLE * (1 - b / float(longest)) + GRAMS * float(self.shared[k])
-        self.scores[k] = math.floor(value * 10.0**PLACES + 0.5) / 10.0**PLACES
-        return self.scores[k]
 
-    def _likely(self, tried: np.ndarray, least: float) -> int | None:
-        """The untried window of highest bound, if that reaches ``least``."""
-        if not len(tried):
-            return None
-        k = int(np.argmax(np.where(tried, -1.0, self.bound)))
-        return None if tried[k] or self.bound[k] + SLACK < least else k
+    def _measure_plain(self, ks: np.ndarray) -> None:
+        """Distances of the windows, and of those of other sizes from the same starts."""
+        begins = np.unique(self.first[ks])
+        same = [np.flatnonzero((self.first == f) & ~self.empty) for f in begins]
+        ends = [self.end[i] - f for i, f in zip(same, begins)]
+        found = edits_beside(self.wanted, [self.text[f : f + int(e.max())] for f, e in zip(begins.tolist(), ends)])
+        every, distances = np.concatenate(same), np.concatenate([d[e - 1] for d, e in zip(found, ends)])
+        self.plain[every] = distances
+        self._learn(self.first[every], self.end[every], distances, self.least_plain)
+
+    def _measure_sorted(self, ks: np.ndarray, cores: list[tuple[int, int]]) -> None:
+        """Distances of the windows with the words of both sides sorted; those of cores are for the bounds alone."""
+        parts = [*zip(self.first[ks].tolist(), self.end[ks].tolist()), *cores]
+        distances = np.array([d[-1] for d in edits_beside(self.sorted_wanted, [" ".join(sorted(self.text[a:b].split(" "))) for a, b in parts])])
+        self.sorted[ks] = distances[: len(ks)]
+        first, end = np.array(parts).T
+        self._learn(first, end, distances, self.least_sorted)
+
+    def _score(self, ks: np.ndarray, least: float, cores: list[tuple[int, int]] = []) -> np.ndarray:
+        """Scores those windows ``ks`` that may reach ``least``; these."""
+        new = ks[self.sorted[ks] < 0]
+        if len(new):
+            self._measure_sorted(new, cores)
+        ks = ks[self.bound[ks] + SLACK >= least]
+        new = ks[self.plain[ks] < 0]
+        if len(new):
+            self._measure_plain(new)
+        self.rounds += 1
+        # distances from one start are found together
+        ks = np.flatnonzero((self.scores < 0) & (self.sorted >= 0) & (self.plain >= 0))
+        longest = self.longest[ks].astype(np.float64)
+        value = TOKENS * self.dice[ks] + SORTED * (1 - self.sorted[ks] / longest) + INSIDE * self.inside[ks] + WHOLE * (1 - self.plain[ks] / longest) + GRAMS * self.shared[ks]
+        self.scores[ks] = np.floor(value * 10.0**PLACES + 0.5) / 10.0**PLACES
+        return ks
+
+    def _narrow(self, least: float) -> np.ndarray:
+        """Drops the windows that are known not to reach ``least``; of the others those without a score."""
+        keep = np.where(self.scores < 0, ~self.empty & (self.bound + SLACK >= least), self.scores >= least)
+        if not keep.all():
+            for c in self.COLUMNS:
+                setattr(self, c, getattr(self, c)[keep])
+        return np.flatnonzero(self.scores < 0)
 
     def at_least(self, least: float) -> list[tuple[int, int, float]]:
         """(start, size, score) of every window that scores so much."""
-        tried = self.empty.copy()
-        while (k := self._likely(tried, least)) is not None:
-            tried[k] = True
-            self.score(k, least)
-        return [(int(self.start[k]), int(self.size[k]), s) for k, s in self.scores.items() if s >= least]
+        if len(ks := self._narrow(least)):
+            self._measure_any(ks)
+        while len(ks := self._narrow(least)):
+            self._score(self._apart(ks, self.lanes), least)
+        return list(zip(self.start.tolist(), self.size.tolist(), self.scores.tolist()))
 
     def best(self, least: float, sure: float) -> list[tuple[int, int, float]]:
         """The window of highest score, or of those from ``sure`` on the first in (size, start); none below ``least``."""
-        top, chosen, tried = least, None, self.empty.copy()
-        while (k := self._likely(tried, top)) is not None:
-            tried[k] = True
-            s = self.score(k, top)
-            if s >= sure:
+        top = least
+        if len(ks := self._narrow(least)):
+            self._measure_any(ks)
+        while len(ks := self._narrow(top)):
+            cores = self._cores(ks) if self.rounds else []
+            got = self._score(self._apart(ks, 1 if cores else self.lanes if self.rounds else 2), top, cores)
+            top = max(top, float(self.scores[got].max(initial=0.0)))
+            if top >= sure:
                 return [self._first_sure(sure)]
-            here = (-s, int(self.size[k]), int(self.start[k]))
-            if s >= top and (chosen is None or here < chosen):
-                top, chosen = s, here
-        return [(chosen[2], chosen[1], -chosen[0])] if chosen else []
+        if not len(self.start):
+            return []
+        k = np.lexsort((self.start, self.size, -self.scores))[0]
+        return [(int(self.start[k]), int(self.size[k]), float(self.scores[k]))]
 
     def _first_sure(self, sure: float) -> tuple[int, int, float]:
-        for k in np.lexsort((self.start, self.size)).tolist():
-            if self.bound[k] + SLACK >= sure and (s := self.score(k, sure)) >= sure:
-                return int(self.start[k]), int(self.size[k]), s
-        raise AssertionError("a window that was sure is no more")
+        while True:
+            self._narrow(sure)
+            ks = np.lexsort((self.start, self.size))[: self.lanes]
+            if self.scores[ks[0]] >= 0:
+                return int(self.start[ks[0]]), int(self.size[ks[0]]), float(self.scores[ks[0]])
+            self._score(ks[self.scores[ks] < 0], sure)
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
+def _grams(codes: np.ndarray) -> np.ndarray:
     """A number for the three characters from each place on."""
-    if len(raw) < 3:
-        return np.zeros(0, dtype=np.int64)
-    r = raw.astype(np.int64)
-    return (r[:-2] << 16) | (r[1:-1] << 8) | r[2:]
+    if len(codes) < 3:
+        return np.zeros(0, dtype=np.uint16)
+    k = len(CHARACTERS)
+    return ((codes[:-2] * k + codes[1:-1]) * k + codes[2:]).astype(np.uint16)
 
 
 def blocks(words: DataFrame) -> DataFrame:

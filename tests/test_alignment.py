@@ -161,3 +161,30 @@ def test_alignment_recovers_times_of_the_tables(spark):
     j = got.alias("g").join(fixtures.segments(spark, sf).alias("s"), ["conversation_id", "segment_index"])
     near, n = j.agg(F.count_if(F.abs(F.col("g.start_ms") - F.col("s.start_ms")) <= 2000), F.count("*")).first()
     assert n > 0 and near / n > 0.9, near / n
+
+
+def test_distances_side_by_side_are_those_of_the_table():
+    rng = random.Random(5)
+    some = lambda least: "".join(rng.choice("ab _9") for _ in range(rng.randint(least, 60)))
+    for _ in range(60):
+        a, others = some(1), [some(1) for _ in range(rng.randint(1, 5))]
+        for b, got in zip(others, spans.edits_beside(a, others)):
+            assert got.tolist() == [distance(a, b[:e]) for e in range(1, len(b) + 1)]
+        b = others[0]
+        assert spans.edits_beside(a, [b], anywhere=True)[0].tolist() == [min(distance(a, b[s:e]) for s in range(e + 1)) for e in range(1, len(b) + 1)]
+
+
+def test_long_segments_are_found_in_few_passes(monkeypatch):
+    """A thinned segment of 150 words among 600: the best of all spans, from a dozen passes over its text at most."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    words = [rng.choice(vocabulary) for _ in range(600)]
+    wanted = " ".join(w for i, w in enumerate(words[200:375]) if i % 7 != 6)
+    n = len(wanted.split(" "))
+    passes, once = [], spans.edits_beside
+    monkeypatch.setattr(spans, "edits_beside", lambda *a, **k: passes.append(1) or once(*a, **k))
+    [(start, size, found)] = spans.Search(wanted, words, n, 400).best(0.4, 0.95)
+    assert len(passes) <= 12
+    assert found == score(wanted, " ".join(words[start : start + size]))
+    near = [score(wanted, " ".join(words[s : s + k])) for s, k in ((start - 1, size), (start + 1, size), (start, spans.sizes(n)[1]), (start, n))]
+    assert found >= max(near)
