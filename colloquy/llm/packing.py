@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import range_bits, hash_key, partitions, prefix_sums, stored, text_batches
 
 SIZE, END_ID = 1024, 2
-#: Words of which a worker remembers the ids; when they are as many, it starts anew.
+#: Words of which a worker remembers the ids; when half as many are new, those not met since the last time are forgotten.
 MEMO = 250_000
 
 #: Plans of up to so many steps (40 bytes each) are broadcast.
@@ -39,9 +39,7 @@ BROADCAST_STEPS = 200_000
 #: Texts that split at single blanks into parts that the tokenizer treats alone: known Latin letters and
 #: ASCII signs, with single blanks or line ends between words.
 _PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+(?:[ \n][!-~¡-¬®-ɏ]+)*")
-
-
-_PART = re.compile(r"[ \n][^ \n]+")
+_SIGNS = bytes([*range(ord("!"), ord("~") + 1), *b" \n"])
 
 
 class Encoder:
@@ -56,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.memo, self.most = Tokenizer.from_str(definition), {}, memo
+        self.tokenizer, self.memo, self.older, self.most = Tokenizer.from_str(definition), {}, {}, memo
         read = json.loads(definition)
         special = [t["content"] for t in read.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -69,33 +67,53 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, parts: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        written = [p if p[0] == "\n" else " " + p for p in parts]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in written])) + 1
         raw, a = ids.tobytes(), 0
         for part, b in zip(parts, (4 * ends).tolist()):
             self.memo[part] = raw[a:b]
             a = b
 
     def plain(self, text: str) -> bool:
-        return bool(_PLAIN.fullmatch(text)) and not (self.special and self.special.search(text))
+        if self.special and self.special.search(text):
+            return False
+        if not text.isascii():
+            return bool(_PLAIN.fullmatch(text))
+        # the same for ASCII: signs, and no blank or line end at an edge or beside another
+        blanks = text.replace("\n", " ")
+        return text != "" and not text.encode().translate(None, _SIGNS) and blanks[0] != " " and blanks[-1] != " " and "  " not in blanks
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; what is new to all of them is learnt at once."""
         split = [_parts(t) if self.plain(t) else None for t in texts]
-        new = set().union(*[p for p in split if p]).difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-            new = set().union(*[p for p in split if p])
-        if new:
-            self.learn(list(new))
-        find = self.memo.__getitem__
-        # the line end put before a text's first word is one id
-        return [b"".join(map(find, p))[4:] if p else self.whole(t) if t else b"" for p, t in zip(split, texts)]
+        out = [self.known(p) if p else self.whole(t) if t else b"" for p, t in zip(split, texts)]
+        open_ = [i for i, ids in enumerate(out) if ids is None]
+        if open_:
+            new = set().union(*[split[i] for i in open_]).difference(self.memo)
+            if len(self.memo) + len(new) > self.most // 2:
+                self.older, self.memo = self.memo, {}
+                new = set().union(*[split[i] for i in open_])
+            again = new.intersection(self.older)
+            self.memo.update(zip(again, map(self.older.__getitem__, again)))
+            if len(again) < len(new):
+                self.learn(list(new - again))
+            for i in open_:
+                out[i] = self.known(split[i])
+        return out
+
+    def known(self, parts: list[str]) -> bytes | None:
+        """Ids of a plain text's parts; None if one is not known yet."""
+        try:
+            # the line end put before a text's first word is one id
+            return b"".join(map(self.memo.__getitem__, parts))[4:]
+        except KeyError:
+            return None
 
 
 def _parts(text: str) -> list[str]:
-    """Words, each with the blank or line end before it; the first gets a line end."""
-    return _PART.findall("\n" + text)
+    """Words of a plain text, each after a line end with that; the first gets one."""
+    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
 
 @functools.lru_cache(maxsize=2)
