@@ -117,3 +117,19 @@ def test_many_matches_in_a_text_are_split_once(spark):
     began, k = time.time(), 15_000
     m = spark.range(1).select(F.concat(F.repeat(F.lit("x, "), k), F.lit("y")).alias("t")).select(text.matches(F.col("t"), text.whole_word(F.array(F.lit("x")))).alias("m")).first()["m"]
     assert [(a["start"], a["end"]) for a in m] == [(3 * i, 3 * i + 1) for i in range(k)] and time.time() - began < 30
+
+
+def test_small_ascii_dictionary_is_read_without_patterns(spark):
+    """The same as patterns find, odd letters and non-ASCII names included, but no pattern runs over texts without such letters."""
+    rng = random.Random(5)
+    bits = ["the", "The", "THE north", "north", "c++", "C++x", "é", "_", " ", " ", ", ", "k\u212aa", "ka", "\u0130s", "is", "zoé", "😀", "a-b", "A-B a", "\n"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(14)) for _ in range(300)] + ["", None]
+    rows = spark.createDataFrame([(i // 7, i % 7, t) for i, t in enumerate(texts)], "conversation_id string, segment_index int, text string")
+    names = [["the", "the north"], ["the north", "the"], ["C++", "", None], ["a-b", "b a"], ["Zoé", "is"], ["kka", "ka"], [""], ["-"], None]
+    entries = spark.createDataFrame([(i, f"t{i}", n, ["north"] if i % 2 else None) for i, n in enumerate(names)], "ordinal int, term_id string, names array<string>, others array<string>")
+    new = mentions._found(rows, entries, "term_id")
+    old = mentions._patterned(rows, entries.filter("names IS NOT NULL"), "term_id", mentions.SMALL)
+    got, want = sorted(map(tuple, new.collect())), sorted(map(tuple, old.collect()))
+    assert got == want and len(got) > 500
+    plain = mentions._found(rows, entries.filter("ordinal < 4"), "term_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plain
