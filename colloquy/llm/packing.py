@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ from .common import range_bits, hash_key, partitions, prefix_sums, stored, text_
 SIZE, END_ID = 1024, 2
 #: Words of which a worker remembers the ids; when half as many are new, those not met since the last time are forgotten.
 MEMO = 250_000
+#: Longer words are left to the tokenizer.
+LONG = 64
 
 #: Plans of up to so many steps (40 bytes each) are broadcast.
 BROADCAST_STEPS = 200_000
@@ -40,6 +43,97 @@ BROADCAST_STEPS = 200_000
 #: ASCII signs, with single blanks or line ends between words.
 _PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+(?:[ \n][!-~¡-¬®-ɏ]+)*")
 _SIGNS = bytes([*range(ord("!"), ord("~") + 1), *b" \n"])
+#: Words, with what is before them, that fall into tokenizer words at blanks, line ends and between letters and signs alone.
+_SIMPLE = re.compile(r'[ \n][A-Za-zÀ-ÖØ-öø-ɏ.,;:!?()"-]+')
+
+
+class Merges:
+    """Byte-pair merges of many words at once: each round merges in every word the leftmost of its pairs of lowest rank."""
+
+    SLOTS = 20
+    NONE = 1 << 30
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.uint64)
+        self.key, self.made = key, np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        # a pair stands in the first table where its slot is free
+        self.tables, left = [], np.unique(key, return_index=True)[1]
+        for factor in self.FACTORS:
+            table = np.full(1 << self.SLOTS, -1, dtype=np.int32)
+            slot = self._slot(key[left], factor)
+            table[slot[::-1]] = left[::-1]
+            self.tables.append((factor, table))
+            left = left[table[slot] != left]
+        if len(left):
+            raise ValueError("pairs without a slot")
+        # the signs that stand for bytes
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        sign = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+        self.of_byte = np.array([vocab.get(sign[b], -1) for b in range(256)], dtype=np.int64)
+        # letters 0, signs 1, blank 2, line end 3
+        self.kind = np.ones(256, dtype=np.int8)
+        self.kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+        self.kind[32], self.kind[10] = 2, 3
+
+    def _slot(self, key: np.ndarray, factor: int) -> np.ndarray:
+        return ((key * np.uint64(factor)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``NONE`` for those that do not merge."""
+        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        out, open_ = np.full(len(key), self.NONE, dtype=np.int64), None
+        for factor, table in self.tables:
+            asked = key if open_ is None else key[open_]
+            at = table[self._slot(asked, factor)]
+            hit = (at >= 0) & (self.key[at] == asked)
+            if open_ is None:
+                out[hit] = at[hit]
+                open_ = np.flatnonzero((at >= 0) & ~hit)
+            else:
+                out[open_[hit]] = at[hit]
+                open_ = open_[(at >= 0) & ~hit]
+            if not len(open_):
+                break
+        return out
+
+    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of simple words, and the byte at which each begins."""
+        data = np.frombuffer(raw, np.uint8)
+        kind = self.kind[data]
+        # a blank goes with what follows
+        opens = np.append(True, (kind[1:] >= 2) | ((kind[1:] != kind[:-1]) & (kind[:-1] != 2)))
+        ids, alive = self.of_byte[data], np.ones(len(data), dtype=bool)
+        at, word = np.arange(len(data)), np.cumsum(opens) - 1
+        sym = ids.copy()
+        rank = np.full(len(data), self.NONE, dtype=np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.ranks(sym[inner], sym[inner + 1])
+        while len(at):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(at)), starts)
+            going = (best >> 32) < self.NONE
+            k = best[going] & 0xFFFFFFFF
+            sym[k] = self.made[rank[k]]
+            ids[at[k]] = sym[k]
+            alive[at[k + 1]] = False
+            keep = np.repeat(going, np.diff(np.append(starts, len(at))))
+            keep[k + 1] = False
+            place = np.cumsum(keep) - 1
+            k = place[k]
+            at, word, sym, rank = at[keep], word[keep], sym[keep], rank[keep]
+            if not len(at):
+                break
+            # the pairs on either side of what was merged
+            again = np.concatenate([k, k[k > 0] - 1])
+            with_next = np.append(word[1:] == word[:-1], False)[again]
+            rank[again[~with_next]] = self.NONE
+            again = again[with_next]
+            rank[again] = self.ranks(sym[again], sym[again + 1])
+        begin = np.flatnonzero(alive)
+        return ids[begin], begin
 
 
 class Encoder:
@@ -47,7 +141,8 @@ class Encoder:
 
     The tokenizer starts a new token at every single blank or line end that follows a non-blank, so a
     plain text's ids are those of its parts. Parts not seen before are encoded joined, and their ids are
-    told apart by the bytes that each id stands for. Other texts are encoded whole.
+    told apart by the bytes that each id stands for; those of letters and common signs are merged side by side
+    (:class:`Merges`), which gives the same ids. Other texts are encoded whole.
     """
 
     def __init__(self, definition: str, memo: int = MEMO):
@@ -62,12 +157,21 @@ class Encoder:
         self.bytes = np.zeros(max(read["model"]["vocab"].values()) + 1, dtype=np.int64)
         for sign, i in read["model"]["vocab"].items():
             self.bytes[i] = len(sign)
+        merges = Merges(read["model"]) if _byte_pairs(read) else None
+        self.merges = merges if merges and (merges.of_byte >= 0).all() else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, parts: list[str]) -> None:
         written = [p if p[0] == "\n" else " " + p for p in parts]
+        if self.merges:
+            simple = [bool(_SIMPLE.fullmatch(w)) and len(w) <= LONG for w in written]
+            if any(simple):
+                self._merge([*compress(parts, simple)], [*compress(written, simple)])
+                parts, written = ([x for x, s in zip(of, simple) if not s] for of in (parts, written))
+            if not parts:
+                return
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(written)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in written])) + 1
         raw, a = ids.tobytes(), 0
@@ -75,6 +179,15 @@ class Encoder:
             self.memo[part] = raw[a:b]
             a = b
 
+    def _merge(self, parts: list[str], written: list[str]) -> None:
+        spelt = [w.encode() for w in written]
+        ids, begin = self.merges(b"".join(spelt))
+        ends = np.searchsorted(begin, np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt))))
+        raw, a = ids.astype("<u4").tobytes(), 0
+        for part, b in zip(parts, (4 * ends).tolist()):
+            self.memo[part] = raw[a:b]
+            a = b
+
     def plain(self, text: str) -> bool:
         if self.special and self.special.search(text):
             return False
@@ -111,6 +224,13 @@ class Encoder:
             return None
 
 
+def _byte_pairs(read: dict) -> bool:
+    """Whether a tokenizer is byte-level pairs and nothing else, so that :class:`Merges` gives its ids."""
+    model, cut = read["model"], read.get("pre_tokenizer") or {}
+    more = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return model.get("type", "BPE") == "BPE" and not any(model.get(m) for m in more) and not read.get("normalizer") and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) and not cut.get("add_prefix_space")
+
+
 def _parts(text: str) -> list[str]:
     """Words of a plain text, each after a line end with that; the first gets one."""
     return ("\n" + text).replace("\n", " \n").split(" ")[1:]

@@ -25,3 +25,19 @@ def test_odd_texts_are_encoded_as_whole():
     odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 8))) for _ in range(1000)]
     encode = packing.Encoder(packing.definition(public_tokenizers.path("byte_bpe_50k.json")), memo=200)
     assert encode(odd) == [encode.whole(t) for t in odd]
+
+
+def test_new_words_of_letters_are_merged_without_the_tokenizer(monkeypatch):
+    """Any spelling, in any mix with signs, gets the tokenizer's own ids."""
+    encode = packing.Encoder(packing.definition(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(7)
+    bits = ["th", "e", "ing", "an", "A", "É", "ça", "ø", "aaaa", "zq", ",", ".", "...", "-", '"', "(", ")!", "tion", "ɏ", "ss", "?"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts = ["".join(w + rng.choice(" \n") for w in words[i : i + 50]) + "end" for i in range(0, len(words), 50)]
+    whole = [encode.whole(t) for t in texts]
+
+    def no_tokenizer(*_, **__):
+        raise AssertionError("the tokenizer was asked")
+
+    monkeypatch.setattr(encode, "tokenizer", type("No", (), {"encode_batch_fast": no_tokenizer, "encode": no_tokenizer})())
+    assert encode(texts) == whole
