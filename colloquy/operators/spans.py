@@ -4,9 +4,10 @@ A segment meets the words of its band of places; every start in the band is trie
 travel in blocks of a conversation, each segment takes only the blocks of its band, and a long band is cut
 into pieces of its own, so no task holds a conversation. Within a piece the shared tokens and 3-grams of all
 windows come from differences at the places where each token enters and leaves the moving window. With the
-counts of characters they bound the score of a window; windows are scored best bound first, by bit-parallel
+lengths they bound the score of a window; windows are scored best bound first, by bit-parallel
 edit distances, until no bound beats what is found. A distance that is known bounds those of all windows
-that share most of its words, so a window scored rules out its neighbours.
+that share most of its words, so a window scored rules out its neighbours. Segments of a task are searched together:
+each step of a distance serves windows of many of them.
 
 The score is that of :func:`colloquy.functions.text.with_span_score`, digit for digit.
 """
@@ -14,13 +15,15 @@ The score is that of :func:`colloquy.functions.text.with_span_score`, digit for
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edits import within
 from ..functions.text import GRAMS, INSIDE, SORTED, TOKENS, WHOLE, normal
 
 #: Words in a block; starts in a piece of a band.
@@ -41,16 +44,14 @@ def size_column(n: Column) -> Column:
     return F.array_distinct(F.array(n, n - 1, n + 1, n - 2, n + 2, F.floor(n * SHRUNK).cast("long")))
 
 
-#: The characters of a normal form, and the number of each.
+#: The characters of a normal form.
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789_ "
-_CODE = np.zeros(128, dtype=np.int64)
-_CODE[np.frombuffer(CHARACTERS.encode("ascii"), np.uint8)] = np.arange(len(CHARACTERS))
-#: Windows measured at once: as many as are about so many characters, within these bounds.
-LANE_CHARACTERS, LANES = 4000, (3, 24)
-#: Windows measured at once lie this part of the text apart at least.
-GAP = 100
+#: Texts of so many characters are measured with all windows at once; of longer ones so many windows, which lie this part of the text apart.
+SHORT, LANES, GAP = 150, 2, 100
 #: Windows whose middles lie within this part of the text have a core.
 CORES = 12
+#: Characters of the words that are searched at once, and of those that are counted at once.
+TOGETHER, COUNTED = 2_000_000, 150_000
 
 
 def masks(text: str) -> dict[str, int]:
@@ -110,246 +111,305 @@ def edits_beside(text: str, others: list[str], anywhere: bool = False) -> list[n
     return out
 
 
-def _earlier(codes: np.ndarray) -> np.ndarray:
-    """The place before at which the same code stands, -1 for none."""
-    order = np.argsort(codes, kind="stable")
-    same = codes[order][1:] == codes[order][:-1]
-    out = np.full(len(codes), -1)
-    out[order[1:][same]] = order[:-1][same]
-    return out
+class Counted:
+    """What the windows of some segments share with the wanted texts.
 
+    All arrays are of all segments, so a step of numpy serves thousands of windows. The texts stand in one stream,
+    for each segment what is wanted and then what is said.
+    """
 
-class Search:
-    """The windows of one segment over consecutive words, with bounds of their scores."""
+    COLUMNS = ("unit", "start", "size", "first", "end", "longest", "dice", "inside", "shared", "known", "least_sorted", "least_plain")
+
+    def __init__(self, units: list[tuple[str, list[str], int, int]]):
+        self.wanted = [u[0] for u in units]
+        parts: list[str] = []
+        for wanted, words, _, _ in units:
+            parts += wanted, " ".join(filter(None, words))
+        self.stream = "\n".join([*parts, ""])
+        self._measure(units, np.array([len(t) for t in parts], dtype=np.int64).reshape(-1, 2))
+
+    def _measure(self, units: list[tuple[str, list[str], int, int]], chars: np.ndarray) -> None:
+        spots = len(self.stream)
+        every = np.arange(len(units))
+        n_words = np.array([len(u[1]) for u in units], dtype=np.int64)
+        tried = [sizes(u[2]) for u in units]
+        self.tried = np.array([t + [0] * (6 - len(t)) for t in tried], dtype=np.int64)
+        starts = np.array([u[3] for u in units], dtype=np.int64)[:, None]
+        self.counts = np.where(self.tried > 0, np.clip(np.minimum(starts, n_words[:, None] - self.tried + 1), 0, None), 0)
+        # a slot for each window, and one after those of a size
+        self.slots = int((self.counts + 1).sum())
+        self.slot = (np.cumsum(self.counts + 1) - self.counts.ravel() - 1).reshape(self.counts.shape)
+        codes = np.full(128, len(CHARACTERS), dtype=np.uint16)
+        codes[np.frombuffer(CHARACTERS.encode("ascii"), np.uint8)] = np.arange(len(CHARACTERS))
+        code = codes[np.frombuffer(self.stream.encode("ascii"), np.uint8)]
+        # the segment of each character, and whether it is said
+        unit = np.repeat(every, chars.sum(axis=1) + 2)
+        is_said = np.repeat(np.tile([False, True], len(units)), chars.ravel() + 1)
+        # words that are not empty, and the number in its segment of each that a character belongs to; a blank belongs to the word before
+        length = np.array([len(w) for u in units for w in u[1]], dtype=np.int64)
+        base = np.cumsum(n_words) - n_words
+        filled = length > 0
+        before = np.append(0, np.cumsum(filled))
+        owner = np.repeat(every, n_words)
+        place = np.arange(len(length)) - base[owner]
+        word = np.zeros(spots, dtype=np.int64)
+        word[is_said] = np.repeat(place[filled], length[filled] + 1)
+        begin = np.cumsum(length[filled] + 1) - length[filled] - 1 + np.cumsum(chars[:, 0] + 1)[owner[filled]]
+        end = begin + length[filled]
+        own, full, common = self._tokens(code, unit, is_said, word)
+        x, y, both = self._grams(code, unit, is_said, word, chars[:, 0])
+        parts = self.counts.ravel()
+        slot = np.arange(self.slots - len(parts)) + np.repeat(np.arange(len(parts)), parts)
+        self.unit = np.repeat(np.arange(len(parts)) // 6, parts)
+        self.size = np.repeat(self.tried.ravel(), parts)
+        self.start = slot - np.repeat(self.slot.ravel(), parts)
+        at = base[self.unit] + self.start
+        a, b = before[at], before[at + self.size]
+        some = b > a
+        self.unit, self.size, self.start, slot, a, b = (v[some] for v in (self.unit, self.size, self.start, slot, a, b))
+        self.first, self.end = begin[a], end[b - 1]
+        full, common, y, both = full[slot], common[slot], y[slot], both[slot]
+        p, q, own, x = chars[self.unit, 0], self.end - self.first, own[self.unit], x[self.unit]
+        for k in np.flatnonzero(q < 3).tolist():
+            y[k], both[k] = 1, int(self.stream[self.first[k] : self.end[k]] == self.wanted[self.unit[k]])
+        self.dice = 2.0 * common / np.maximum(own + full, 1)
+        self.longest = longest = np.maximum(p, q)
+        self.inside = both / np.maximum(np.minimum(x, y), 1).astype(np.float64)
+        self.shared = both / np.maximum(x + y - both, 1).astype(np.float64)
+        # an edit changes one character, at most two tokens and at most three 3-grams
+        lost = np.maximum(own - common, full - common)
+        self.least_sorted = np.maximum(np.abs(p - q), (lost + 1) // 2)
+        self.least_plain = np.minimum(longest, np.maximum(np.abs(p - q), (np.maximum(x, y) - both + 2) // 3))
+        self.known = TOKENS * self.dice + INSIDE * self.inside + GRAMS * self.shared
 
-    #: What is known of each window.
-    COLUMNS = ("start", "size", "first", "end", "empty", "longest", "dice", "inside", "shared", "known", "least_sorted", "least_plain", "bound", "sorted", "plain", "scores")
+    def _distinct(self, unit: np.ndarray, one: np.ndarray, last: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """By slot, how many different things each window holds whole.
 
-    def __init__(self, wanted: str, words: list[str], n: int, starts: int):
-        """``words`` are in normal form, the first of them at the first of ``starts`` consecutive starts."""
-        self.wanted, self.text = wanted, " ".join(w for w in words if w)
-        length = np.array([len(w) for w in words], dtype=np.int64)
-        filled = length > 0
-        # words that are not empty before each word, and where those begin and end
-        self.before = np.append(0, np.cumsum(filled))
-        length = length[filled]
-        ends = np.cumsum(length + 1) - 1
-        begin = np.append(ends - length, len(self.text) + 1)[self.before]
-        end = np.append(0, ends)[self.before]
-        self.shrunk = math.floor(n * SHRUNK)
-        parts = [(size, max(0, min(starts, len(words) - size + 1))) for size in sizes(n)]
-        self.counts = [count for _, count in parts]
-        self.start = np.concatenate([np.arange(count) for count in self.counts])
-        self.size = np.repeat([size for size, _ in parts], self.counts)
-        self.begin = begin[: max(self.counts, default=0)]
-        self.first, self.end = begin[self.start], end[self.start + self.size]
-        self._measure(length)
-
-    def _distinct(self, at: np.ndarray, before: np.ndarray, width: int, up_to: list[np.ndarray]) -> np.ndarray:
-        """How many different things each window ``[first, end)`` of characters holds whole.
-
-        Things stand at ``at``, ``width`` long; ``before`` is where the same one stood last (-1). A thing counts
-        for the run of windows that begin after its forerunner and hold it: one is added where the run starts and taken
-        off where it ends. ``up_to`` has for each size, by character, the windows that end there or earlier.
+        A thing begins in the word ``one`` and ends in ``last``; windows from the word ``earlier`` on do not hold the same
+        thing before it. It counts for a run of windows of each size: one is added where the run starts and taken off where it ends.
         """
-        if not len(at):
-            return np.zeros(len(self.start), dtype=np.int64)
-        earlier, here, out = self.begun[before + 1], self.begun[at + 1], []
-        for count, ended in zip(self.counts, up_to):
-            lo = np.maximum(ended[at + (width - 1)], np.minimum(earlier, count))
-            hi = np.maximum(np.minimum(here, count), lo)
-            out.append(np.cumsum(np.bincount(lo, minlength=count + 1) - np.bincount(hi, minlength=count + 1))[:count])
-        return np.concatenate(out)
-
-    def _measure(self, length: np.ndarray) -> None:
-        wanted, text = self.wanted, self.text
-        tokens, mine = text.split(" "), wanted.split(" ")
-        own_tokens = set(mine)
+        change = np.zeros(self.slots, dtype=np.int64)
+        for size, count, slot in zip(self.tried.T, self.counts.T, self.slot.T):
+            count, slot = count[unit], slot[unit]
+            lo = np.minimum(np.maximum(last + 1 - size[unit], earlier), count)
+            hi = np.maximum(np.minimum(one + 1, count), lo)
+            change += np.bincount(slot + lo, minlength=self.slots) - np.bincount(slot + hi, minlength=self.slots)
+        return np.cumsum(change)
+
+    def _runs(self, ids: np.ndarray, at: np.ndarray, unit: np.ndarray, is_said: np.ndarray, word: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of things with ``ids`` at ``at``: how many different ones are wanted by each segment, and by slot how many are said and how many of these are wanted."""
+        order = np.argsort(ids, kind="stable")
+        ids, at, last = ids[order], at[order], last[order]
+        owner, said = unit[at], is_said[at]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1]))[: len(ids)]
+        # what is wanted stands before what is said, so it heads the run of its kind
+        wanted = (~said)[new][np.cumsum(new) - 1]
+        mine = np.bincount(owner[new & ~said], minlength=len(self.wanted))
+        earlier = np.append(0, np.where(new[1:] | ~said[:-1], 0, word[at[:-1]] + 1))[: len(ids)]
+        owner, one, last, earlier, wanted = owner[said], word[at[said]], last[said], earlier[said], wanted[said]
+        return mine, self._distinct(owner, one, last, earlier), self._distinct(owner[wanted], one[wanted], last[wanted], earlier[wanted])
+
+    def _tokens(self, code: np.ndarray, unit: np.ndarray, is_said: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids: dict[str, int] = {}
-        of_text = np.array([ids.setdefault(t, len(ids)) for t in tokens])
-        token_at = np.cumsum([0, *[len(t) + 1 for t in tokens[:-1]]])
-        shares_token = np.array([t in own_tokens for t in tokens])
-        codes, own = (_CODE[np.frombuffer(t.encode("ascii"), np.uint8)] for t in (text, wanted))
-        grams, own_grams = _grams(codes), _grams(own)
-        gram_at = np.arange(len(grams))
-        asked = np.zeros(len(CHARACTERS) ** 3, dtype=bool)
-        asked[own_grams] = True
-        shares_gram = asked[grams]
-        self.x = int(np.count_nonzero(asked)) if len(own) >= 3 else 1
-        before_token, before_gram = _earlier(of_text), _earlier(grams)
-        # the token's forerunner by its character
-        before_token = np.where(before_token >= 0, token_at[before_token], -1)
-        # windows that begin before each character, and for each size those that end there or earlier
-        self.begun = np.append(0, np.cumsum(np.bincount(self.begin, minlength=len(text) + 2)))
-        up_to, at = [], 0
-        for count in self.counts:
-            up_to.append(np.cumsum(np.bincount(np.maximum(self.end[at : at + count], np.minimum(self.first[at : at + count], len(text))), minlength=len(text) + 3)))
-            at += count
-        full = self._distinct(token_at, before_token, 1, up_to)
-        common = self._distinct(token_at[shares_token], before_token[shares_token], 1, up_to)
-        self.y = self._distinct(gram_at, before_gram, 3, up_to)
-        self.both = self._distinct(gram_at[shares_gram], before_gram[shares_gram], 3, up_to)
-        self.dice = 2.0 * common / np.maximum(len(own_tokens) + full, 1)
-        lost = np.maximum(len(own_tokens) - common, full - common)
-        p, q = len(wanted), np.maximum(self.end - self.first, 0)
-        # characters of each word and the blank after it; a window has one such blank too many
-        kinds = len(CHARACTERS)
-        table = np.zeros((len(length) + 1, kinds), dtype=np.float32)
-        spelt = np.append(codes, kinds - 1) if len(length) else codes
-        table[1:] = np.bincount(np.repeat(np.arange(len(length)), length + 1) * kinds + spelt, minlength=len(length) * kinds).reshape(-1, kinds)
-        np.cumsum(table, axis=0, out=table)
-        have = np.bincount(own, minlength=kinds).astype(np.float32)
-        have[kinds - 1] += 1
-        change = table[self.before[self.start + self.size]] - table[self.before[self.start]] - have
-        bag = (np.abs(change).sum(axis=1) + np.abs(q - p)).astype(np.int64) // 2
-        for k in np.flatnonzero((q > 0) & (q < 3)):
-            self.y[k], self.both[k] = 1, int(text[self.first[k] : self.end[k]] == wanted)
-        self.empty = (q == 0) | (p == 0)
-        self.longest = longest = np.maximum(np.maximum(p, q), 1)
-        self.inside = self.both / np.maximum(np.minimum(self.x, self.y), 1).astype(np.float64)
-        self.shared = self.both / np.maximum(self.x + self.y - self.both, 1).astype(np.float64)
-        # an edit changes one character, at most two tokens and at most three 3-grams
-        self.least_sorted = np.minimum(longest, np.maximum(bag, (lost + 1) // 2))
-        self.least_plain = np.minimum(longest, np.maximum(bag, (np.maximum(self.x, self.y) - self.both + 2) // 3))
-        self.known = TOKENS * self.dice + INSIDE * self.inside + GRAMS * self.shared
-        self.sorted_wanted = " ".join(sorted(mine))
-        self.scores = np.full(len(self.start), -1.0)
-        self.plain, self.sorted = np.full(len(self.start), -1), np.full(len(self.start), -1)
-        self.lanes = min(max(LANE_CHARACTERS // max(p, 1), LANES[0]), LANES[1])
-        self.rounds = 0
-        self._bound()
+        found = np.array([ids.setdefault(t, len(ids)) for t in self.stream[:-1].replace("\n", " ").split(" ")])
+        at = np.append(0, np.flatnonzero(code[:-1] >= len(CHARACTERS) - 1) + 1)
+        return self._runs(found, at, unit, is_said, word, word[at])
 
-    def _bound(self) -> None:
-        self.bound = np.where(self.empty, 0.0, self.known + SORTED * (1 - self.least_sorted / self.longest) + WHOLE * (1 - self.least_plain / self.longest))
+    def _grams(self, code: np.ndarray, unit: np.ndarray, is_said: np.ndarray, word: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = len(CHARACTERS) + 1
+        inside = code < k - 1
+        at = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:])
+        # a blank at the end is held with the word after it
+        ends = at + 2 + (code[at + 2] == k - 2)
+        mine, said, both = self._runs((code[at] * k + code[at + 1]) * k + code[at + 2], at, unit, is_said, word, word[ends])
+        return np.where(p < 3, 1, mine), said, both
 
-    def _learn(self, first: np.ndarray, end: np.ndarray, distances: np.ndarray, least: np.ndarray) -> None:
-        """Windows are nearer to the text than the given parts by no more than what they do not share with those."""
-        apart = np.abs(self.first - first[:, None]) + np.abs(self.end - end[:, None])
-        np.maximum(least, np.minimum((distances[:, None] - apart).max(axis=0), self.longest), out=least)
-        self._bound()
 
-    def _cores(self, ks: np.ndarray) -> list[tuple[int, int]]:
-        """What each group of neighbours among the windows ``ks`` has in common, those of the shrunk size aside, if that is most of them.
+class Windows:
+    """The windows of many segments over consecutive words, with bounds of their scores."""
+
+    #: What is known of each window.
+    COLUMNS = (*Counted.COLUMNS, "order", "sorted", "plain", "scores")
+
+    def __init__(self, units: list[tuple[str, list[str], int, int]]):
+        """Of each unit the wanted text, words in normal form, the number of words wanted, and that of starts: the first word is the first of them."""
+        # without a word on either side nothing scores
+        self.of = [i for i, (wanted, words, _, _) in enumerate(units) if wanted and any(words)]
+        units = [units[i] for i in self.of]
+        self.wanted = [u[0] for u in units]
+        self.in_order = [" ".join(sorted(w.split(" "))) for w in self.wanted]
+        self.chars = np.array([len(w) for w in self.wanted], dtype=np.int64)
+        self.shrunk = np.array([math.floor(u[2] * SHRUNK) for u in units], dtype=np.int64)
+        self.rounds, done, spots, streams = 0, 0, 0, []
+        columns: dict[str, list[np.ndarray]] = {c: [] for c in Counted.COLUMNS}
+        for some in _shares(units, COUNTED):
+            part = Counted(some)
+            for c, values in columns.items():
+                values.append(getattr(part, c) + (done if c == "unit" else spots if c in ("first", "end") else 0))
+            streams.append(part.stream)
+            done, spots = done + len(some), spots + len(part.stream)
+        self.stream = "".join(streams)
+        for c, values in columns.items():
+            setattr(self, c, np.concatenate(values) if values else np.zeros(0, dtype=np.int64))
+        # in (size, start)
+        self.order = self.size * (int(self.start.max(initial=0)) + 1) + self.start
+        self.scores = np.full(len(self.start), -1.0)
+        self.plain, self.sorted = np.full(len(self.start), -1), np.full(len(self.start), -1)
+
+    def _bound(self) -> np.ndarray:
+        return self.known + SORTED * (1 - self.least_sorted / self.longest) + WHOLE * (1 - self.least_plain / self.longest)
+
+    def _narrow(self, least: float, sure: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Drops what cannot be a result; the bounds of the others and what each segment's windows have to reach."""
+        reach = np.full(len(self.wanted), least)
+        bound = self._bound()
+        keep = np.ones(len(bound), dtype=bool)
+        if sure is not None:
+            np.maximum.at(reach, self.unit, self.scores)
+            reach = np.minimum(reach, sure)
+            # of sure windows the first counts
+            first = np.full(len(self.wanted), np.iinfo(np.int64).max)
+            good = self.scores >= sure
+            np.minimum.at(first, self.unit[good], self.order[good])
+            keep = self.order <= first[self.unit]
+        keep &= np.where(self.scores < 0, bound + SLACK >= reach[self.unit], self.scores >= reach[self.unit])
+        if not keep.all():
+            for c in self.COLUMNS:
+                setattr(self, c, getattr(self, c)[keep])
+        return bound[keep], reach
+
+    def _next(self, bound: np.ndarray, sure: bool) -> np.ndarray:
+        """Windows to be measured: one of each segment, then all of short texts, and of long ones the best that do not lie close to each other."""
+        todo = np.flatnonzero(self.scores < 0)
+        order = todo[np.lexsort((-bound[todo], self.unit[todo]))]
+        if sure and not self.rounds:
+            return order[np.append(True, self.unit[order][1:] != self.unit[order][:-1])] if len(order) else order
+        size = self.chars[self.unit[order]]
+        long = order[size > SHORT]
+        # neighbours are bounded by the same distance
+        cell = (self.first[long] + self.end[long]) // np.maximum(2 * size[size > SHORT] // GAP, 1)
+        near = np.lexsort((-bound[long], cell, self.unit[long]))
+        u, c = self.unit[long][near], cell[near]
+        best = long[near[np.append(True, (u[1:] != u[:-1]) | (c[1:] != c[:-1]))[: len(near)]]]
+        best = best[np.lexsort((-bound[best], self.unit[best]))]
+        return np.concatenate([order[size <= SHORT], best[_rank(self.unit[best]) < LANES * self.rounds]])
+
+    def _cores(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """What neighbours among the windows of long texts have in common, those of the shrunk size aside, if that is most of them: windows in order of their cores, where those begin, and the cores' places.
 
         Most words that a window has beside it are said in the text, so they take off of its distance what the bound assumes.
         """
-        ks = ks[self.size[ks] > self.shrunk]
-        if len(ks) <= 2 * self.lanes:
-            return []
-        middle = (self.first[ks] + self.end[ks]) // 2
-        middle -= middle.min()
-        group = middle // max(len(self.wanted) // CORES, middle.max() // self.lanes + 1)
-        found = []
-        for g in np.unique(group).tolist():
-            of = ks[group == g]
-            a, b = int(self.first[of].max()), int(self.end[of].min())
-            if 2 * (b - a) > len(self.wanted):
-                found.append((a, b))
-        return found
-
-    def _apart(self, ks: np.ndarray, most: int) -> np.ndarray:
-        """The first of the windows ``ks``, best bound first, that do not lie close to each other: neighbours are bounded by the same distance."""
-        taken: list[int] = []
-        gap = len(self.wanted) // GAP
-        first, end = self.first[ks], self.end[ks]
-        far = np.ones(len(ks), dtype=bool)
-        for i in np.argsort(-self.bound[ks], kind="stable").tolist():
-            if far[i]:
-                taken.append(i)
-                if len(taken) == most:
-                    break
-                far &= np.abs(first - first[i]) + np.abs(end - end[i]) > gap
-        return ks[taken]
-
-    def _measure_any(self, ks: np.ndarray) -> None:
-        """Bounds the distances of the windows ``ks`` by those of the nearest parts of the text that end where they end."""
-        a, b = int(self.first[ks].min()), int(self.end[ks].max())
-        nearest = edits_beside(self.wanted, [self.text[a:b]], anywhere=True)[0]
-        self.least_plain[ks] = np.maximum(self.least_plain[ks], nearest[self.end[ks] - a - 1])
-        self._bound()
-
-    def _measure_plain(self, ks: np.ndarray) -> None:
-        """Distances of the windows, and of those of other sizes from the same starts."""
-        begins = np.unique(self.first[ks])
-        same = [np.flatnonzero((self.first == f) & ~self.empty) for f in begins]
-        ends = [self.end[i] - f for i, f in zip(same, begins)]
-        found = edits_beside(self.wanted, [self.text[f : f + int(e.max())] for f, e in zip(begins.tolist(), ends)])
-        every, distances = np.concatenate(same), np.concatenate([d[e - 1] for d, e in zip(found, ends)])
-        self.plain[every] = distances
-        self._learn(self.first[every], self.end[every], distances, self.least_plain)
-
-    def _measure_sorted(self, ks: np.ndarray, cores: list[tuple[int, int]]) -> None:
-        """Distances of the windows with the words of both sides sorted; those of cores are for the bounds alone."""
-        parts = [*zip(self.first[ks].tolist(), self.end[ks].tolist()), *cores]
-        distances = np.array([d[-1] for d in edits_beside(self.sorted_wanted, [" ".join(sorted(self.text[a:b].split(" "))) for a, b in parts])])
-        self.sorted[ks] = distances[: len(ks)]
-        first, end = np.array(parts).T
-        self._learn(first, end, distances, self.least_sorted)
-
-    def _score(self, ks: np.ndarray, least: float, cores: list[tuple[int, int]] = []) -> np.ndarray:
-        """Scores those windows ``ks`` that may reach ``least``; these."""
-        new = ks[self.sorted[ks] < 0]
-        if len(new):
-            self._measure_sorted(new, cores)
-        ks = ks[self.bound[ks] + SLACK >= least]
-        new = ks[self.plain[ks] < 0]
-        if len(new):
-            self._measure_plain(new)
-        self.rounds += 1
-        # distances from one start are found together
-        ks = np.flatnonzero((self.scores < 0) & (self.sorted >= 0) & (self.plain >= 0))
+        ks = np.flatnonzero((self.scores < 0) & (self.chars > SHORT)[self.unit] & (self.size > self.shrunk[self.unit]))
+        cell = (self.first[ks] + self.end[ks]) // (2 * self.chars[self.unit[ks]] // CORES)
+        ks = ks[order := np.lexsort((cell, self.unit[ks]))]
+        unit, cell = self.unit[ks], cell[order]
+        at = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (cell[1:] != cell[:-1]))[: len(ks)])
+        count = np.diff(np.append(at, len(ks)))
+        a, b = (np.maximum.reduceat(self.first[ks], at), np.minimum.reduceat(self.end[ks], at)) if len(at) else (at, at)
+        good = (count > 2) & (2 * (b - a) > self.chars[unit[at]])
+        ks = ks[np.repeat(good, count)]
+        return ks, (np.cumsum(count[good]) - count[good]), list(zip(a[good].tolist(), b[good].tolist()))
+
+    def _learn(self, unit: np.ndarray, first: np.ndarray, end: np.ndarray, distances: np.ndarray, least: np.ndarray) -> None:
+        """Windows of long texts are nearer to the text than the given parts by no more than what they do not share with those."""
+        of = np.flatnonzero(self.chars[unit] > SHORT)
+        of = of[np.argsort(unit[of], kind="stable")]
+        rank = _rank(unit[of])
+        near = np.flatnonzero((self.chars > SHORT)[self.unit])
+        mine, begins, ends, bound = self.unit[near], self.first[near], self.end[near], least[near]
+        for r in range(int(rank.max(initial=-1)) + 1):
+            some, parts = of[rank == r], np.zeros((3, len(self.wanted)), dtype=np.int64)
+            parts[:, unit[some]] = distances[some], first[some], end[some]
+            d, a, b = parts[:, mine]
+            np.maximum(bound, d - np.abs(begins - a) - np.abs(ends - b), out=bound)
+        least[near] = np.minimum(bound, self.longest[near])
+
+    def _most(self, ks: np.ndarray, reach: np.ndarray, weight: float, other: np.ndarray) -> np.ndarray:
+        """A distance of each of the windows ``ks`` beyond which it does not reach what its segment asks for."""
+        spare = self.known[ks] + (SORTED + WHOLE - weight) * (1 - other[ks] / self.longest[ks]) + weight - (reach[self.unit[ks]] - SLACK)
+        return np.maximum(np.floor(self.longest[ks] * spare / weight).astype(np.int64) + 1, 0)
+
+    def _measured(self, ks: np.ndarray, reach: np.ndarray, weight: float, other: np.ndarray, cores: tuple, known: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Those of the windows ``ks`` that may count by their distance; it goes to ``known``, and what follows for all windows to ``least``."""
+        group, heads, places = cores
+        unit, first, end, most = self.unit[ks], self.first[ks], self.end[ks], self._most(ks, reach, weight, other)
+        if places:
+            a, b = np.array(places).T
+            of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(group))))
+            # far enough to drop every window of the core
+            far = np.maximum.reduceat(self._most(group, reach, weight, other) + a[of] - self.first[group] + self.end[group] - b[of], heads)
+            unit, first, end, most = np.append(unit, self.unit[group[heads]]), np.append(first, a), np.append(end, b), np.append(most, far)
+        said = [self.stream[x:y] for x, y in zip(first.tolist(), end.tolist())]
+        if weight == SORTED:
+            said = [" ".join(sorted(t.split(" "))) for t in said]
+        got = within(self.in_order if weight == SORTED else self.wanted, unit, said, most)
+        self._learn(unit, first, end, got, least)
+        got, most = got[: len(ks)], most[: len(ks)]
+        least[ks] = np.maximum(least[ks], got)
+        known[ks] = np.where(got <= most, got, -1)
+        return ks[got <= most]
+
+    def _score(self, ks: np.ndarray, reach: np.ndarray) -> None:
+        """Scores those windows ``ks`` that may reach what their segment asks for."""
+        cores = self._cores() if self.rounds == 1 else ((), (), [])
+        ks = self._measured(ks, reach, SORTED, self.least_plain, cores, self.sorted, self.least_sorted)
+        ks = self._measured(ks, reach, WHOLE, self.least_sorted, cores, self.plain, self.least_plain)
         longest = self.longest[ks].astype(np.float64)
         value = TOKENS * self.dice[ks] + SORTED * (1 - self.sorted[ks] / longest) + INSIDE * self.inside[ks] + WHOLE * (1 - self.plain[ks] / longest) + GRAMS * self.shared[ks]
         self.scores[ks] = np.floor(value * 10.0**PLACES + 0.5) / 10.0**PLACES
-        return ks
 
-    def _narrow(self, least: float) -> np.ndarray:
-        """Drops the windows that are known not to reach ``least``; of the others those without a score."""
-        keep = np.where(self.scores < 0, ~self.empty & (self.bound + SLACK >= least), self.scores >= least)
-        if not keep.all():
-            for c in self.COLUMNS:
-                setattr(self, c, getattr(self, c)[keep])
-        return np.flatnonzero(self.scores < 0)
+    def found(self, least: float, sure: float | None = None) -> tuple[list[int], list[int], list[int], list[float]]:
+        """Unit, start, size and score of every window that scores ``least``; with ``sure`` of each unit's window of highest score, or of those from ``sure`` on the first in (size, start)."""
+        if not self.of:
+            return [], [], [], []
+        while True:
+            bound, reach = self._narrow(least, sure)
+            ks = self._next(bound, sure is not None)
+            if not len(ks):
+                break
+            self._score(ks, reach)
+            self.rounds += 1
+        top = np.arange(len(self.start))
+        if sure is not None:
+            top = np.lexsort((self.order, -np.minimum(self.scores, sure), self.unit))
+            top = top[np.append(True, self.unit[top][1:] != self.unit[top][:-1])[: len(top)]]
+        return [self.of[u] for u in self.unit[top].tolist()], self.start[top].tolist(), self.size[top].tolist(), self.scores[top].tolist()
+
+
+def _shares(units: Iterable[tuple], most: int) -> Iterator[list[tuple]]:
+    """The units, in order, in lists with about so many characters of words."""
+    share: list[tuple] = []
+    held = 0
+    for u in units:
+        share.append(u)
+        held += sum(map(len, u[1])) + len(u[1])
+        if held >= most:
+            yield share
+            share, held = [], 0
+    if share:
+        yield share
+
+
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """The number of each row in its run of equal groups, from 0."""
+    at = np.arange(len(groups))
+    new = np.append(True, groups[1:] != groups[:-1])[: len(groups)]
+    return at - np.maximum.accumulate(np.where(new, at, 0)) if len(groups) else at
+
+
+class Search:
+    """The windows of one segment; the first of ``words``, in normal form, is at the first of ``starts`` consecutive starts."""
+
+    def __init__(self, wanted: str, words: list[str], n: int, starts: int):
+        self.windows = Windows([(wanted, words, n, starts)])
 
     def at_least(self, least: float) -> list[tuple[int, int, float]]:
         """(start, size, score) of every window that scores so much."""
-        if len(ks := self._narrow(least)):
-            self._measure_any(ks)
-        while len(ks := self._narrow(least)):
-            self._score(self._apart(ks, self.lanes), least)
-        return list(zip(self.start.tolist(), self.size.tolist(), self.scores.tolist()))
+        return list(zip(*self.windows.found(least)[1:]))
 
     def best(self, least: float, sure: float) -> list[tuple[int, int, float]]:
         """The window of highest score, or of those from ``sure`` on the first in (size, start); none below ``least``."""
-        top = least
-        if len(ks := self._narrow(least)):
-            self._measure_any(ks)
-        while len(ks := self._narrow(top)):
-            cores = self._cores(ks) if self.rounds else []
-            got = self._score(self._apart(ks, 1 if cores else self.lanes if self.rounds else 2), top, cores)
-            top = max(top, float(self.scores[got].max(initial=0.0)))
-            if top >= sure:
-                return [self._first_sure(sure)]
-        if not len(self.start):
-            return []
-        k = np.lexsort((self.start, self.size, -self.scores))[0]
-        return [(int(self.start[k]), int(self.size[k]), float(self.scores[k]))]
-
-    def _first_sure(self, sure: float) -> tuple[int, int, float]:
-        while True:
-            self._narrow(sure)
-            ks = np.lexsort((self.start, self.size))[: self.lanes]
-            if self.scores[ks[0]] >= 0:
-                return int(self.start[ks[0]]), int(self.size[ks[0]]), float(self.scores[ks[0]])
-            self._score(ks[self.scores[ks] < 0], sure)
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """A number for the three characters from each place on."""
-    if len(codes) < 3:
-        return np.zeros(0, dtype=np.uint16)
-    k = len(CHARACTERS)
-    return ((codes[:-2] * k + codes[1:-1]) * k + codes[2:]).astype(np.uint16)
+        return list(zip(*self.windows.found(least, sure)[1:]))
 
 
 def blocks(words: DataFrame) -> DataFrame:
@@ -373,28 +433,29 @@ def search(segments: DataFrame, said: DataFrame, least: float, sure: float | Non
     ends = F.col("at") + F.col("starts") + F.col("n") + 1
     ends = F.greatest(F.least(ends, F.coalesce(F.col("stop") - 1, ends)), F.col("at"))
     s = s.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor(ends / BLOCK)).cast("array<long>")))
-    # a piece is much work for few bytes: pieces are dealt out by number, not by size
-    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a piece is much work for few bytes: pieces are dealt out by number, not by size; many of a task are searched together
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unit = [*key, "at"]
     j = s.join(said, ["conversation_id", "block"]).repartition(tasks, *unit)
     units = j.groupBy(*unit).agg(F.first("n").alias("n"), F.first("wanted").alias("wanted"), F.first("starts").alias("starts"), F.first("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("block", "said"))).alias("blocks"))
     kinds = {c: segments.schema[c].dataType.simpleString() for c in key}
 
+    def said_of(batch: pa.RecordBatch, i: int) -> list[str]:
+        at, n, starts, stop = (batch.column(c)[i].as_py() for c in ("at", "n", "starts", "stop"))
+        got = batch.column("blocks")[i].as_py()
+        said = [w for b in got for w in b["said"]][at - got[0]["block"] * BLOCK :]
+        return said[: starts + n + 2 if stop is None else max(0, min(starts + n + 2, stop - at))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-            for i, (at, n, wanted, starts, stop) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "n", "wanted", "starts", "stop")))):
-                got = batch.column("blocks")[i].as_py()
-                said = [w for b in got for w in b["said"]][at - got[0]["block"] * BLOCK :]
-                said = said[: starts + n + 2 if stop is None else max(0, min(starts + n + 2, stop - at))]
-                if not said:
-                    continue
-                w = Search(wanted, said, n, starts)
-                for start, size, score in w.at_least(least) if sure is None else w.best(least, sure):
-                    keys.append(i)
-                    rows.append((n, at + start, size, score))
-            columns = [batch.column(c).take(pa.array(keys, pa.int64())) for c in key]
-            cells = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]], [*key, "n", "start", "size", "score"])
+            # texts of about one length are searched together
+            asked = pa.compute.sort_indices(pa.compute.utf8_length(batch.column("wanted"))).to_pylist()
+            for share in _shares(((i, said_of(batch, i)) for i in asked), TOGETHER):
+                taken = batch.take(pa.array([i for i, _ in share], pa.int64()))
+                at, n, wanted, starts = (taken.column(c).to_pylist() for c in ("at", "n", "wanted", "starts"))
+                unit, start, size, score = Windows([(w, words, k, s) for w, (_, words), k, s in zip(wanted, share, n, starts)]).found(least, sure)
+                cells = ([n[u] for u in unit], [at[u] + s for u, s in zip(unit, start)], size, score)
+                columns = [taken.column(c).take(pa.array(unit, pa.int64())) for c in key]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]], [*key, "n", "start", "size", "score"])
 
     return units.mapInArrow(run, f"conversation_id {kinds['conversation_id']}, segment_index {kinds['segment_index']}, n long, {FOUND}")
